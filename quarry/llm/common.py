@@ -29,5 +29,5 @@ def fold(doc_id: Column, of: int) -> Column:
 
 
 def add_columns(df: DataFrame, made: dict[str, Column]) -> DataFrame:
-    """Append columns; a column of the input with such a name gives way."""
-    return df.drop(*[c for c in df.columns if c.lower() in {m.lower() for m in made}]).withColumns(made) if made else df
+    """``df`` with the columns of ``made``; a column of such a name gives way."""
+    return df.withColumns(made)

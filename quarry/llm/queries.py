@@ -4,11 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import mixing
+from . import mixing, quality_rules, secrets, url_filter
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base_spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(secrets.as_text(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), secrets.as_text(F.col("all_spans")).alias("spans"),
+    )
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.ledger(quality_rules.measure(table(spark, sf_dir, "documents")))
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~quality_rules.passes("base")).alias("base_failed"), quality_rules.passes("v1").alias("kept"), "failures",
+    )
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +36,16 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_mixing": op9_mixing}
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secrets": op2_secrets,
+    "op4_quality_rules": op4_quality_rules,
+    "op9_mixing": op9_mixing,
+    "op10_url_filter": op10_url_filter,
+}
 
 SQL: dict[str, str] = {}
