@@ -127,6 +127,8 @@ def entropy_balance(
     chunks = F.greatest(F.ceil(F.col("n") / CHUNK), F.lit(1))
     mark = F.xxhash64(F.col("doc_id").cast("string"), F.lit(9))
     dealt = sized.join(rounded, ["skey", "size", "base"]).withColumns({"mark": mark, "chunks": chunks}).withColumn("chunk", F.pmod("mark", "chunks"))
+    # Dealt by chunk, as else the windows below would stay where the join has put a whole cell.
+    dealt = dealt.repartition("skey", "size", "base", "chunk")
     chunk = W.partitionBy("skey", "size", "base", "chunk")
     extra = F.col("copies") - F.floor(F.col("copies") / F.col("n")) * F.col("n")
     dither = F.pmod(F.xxhash64("skey", "size", "base", "chunk"), F.lit(1 << 20)) / float(1 << 20)
