@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import mixing, quality_rules, secrets, url_filter
+from . import language_id, mixing, quality_rules, secrets, url_filter
+from .common import fold
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    found = language_id.identify(docs.select("doc_id", "text", "lang"), learn_from=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.entropy_balance(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
@@ -44,6 +52,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op4_quality_rules": op4_quality_rules,
+    "op6_language_id": op6_language_id,
     "op9_mixing": op9_mixing,
     "op10_url_filter": op10_url_filter,
 }
