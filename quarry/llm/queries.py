@@ -8,10 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import language_id, mixing, quality_rules, secrets, url_filter
+from . import language_id, mixing, quality_rules, secrets, toxicity, url_filter
 from .common import fold
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    held_out = fold(F.col("doc_id"), 5) == 0
+    scored = toxicity.score(docs, toxicity.train(docs, labels, ~held_out), keep=["doc_id"])
+    offending = F.array_join(F.transform("offending", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), offending.alias("offending"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -50,6 +59,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_secrets": op2_secrets,
     "op4_quality_rules": op4_quality_rules,
     "op6_language_id": op6_language_id,
