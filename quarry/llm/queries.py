@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import language_id, mixing, quality_rules, secrets, toxicity, url_filter
+from . import decontaminate, language_id, mixing, quality_rules, secrets, toxicity, url_filter
 from .common import fold
 
 
@@ -33,6 +33,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = decontaminate.mark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    items = F.array_join(F.transform("items", lambda x: x.cast("string")), ",")
+    return marked.select("doc_id", "contaminated", items.alias("items"), "coverage", "reparameterised")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.ledger(quality_rules.measure(table(spark, sf_dir, "documents")))
     return rows.select(
@@ -61,6 +67,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_secrets": op2_secrets,
+    "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,
     "op6_language_id": op6_language_id,
     "op9_mixing": op9_mixing,
