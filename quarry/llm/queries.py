@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontaminate, language_id, mixing, quality_rules, secrets, toxicity, url_filter
+from . import decontaminate, language_id, mixing, near_dedup, quality_rules, secrets, toxicity, url_filter
 from .common import fold
 
 
@@ -54,6 +54,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.entropy_balance(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,
     "op6_language_id": op6_language_id,
+    "op8_near_dedup": op8_near_dedup,
     "op9_mixing": op9_mixing,
     "op10_url_filter": op10_url_filter,
 }
