@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontaminate, language_id, mixing, near_dedup, quality_rules, secrets, toxicity, url_filter
+from . import decontaminate, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secrets, toxicity, url_filter
 from .common import fold
 
 
@@ -47,6 +47,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    cut = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    spans = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return found.select("doc_id", F.size("removed").alias("n_removed"), cut.alias("chars_removed"), spans.alias("removed"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 4) == 2
@@ -54,6 +61,16 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # Grades: 0 poor, 1 good but toxic, 2 good.
+    rating = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    ratings = table(spark, sf_dir, "labels").select("doc_id", rating.alias("label"))
+    held_out = fold(F.col("doc_id"), 5) == 0
+    graded = quality_classifier.grade(docs, quality_classifier.train(docs, ratings, ~held_out), least=1)
+    return graded.select("doc_id", held_out.alias("held_out"), "expected_grade", "tail", (F.col("tail") >= 0.5).alias("kept"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
@@ -73,7 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,
+    "op5_line_dedup": op5_line_dedup,
     "op6_language_id": op6_language_id,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_near_dedup": op8_near_dedup,
     "op9_mixing": op9_mixing,
     "op10_url_filter": op10_url_filter,
