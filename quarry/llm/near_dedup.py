@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import word_count
 from .components import components
 
 WORDS = 5
@@ -215,7 +216,10 @@ def across(members: DataFrame, signed: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (the least id of the class), class_size and node of every row of ``docs``."""
+    """doc_id, class_id (the least id of the class), class_size, mark (a hash of the text) and component of every row of ``docs``.
+
+    ``component`` tells classes apart and is null for texts without words, which are alone.
+    """
     signed = materialize(sign(docs, doc_id, text), "signed")
     nodes = materialize(signed.filter("node is not null").groupBy("node").agg(F.min("mark").alias("mark"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")), "nodes")
     buckets = nodes.select("node", F.explode("bands").alias("key"))
@@ -237,8 +241,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = materialize(checked(rest.join(tried, ["a", "b"], "left_anti"), texts, least), "links")
     final = materialize(components(links.union(more)), "components")
-    classed = signed.select("doc_id", "node").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classed = signed.select("doc_id", "mark", "node").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = classed.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     out = classed.join(sizes, "component", "left")
     alone = F.col("component").isNull()
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "node")
+    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "mark", "component")
+
+
+def one_of_each(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each class the one of the least id, once; texts without words all stay."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
+    chosen = classes.filter("component is not null").groupBy("component").agg(first)
+    key = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    chosen = chosen.select(key(F.col("first.doc_id")).alias("_key"), F.col("first.mark").alias("_mark"))
+    own = docs.select(F.struct(*docs.columns).alias("_row"), key(F.col(doc_id)).alias("_key"), F.xxhash64(F.col(text).cast("string")).alias("_mark"), (word_count(F.col(text)) == 0).alias("_blank"))
+    once = own.filter("not _blank").join(chosen, ["_key", "_mark"], "left_semi").groupBy("_key", "_mark").agg(F.any_value("_row").alias("_row"))
+    return once.select("_row.*").unionByName(own.filter("_blank").select("_row.*"))
