@@ -11,9 +11,10 @@ Texts of the same words are one node. Nodes that share a band are candidates:
 
 1. in every band each node meets the least one; pairs whose registers agree enough are checked on the words themselves, and
    those of similarity ``SIMILARITY`` or more are linked;
-2. in bands where several components are left, all nodes of different components meet, in blocks of
-   ``BLOCK`` by ``BLOCK`` nodes whose signatures are compared where they are; only pairs that agree enough leave a block
-   and are checked. Pairs within a component are never made: they cannot change the classes.
+2. in bands where several components are left, the nodes meet in blocks of ``BLOCK`` by ``BLOCK``: first by signature, which
+   leaves the nodes that agree enough with one of another component, then by their windows, with the overlap of all pairs of a block
+   from products of slices of its incidence matrix. A block returns the links that join its components, no more than it has
+   nodes; pairs themselves are never rows, and pairs within a component are not looked for, as they cannot change the classes.
 
 Classes are the connected components, so a class is never lost to the order of texts, and a bucket of any
 size is dealt out in blocks.
@@ -43,7 +44,8 @@ BANDS, ROWS = 30, 6
 REGISTERS = BANDS * ROWS
 #: Registers' share that must agree before texts are compared: four standard errors below SIMILARITY.
 AGREE = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
-BLOCK = 256
+#: Rows and bytes of a block, and columns of a slice of its matrix.
+BLOCK, BYTES, SLICE = 256, 4_000_000, 4096
 #: Windows that a worker works on at once, and words it remembers.
 AT_ONCE, MEMO = 250_000, 400_000
 
@@ -174,45 +176,125 @@ def similarity(one: np.ndarray, two: np.ndarray) -> tuple[int, int]:
     return both, len(one) + len(two) - both
 
 
-def checked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes whose multisets of windows are ``least`` similar. ``texts``: (node, text)."""
-    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+def bags(texts: DataFrame) -> DataFrame:
+    """(node, bag): the windows of each text of ``texts`` (node, text), as bytes of sorted hashes."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
+        for batch in batches:
+            made = [np.sort(hasher.windows(x.as_py())[0]).tobytes() for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary())], ["node", "bag"])
+
+    return texts.select("node", "text").mapInArrow(work, "node bigint, bag binary")
+
+
+def checked(pairs: DataFrame, bagged: DataFrame, least: float) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose multisets of windows are ``least`` similar."""
+    joined = pairs.join(bagged.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a").join(bagged.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
-                both, union = similarity(hasher.windows(x.as_py())[0], hasher.windows(y.as_py())[0])
+            for x, y in zip(batch.column("bag_a"), batch.column("bag_b"), strict=True):
+                both, union = similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64))
                 keep.append(both >= least * union - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a bigint, b bigint")
+    return joined.select("a", "b", "bag_a", "bag_b").mapInArrow(compare, "a bigint, b bigint")
 
 
-def across(members: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of different components in a bucket whose registers agree. ``members``: (key, node, component, n)."""
-    chunk = F.pmod(F.xxhash64("node", F.lit(8)), F.ceil(F.col("n") / BLOCK))
-    rows = members.join(signed.select("node", "sig"), "node").withColumn("chunk", chunk)
-    blocks = materialize(rows.groupBy("key", "chunk").agg(F.collect_list("node").alias("nodes"), F.collect_list("component").alias("components"), F.collect_list("sig").alias("sigs")), "blocks")
-    one, two = (blocks.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("chunk", "nodes", "components", "sigs")]) for side in "ab")
-    met = one.join(two, "key").filter("chunk_a <= chunk_b")
+def overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the overlaps of all multisets of ``one`` with all of ``two``: hashes, sorted.
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The k-th of equal hashes is an element of its own, so the least of two counts is a sum of products. Columns of the incidence
+    matrix are taken SLICE at a time.
+    """
+    every = one + two
+    hashes = np.concatenate(every)
+    row = np.repeat(np.arange(len(every)), [len(x) for x in every])
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+    start = np.maximum.accumulate(np.where(new, np.arange(len(hashes)), 0))
+    element = mix(hashes + (np.arange(len(hashes)) - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    _, column, count = np.unique(element, return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    place = np.cumsum(count > 1) - 1
+    row, column = row[shared], place[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(one), len(two)))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, SLICE):
+        own = slice(*np.searchsorted(column, [low, low + SLICE]))
+        matrix = np.zeros((len(every), SLICE), np.float32)
+        matrix[row[own], column[own] - low] = 1
+        out += matrix[: len(one)] @ matrix[len(one) :].T
+    return out
+
+
+def _blocks(members: DataFrame, payload: str, weight: str) -> DataFrame:
+    """Pairs of blocks of each bucket: ``members`` (key, node, component, payload) in blocks of BLOCK rows or BYTES at most, about."""
+    totals = members.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(weight) / BYTES)).alias("blocks"))
+    rows = members.join(totals, "key").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(8)), F.col("blocks")))
+    made = materialize(rows.groupBy("key", "chunk").agg(F.collect_list(F.struct("node", "component", F.col(payload).alias("payload"))).alias("rows")), "blocks")
+    one, two = (made.select("key", F.col("chunk").alias(f"chunk_{side}"), F.col("rows").alias(f"rows_{side}")) for side in "ab")
+    return one.join(two, "key").filter("chunk_a <= chunk_b").select("key", "rows_a", "rows_b")
+
+
+def _sides(row: dict, kind: type) -> tuple:
+    """Nodes, components and payloads of the two blocks of a row."""
+    out = []
+    for side in ("rows_a", "rows_b"):
+        out += [np.array([x[c] for x in row[side]], np.int64) for c in ("node", "component")]
+        out.append([np.frombuffer(x["payload"], kind) for x in row[side]])
+    return tuple(out)
+
+
+def across(members: DataFrame, nodes: DataFrame, bagged: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between nodes of different components of a bucket. ``members``: (key, node, component)."""
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.select([f"{c}_{side}" for side in "ab" for c in ("nodes", "components", "sigs")]).to_pylist():
-                a, b, ca, cb = (np.array(row[c], np.int64) for c in ("nodes_a", "nodes_b", "components_a", "components_b"))
-                sa, sb = (np.frombuffer(b"".join(row[c]), np.float32).reshape(-1, REGISTERS) for c in ("sigs_a", "sigs_b"))
-                left, right = [], []
+            for row in batch.to_pylist():
+                a, ca, sa, b, cb, sb = _sides(row, np.float32)
+                sb = np.stack(sb)
+                left, right = np.zeros(len(a), bool), np.zeros(len(b), bool)
                 for i in range(len(a)):
-                    hit = np.flatnonzero((cb != ca[i]) & ((sb == sa[i]).mean(axis=1) >= AGREE))
-                    left += [int(a[i])] * len(hit)
-                    right += b[hit].tolist()
+                    hit = (cb != ca[i]) & ((sb == sa[i]).mean(axis=1) >= AGREE)
+                    left[i] = hit.any()
+                    right |= hit
+                found = np.unique(np.concatenate([a[left], b[right]]))
+                yield pa.RecordBatch.from_arrays([pa.array([row["key"]] * len(found), pa.int64()), pa.array(found, pa.int64())], ["key", "node"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                a, ca, wa, b, cb, wb = _sides(row, np.uint64)
+                both = overlaps(wa, wb)
+                union = np.array([len(x) for x in wa])[:, None] + np.array([len(x) for x in wb])[None, :] - both
+                i, j = np.nonzero((both >= least * union - 1e-9) & (ca[:, None] != cb[None, :]))
+                above: dict[int, int] = {}
+
+                def top(x: int) -> int:
+                    while above.setdefault(x, x) != x:
+                        above[x] = above[above[x]]
+                        x = above[x]
+                    return x
+
+                left, right = [], []
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    one, two = top(int(ca[x])), top(int(cb[y]))
+                    if one != two:
+                        above[max(one, two)] = min(one, two)
+                        left.append(int(a[x]))
+                        right.append(int(b[y]))
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    columns = [f"{c}_{side}" for side in "ab" for c in ("nodes", "components", "sigs")]
-    found = met.select(*columns).mapInArrow(compare, "a bigint, b bigint")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    signed = members.join(nodes.select("node", "sig"), "node").withColumn("_weight", F.lit(4 * REGISTERS))
+    close = materialize(_blocks(signed, "sig", "_weight").mapInArrow(agree, "key bigint, node bigint").distinct(), "close")
+    full = members.join(close, ["key", "node"], "left_semi").join(bagged, "node").withColumn("_weight", F.length("bag"))
+    return _blocks(full, "bag", "_weight").select("rows_a", "rows_b").mapInArrow(join, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -232,14 +314,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     meeting = met.select("node").distinct()
     needed = nodes.join(meeting, "node", "left_semi").select("node", "mark")
     whole = docs.select(F.xxhash64(F.col(text).cast("string")).alias("mark"), F.col(text).cast("string").alias("text"))
-    texts = materialize(whole.join(needed, "mark").groupBy("node").agg(F.any_value("text").alias("text")), "texts")
-    links = materialize(checked(stars, texts, least), "links")
+    texts = whole.join(needed, "mark").groupBy("node").agg(F.any_value("text").alias("text"))
+    bagged = materialize(bags(texts), "bags")
+    links = materialize(checked(stars, bagged, least), "links")
     found = materialize(components(links), "components")
     placed = met.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key")
-    rest = across(placed.join(several, "key", "left_semi").select("key", "node", "component", "n"), nodes)
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialize(checked(rest.join(tried, ["a", "b"], "left_anti"), texts, least), "links")
+    members = materialize(placed.join(several, "key", "left_semi").select("key", "node", "component"), "members")
+    more = materialize(across(members, nodes, bagged, least), "links")
     final = materialize(components(links.union(more)), "components")
     classed = signed.select("doc_id", "mark", "node").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = classed.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
