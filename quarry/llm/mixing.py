@@ -27,8 +27,8 @@ from .common import word_count
 
 #: Rows that one task orders at a time when a cell's copies are dealt out.
 CHUNK = 256
-#: Times that what is left of a source's target is given to its best fitting cells.
-PASSES = 4
+#: Times that what is left of a source's target is given to its best fitting cells; at first only rounding may turn.
+STRICT, PASSES = 2, 5
 
 
 def source_targets(cells: DataFrame, weights: Sequence[float], cap: float) -> DataFrame:
@@ -95,10 +95,14 @@ def round_cells(cells: DataFrame, cap: float) -> DataFrame:
     wish = F.col("n") * F.col("rate")
     done = cells.withColumn("wish", wish).withColumn("run", F.sum("wish").over(by_size))
     done = done.withColumn("copies", F.floor(F.col("run") + 0.5) - F.floor(F.col("run") - F.col("wish") + 0.5))
-    for _ in range(PASSES):
+    for i in range(PASSES):
         # Positive: words are missing, cells rounded down may gain a copy. Negative: cells rounded up may lose one.
+        # Then any cell may, as the few words that are left by now are worth less than a copy of most cells.
         done = done.withColumn("short", F.col("target") - F.sum(F.col("copies") * F.col("size")).over(own))
-        free = F.when(F.col("short") > 0, (F.col("copies") < F.col("wish")) & (F.col("copies") < cap * F.col("n"))).otherwise((F.col("copies") > F.col("wish")) & (F.col("copies") > 0))
+        wish = F.col("wish") if i < STRICT else F.lit(None).cast("double")
+        more = (F.col("copies") < F.coalesce(wish, F.col("copies") + 1)) & (F.col("copies") < cap * F.col("n"))
+        less = (F.col("copies") > F.coalesce(wish, F.col("copies") - 1)) & (F.col("copies") > 0)
+        free = F.when(F.col("short") > 0, more).otherwise(less) & ((F.col("base") > 0) | (F.col("short") < 0))
         done = done.withColumn("part", F.when(free & (F.col("size") > 0) & (F.col("size") <= F.abs("short")), F.col("size")).otherwise(0))
         upto = W.partitionBy("skey").orderBy(F.desc("part"), F.desc("size"), "base").rowsBetween(W.unboundedPreceding, 0)
         taken = (F.col("part") > 0) & (F.sum("part").over(upto) <= F.abs("short"))
