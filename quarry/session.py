@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+HOME = str(Path(__file__).resolve().parents[1])
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor shares, as ``spark.checkpoint.dir`` names it.
@@ -34,5 +38,14 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, if it is there on their machine."""
+    env = spark.sparkContext.environment
+    paths = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if HOME not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, HOME])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
