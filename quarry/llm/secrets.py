@@ -90,7 +90,7 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
 
     ``keep``: columns of ``docs`` to return, all by default. Texts are not shuffled unless they are among them.
     """
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("base_spans", "all_spans")]
     key = F.md5(F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
     scanned = materialize(scan(docs, text).select(*keep, F.col("_base").alias("base_spans"), "_weak", key.alias("_key")), "scan")
     classes = F.size(F.array_distinct(F.transform(F.concat("base_spans", "_weak"), lambda x: x["class"])))
@@ -98,9 +98,9 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     as_part = lambda name, weak: several.select(F.col("_key").alias("key"), F.inline(name)).withColumn("weak", F.lit(weak))
     linked = link(as_part("base_spans", False).unionByName(as_part("_weak", True)), scope)
     extra = linked.groupBy("key").agg(F.collect_list(F.struct("start", "rank", "end", "kind", "class")).cast(SPAN).alias("_extra"))
-    joined = scanned.join(extra, scanned["_key"] == extra["key"], "left")
+    joined = scanned.join(extra.withColumnRenamed("key", "_key"), "_key", "left")
     every = F.array_sort(F.concat("base_spans", F.coalesce("_extra", F.array().cast(SPAN))))
-    return joined.withColumn("all_spans", every).select(*[c for c in keep if c not in ("base_spans", "all_spans")], "base_spans", "all_spans")
+    return joined.withColumn("all_spans", every).select(*keep, "base_spans", "all_spans")
 
 
 def as_text(found: Column) -> Column:
