@@ -33,7 +33,8 @@ LETTERS = 200
 #: Characters that a worker parses at once.
 BLOCK = 1_000_000
 SPACE, OTHER, BREAK = 0, 1, 255
-MISS = np.int32(-(2**31))
+#: Flags of a move: it ends a phrase; and the character, which the sample lacks, is one of its own.
+MISS, LONE = np.int32(-(2**31)), np.int32(2**30)
 
 
 def automaton(codes: np.ndarray) -> list[dict[int, int]]:
@@ -83,7 +84,8 @@ class CrossParser:
             root = np.zeros(self.width, np.int32)
             for c, to in moves[0].items():
                 root[c] = to * self.width
-            table = np.tile((root + base) | MISS, (len(moves), 1))
+            table = np.tile((root + base) | MISS | np.where(root == 0, LONE, np.int32(0)), (len(moves), 1))
+            table[0] &= ~LONE
             for state, own in enumerate(moves):
                 table[state, list(own)] = np.fromiter(own.values(), np.int32, len(own)) * self.width + base
             tables.append(table.ravel())
@@ -129,8 +131,9 @@ class CrossParser:
         for t in range(int(length[0]) if len(length) else 0):
             live = int(np.searchsorted(-length, -t, side="left"))
             moved = self.table.take(state[:, :live].astype(np.intp) + codes[begin[:live] + t])
-            ends[:, :live] -= moved >> 31
-            state[:, :live] = moved & ~MISS
+            ends[:, :live] += (moved < 0) + ((moved & LONE) != 0).astype(np.int32)
+            state[:, :live] = moved & ~(MISS | LONE)
+        ends -= state == self.roots[:, None]
         return np.stack([np.bincount(text, weights=row, minlength=n) for row in ends])
 
     def classify(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
