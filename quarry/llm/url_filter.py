@@ -117,7 +117,7 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, s
     )
     made = wildcards(counts)
     judged = judge(made.groupBy("host", "made").agg(F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed")))
-    verdicts = made.join(judged, ["host", "made"]).select(F.col("host").alias("_host"), F.col("segs").alias("_at"), F.concat(F.lit("/"), F.array_join("made", "/")).alias("template"), "purity", "reject")
+    verdicts = made.join(judged, ["host", "made"], "left").select(F.col("host").alias("_host"), F.col("segs").alias("_at"), F.concat(F.lit("/"), F.array_join("made", "/")).alias("template"), "purity", "reject")
     kept = [c for c in read.columns if c not in ("template", "purity", "verdict", "reject")]
     out = read.select(*kept).join(verdicts, (F.col("host") == F.col("_host")) & (F.col("_segs") == F.col("_at")), "left")
     verdict = F.coalesce("_by_rule", F.when(F.col("reject"), F.lit("block")), F.lit("allow"))
