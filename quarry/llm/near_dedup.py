@@ -46,6 +46,8 @@ REGISTERS = BANDS * ROWS
 AGREE = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 #: Rows and bytes of a block, and columns of a slice of its matrix.
 BLOCK, BYTES, SLICE = 256, 4_000_000, 4096
+#: Rows of two numbers that are broadcast at most; beyond, Spark joins as it sees fit.
+BROADCAST_ROWS = 1_000_000
 #: Windows that a worker works on at once, and words it remembers.
 AT_ONCE, MEMO = 250_000, 400_000
 
@@ -117,6 +119,11 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return registers.reshape(-1, REGISTERS).astype(np.float32)
 
 
+def digest(registers: np.ndarray) -> np.ndarray:
+    """16 bits of each register: two that differ look alike once in 65,536 times."""
+    return (mix(registers.view(np.uint32).astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+
+
 def bands(registers: np.ndarray) -> np.ndarray:
     """A hash of each band, which tells bands apart."""
     bits = registers.view(np.uint32).astype(np.uint64).reshape(len(registers), BANDS, ROWS)
@@ -147,7 +154,7 @@ def sign(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 keys = bands(made)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(begin, end - begin), batch.column("mark").slice(begin, end - begin), pa.array(nodes, pa.int64()),
-                     pa.array([x.tobytes() if n is not None else None for x, n in zip(made, nodes, strict=True)], pa.binary()),
+                     pa.array([x.tobytes() if n is not None else None for x, n in zip(digest(made), nodes, strict=True)], pa.binary()),
                      pa.array([x.tolist() if n is not None else None for x, n in zip(keys, nodes, strict=True)], pa.list_(pa.int64()))],
                     ["doc_id", "mark", "node", "sig", "bands"])
                 begin = end
@@ -160,7 +167,7 @@ def agreeing(pairs: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float32).reshape(-1, REGISTERS) for c in ("sig_a", "sig_b"))
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sig_a", "sig_b"))
             keep = pa.array((one == two).mean(axis=1) >= AGREE)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(keep)
 
@@ -257,7 +264,7 @@ def across(members: DataFrame, nodes: DataFrame, bagged: DataFrame, least: float
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                a, ca, sa, b, cb, sb = _sides(row, np.float32)
+                a, ca, sa, b, cb, sb = _sides(row, np.uint16)
                 sb = np.stack(sb)
                 left, right = np.zeros(len(a), bool), np.zeros(len(b), bool)
                 for i in range(len(a)):
@@ -291,12 +298,17 @@ def across(members: DataFrame, nodes: DataFrame, bagged: DataFrame, least: float
                         right.append(int(b[y]))
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    signed = members.join(nodes.select("node", "sig"), "node").withColumn("_weight", F.lit(4 * REGISTERS))
+    signed = members.join(nodes.select("node", "sig"), "node").withColumn("_weight", F.lit(2 * REGISTERS))
     close = materialize(_blocks(signed, "sig", "_weight").mapInArrow(agree, "key bigint, node bigint").distinct(), "close")
     full = members.join(close, ["key", "node"], "left_semi").join(bagged, "node").withColumn("_weight", F.length("bag"))
     return _blocks(full, "bag", "_weight").select("rows_a", "rows_b").mapInArrow(join, "a bigint, b bigint")
 
 
+def _small(side: DataFrame) -> DataFrame:
+    """``side``, to be broadcast if it has few rows, so that texts are not shuffled to meet it."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (the least id of the class), class_size, mark (a hash of the text) and component of every row of ``docs``.
 
@@ -314,7 +326,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     meeting = met.select("node").distinct()
     needed = nodes.join(meeting, "node", "left_semi").select("node", "mark")
     whole = docs.select(F.xxhash64(F.col(text).cast("string")).alias("mark"), F.col(text).cast("string").alias("text"))
-    texts = whole.join(needed, "mark").groupBy("node").agg(F.any_value("text").alias("text"))
+    texts = whole.join(_small(materialize(needed, "needed")), "mark").groupBy("node").agg(F.any_value("text").alias("text"))
     bagged = materialize(bags(texts), "bags")
     links = materialize(checked(stars, bagged, least), "links")
     found = materialize(components(links), "components")
@@ -332,10 +344,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def one_of_each(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each class the one of the least id, once; texts without words all stay."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
-    chosen = classes.filter("component is not null").groupBy("component").agg(first)
-    key = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
-    chosen = chosen.select(key(F.col("first.doc_id")).alias("_key"), F.col("first.mark").alias("_mark"))
-    own = docs.select(F.struct(*docs.columns).alias("_row"), key(F.col(doc_id)).alias("_key"), F.xxhash64(F.col(text).cast("string")).alias("_mark"), (word_count(F.col(text)) == 0).alias("_blank"))
-    once = own.filter("not _blank").join(chosen, ["_key", "_mark"], "left_semi").groupBy("_key", "_mark").agg(F.any_value("_row").alias("_row"))
-    return once.select("_row.*").unionByName(own.filter("_blank").select("_row.*"))
+    key = lambda c: F.coalesce(F.xxhash64(c.cast("string")), F.lit(0))
+    rows = classes.filter("component is not null").groupBy("component", "doc_id", "mark").agg(F.count(F.lit(1)).alias("times"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "times")).alias("first")
+    chosen = rows.groupBy("component").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"), F.col("first.times").alias("_times"))
+    chosen = _small(materialize(chosen.withColumn("_key", key(F.col("_id"))), "chosen"))
+    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_own"), key(F.col(doc_id)).alias("_key"), F.xxhash64(F.col(text).cast("string")).alias("_mark"), (word_count(F.col(text)) == 0).alias("_blank"))
+    met = own.filter("not _blank").join(chosen, ["_key", "_mark"]).filter(F.col("_own").eqNullSafe(F.col("_id")))
+    # Only rows that are repeated as they are need to come together.
+    once = met.filter("_times = 1").select("_row.*")
+    again = met.filter("_times > 1").groupBy("_key", "_mark").agg(F.any_value("_row").alias("_row")).select("_row.*")
+    return once.unionByName(again).unionByName(own.filter("_blank").select("_row.*"))
+
+
