@@ -6,7 +6,9 @@ hash-joined to those of the benchmark, so a question whose numbers or names were
 
 A document and an item belong together if the windows that met cover at least ``COVER`` of the item's, and their slots
 are consistent: equal values of the item stand against equal values in the document. Values that all equal the item's
-are a verbatim copy, others a re-parameterised question.
+are a verbatim copy, others a re-parameterised question. Where all windows of a pair together are not consistent, both are
+tested per occurrence: among windows whose positions in document and item differ by the same, or nearly the same where
+a copy has gained or lost tokens. One occurrence that passes is enough.
 
 Only windows that meet a benchmark window leave their task. The benchmark side is broadcast after its rows are
 counted, up to ``BROADCAST_ROWS``; beyond, Spark joins as it sees fit.
@@ -71,25 +73,48 @@ def windows(rows: DataFrame, text: str, least_words: int = 0) -> DataFrame:
     return slotted.select(*keep, F.inline(made))
 
 
+def occurrences(diff: Column, span: Column) -> Column:
+    """Groups that a match belongs to, by the difference of its positions: those of the very difference, and half-overlapping
+    ranges of 4, 16, ... up to twice the item's ``span``, so that a copy which gained or lost tokens lies in one of them."""
+    levels = F.sequence(F.lit(0), F.ceil(F.log(4.0, span + 1) + 0.5).cast("int"))
+    width = lambda k: F.pow(F.lit(4.0), k)
+    group = lambda k, half: F.struct(k.alias("level"), F.lit(half).alias("half"), F.floor((diff + half * F.floor(width(k) / 2)) / width(k)).alias("range"))
+    return F.concat(F.transform(levels, lambda k: group(k, 0)), F.transform(F.filter(levels, lambda k: k > 0), lambda k: group(k, 1)))
+
+
+def tested(met: DataFrame, total: DataFrame, by: list[str], cover: float) -> DataFrame:
+    """The ``by`` groups of ``met`` that cover enough of their item: coverage, slots, verbatim, and whether they are consistent."""
+    covered = met.groupBy(*by).agg(F.count_distinct("hash").alias("met")).join(total, "item_id").withColumn("coverage", F.col("met") / F.col("total")).filter(F.col("coverage") >= cover)
+    both = F.filter(F.arrays_zip(F.col("_theirs").alias("theirs"), F.col("_ours").alias("ours")), lambda x: x["theirs"].isNotNull() & x["ours"].isNotNull())
+    pairs = met.filter("_ours is not null and _theirs is not null").select(*by, F.explode(both).alias("pair")).select(*by, "pair.theirs", "pair.ours").distinct()
+    slots = pairs.groupBy(*by, "theirs").agg(F.count(F.lit(1)).alias("values"), F.bool_and(F.col("ours") == F.col("theirs")).alias("same"))
+    slots = slots.groupBy(*by).agg(F.count(F.lit(1)).alias("slots"), F.max("values").alias("most"), F.bool_and("same").alias("verbatim"))
+    joined = covered.alias("c").join(slots.alias("s"), [F.col(f"c.{x}").eqNullSafe(F.col(f"s.{x}")) for x in by], "left")
+    made = {"slots": F.coalesce("slots", F.lit(0)), "verbatim": F.coalesce("verbatim", F.lit(True)), "consistent": F.coalesce(F.col("most"), F.lit(1)) == 1}
+    return joined.select(*[f"c.{x}" for x in by], "coverage", "span", *[v.alias(k) for k, v in made.items()])
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", cover: float = COVER) -> DataFrame:
     """Pairs of a document and an item: _id, _mark, item_id, coverage, slots, verbatim.
 
-    ``docs`` has _id, _mark and the text. Rows alike in all three are one document here.
+    ``docs`` has _id, _mark and the text. Rows alike in all three are one document here. A pair that is found by occurrences
+    has the figures of the one that covers most, a verbatim one first.
     """
     items = materialize(windows(benchmark.select("item_id", F.col("text").alias("_item")), "_item", LEAST_WORDS), "items")
-    total = items.groupBy("item_id").agg(F.count_distinct("hash").alias("total"))
-    side = items.select("item_id", "hash", F.col("slots").alias("_theirs"))
+    total = items.groupBy("item_id").agg(F.count_distinct("hash").alias("total"), F.max("at").alias("span"))
+    side = items.select("item_id", "hash", F.col("at").alias("_at"), F.col("slots").alias("_theirs"))
     if side.count() <= BROADCAST_ROWS:
         side = F.broadcast(side)
-    met = materialize(windows(docs, text).join(side, "hash").select("_id", "_mark", "item_id", "hash", F.col("slots").alias("_ours"), "_theirs"), "met")
-    covered = met.groupBy("_id", "_mark", "item_id").agg(F.count_distinct("hash").alias("met")).join(total, "item_id").withColumn("coverage", F.col("met") / F.col("total")).filter(F.col("coverage") >= cover)
-    both = F.filter(F.arrays_zip(F.col("_theirs").alias("theirs"), F.col("_ours").alias("ours")), lambda x: x["theirs"].isNotNull() & x["ours"].isNotNull())
-    pairs = met.filter("_ours is not null and _theirs is not null").select("_id", "_mark", "item_id", F.explode(both).alias("pair")).select("_id", "_mark", "item_id", "pair.theirs", "pair.ours").distinct()
-    slots = pairs.groupBy("_id", "_mark", "item_id", "theirs").agg(F.count(F.lit(1)).alias("values"), F.bool_and(F.col("ours") == F.col("theirs")).alias("same"))
-    slots = slots.groupBy("_id", "_mark", "item_id").agg(F.count(F.lit(1)).alias("slots"), F.max("values").alias("most"), F.bool_and("same").alias("verbatim"))
-    same = [F.col("c._id").eqNullSafe(F.col("s._id")), F.col("c._mark") == F.col("s._mark"), F.col("c.item_id").eqNullSafe(F.col("s.item_id"))]
-    joined = covered.alias("c").join(slots.alias("s"), same, "left")
-    return joined.filter(F.coalesce(F.col("most"), F.lit(1)) == 1).select("c._id", "c._mark", "c.item_id", "coverage", F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("verbatim", F.lit(True)).alias("verbatim"))
+    diff = (F.col("at") - F.col("_at")).alias("diff")
+    met = materialize(windows(docs, text).join(side, "hash").select("_id", "_mark", "item_id", "hash", diff, F.col("slots").alias("_ours"), "_theirs"), "met")
+    pair = ["_id", "_mark", "item_id"]
+    whole = materialize(tested(met, total, pair, cover), "whole")
+    torn = whole.filter("not consistent").select(*[F.col(x).alias(f"_{x}") for x in pair], "span")
+    again = met.join(torn, [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in pair]).withColumn("group", F.explode(occurrences(F.col("diff"), F.col("span"))))
+    best = F.max(F.struct("coverage", "verbatim", "slots")).alias("best")
+    parts = tested(again.drop("span"), total, [*pair, "group"], cover).filter("consistent").groupBy(*pair).agg(best)
+    result = [*pair, "coverage", "slots", "verbatim"]
+    return whole.filter("consistent").select(*result).unionByName(parts.select(*pair, "best.*").select(*result))
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -24,6 +24,22 @@ def test_questions_are_caught(spark, documents, odd):
     assert dc.mark(documents([]), bench(spark, [(1, ITEM)])).count() == 0
 
 
+def test_occurrences_are_judged_apart(spark, documents):
+    other = lambda a, b: ITEM.replace("120", a).replace("9", b)
+    filler = " and so on went the old tale of birds and stones near mills. "
+    longer = other("150", "7").replace("how fast", "oh how very fast")
+    torn = ITEM.replace("train of 120", "train of 170")
+    repeats = "we count the red stones in row 4 now. we count the red stones in row 6 now. say the sum of all of the stones"
+    rows = [
+        (20, ITEM + filler + other("150", "7")), (21, other("150", "7") + ". " + other("180", "8")), (22, ITEM + filler + ITEM[:60].replace("9", "8")),
+        (23, repeats), (24, longer + filler + other("180", "8").replace("how fast", "how, I ask, fast")), (25, torn + filler + torn.replace("170", "180")),
+    ]
+    got = {r["doc_id"]: r for r in dc.mark(documents(rows), bench(spark, [(1, ITEM), (2, repeats)])).collect()}
+    assert {i: list(r["items"]) for i, r in got.items()} == {20: [1], 21: [1], 22: [1], 23: [2], 24: [1], 25: []}
+    assert {i for i, r in got.items() if r["reparameterised"]} == {21, 24}
+    assert got[20]["coverage"] == got[22]["coverage"] == got[23]["coverage"] == 1.0
+
+
 def test_verbatim_windows_agree_with_brute_force(spark, documents):
     import random
 
