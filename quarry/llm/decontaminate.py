@@ -10,16 +10,21 @@ are a verbatim copy, others a re-parameterised question. Where all windows of a
 tested per occurrence: among windows whose positions in document and item differ by the same, or nearly the same where
 a copy has gained or lost tokens. One occurrence that passes is enough.
 
+An item without a window, as it is shorter or has too few plain words in each, is one window of its own length: its words and
+numbers, lower-cased, are looked for as they are in documents, so verbatim copies are found and no others.
+
 Only windows that meet a benchmark window leave their task. The benchmark side is broadcast after its rows are
 counted, up to ``BROADCAST_ROWS``; beyond, Spark joins as it sees fit.
 
-Defined cases: a null, empty or short text has no windows and is clean; an item of fewer than WINDOW tokens, or one that
-is nearly all placeholders, has none either and meets nothing; repeated rows each get the same result; an empty table of
+Defined cases: a null or empty text has no tokens and is clean, an item without any meets nothing; an item of one word is
+found wherever the word stands; letters of scripts that put no spaces between words are tokens one by one; repeated rows each get the same result; an empty table of
 either kind gives clean documents or none; columns named like the result's give way. Items with equal text are items of their own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +44,9 @@ UNITS = [
     "dollars", "euro", "euros", "percent", "degree", "degrees", "mph", "kmh",
 ]
 NUMBER, NAME, UNIT = "0", "@", "%"
-TOKEN = r"@?[\p{L}\p{M}]+|[0-9]+(?:[.,:/][0-9]+)*"
+#: Letters of scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana, Han.
+ALONE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+TOKEN = rf"@?(?:(?![{ALONE}])[\p{{L}}\p{{M}}])+|[[{ALONE}]&&[\p{{L}}]]\p{{M}}*|[0-9]+(?:[.,:/][0-9]+)*"
 #: Before a capitalised word that follows a word or a comma, not the end of a sentence.
 NAMED = r"(?<=[\p{L}\p{N},;:] )(?=\p{Lu}\p{Ll})"
 
@@ -56,8 +63,12 @@ def template(raw: Column) -> Column:
     return F.transform(raw, lambda x, i: F.when(number(x), NUMBER).when(x.startswith(NAME), NAME).when(x.isin(UNITS) & number(F.get(raw, i - 1)), UNIT).otherwise(F.lower(x)))
 
 
-def windows(rows: DataFrame, text: str, least_words: int = 0) -> DataFrame:
-    """``rows`` without ``text`` but with ``at``, ``hash`` and ``slots`` of every window; slots hold null for words."""
+def windows(rows: DataFrame, text: str, item: bool = False, lengths: Sequence[int] = ()) -> DataFrame:
+    """``rows`` without ``text`` but with ``at``, ``hash``, ``slots`` and ``length`` of every window; slots hold null for words.
+
+    Of an ``item`` the windows with enough words, or the whole if there is none (then ``whole``). Of a document all windows, and
+    those of the ``lengths`` that whole items have.
+    """
     is_slot = lambda x: x.isin(NUMBER, NAME, UNIT)
     keep = [c for c in rows.columns if c != text]
     raw = rows.select(*keep, tokens(F.col(text)).alias("_raw"))
@@ -65,11 +76,24 @@ def windows(rows: DataFrame, text: str, least_words: int = 0) -> DataFrame:
     slotted = typed.withColumn("_slots", F.when(F.exists("_typed", is_slot), F.zip_with("_raw", "_typed", lambda r, t: F.when(is_slot(t), r))))
     own = lambda i: F.slice("_typed", i, WINDOW)
     values = lambda i: F.when(F.exists(F.slice("_slots", i, WINDOW), lambda x: x.isNotNull()), F.slice("_slots", i, WINDOW))
-    n = F.size("_typed") - WINDOW + 1
-    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    if least_words:
-        starts = F.filter(starts, lambda i: F.size(F.filter(own(i), lambda x: ~is_slot(x))) >= least_words)
-    made = F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(own(i)).alias("hash"), values(i).alias("slots")))
+
+    def starts(n: Column | int) -> Column:
+        last = F.size("_typed") - n + 1
+        return F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+
+    def bare(n: Column) -> Callable[[Column], Column]:
+        return lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit("whole"), F.slice("_plain", i, n)).alias("hash"), F.lit(None).cast("array<string>").alias("slots"), n.alias("length"), F.lit(True).alias("whole"))
+
+    at = starts(WINDOW)
+    if item:
+        at = F.filter(at, lambda i: F.size(F.filter(own(i), lambda x: ~is_slot(x))) >= LEAST_WORDS)
+    made = F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(own(i)).alias("hash"), values(i).alias("slots"), F.lit(WINDOW).alias("length"), F.lit(False).alias("whole")))
+    if item or lengths:
+        slotted = slotted.withColumn("_plain", F.transform("_raw", lambda x: F.lower(F.ltrim(x, F.lit(NAME)))))
+    if item:
+        made = F.when((F.size(made) == 0) & (F.size("_raw") > 0), F.array(bare(F.size("_raw"))(F.lit(1)))).otherwise(made)
+    for n in lengths:
+        made = F.concat(made, F.transform(starts(n), bare(F.lit(n))))
     return slotted.select(*keep, F.inline(made))
 
 
@@ -100,13 +124,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", cover: fl
     ``docs`` has _id, _mark and the text. Rows alike in all three are one document here. A pair that is found by occurrences
     has the figures of the one that covers most, a verbatim one first.
     """
-    items = materialize(windows(benchmark.select("item_id", F.col("text").alias("_item")), "_item", LEAST_WORDS), "items")
+    items = materialize(windows(benchmark.select("item_id", F.col("text").alias("_item")), "_item", item=True), "items")
+    lengths = sorted(r[0] for r in items.filter("whole").select("length").distinct().collect())
     total = items.groupBy("item_id").agg(F.count_distinct("hash").alias("total"), F.max("at").alias("span"))
     side = items.select("item_id", "hash", F.col("at").alias("_at"), F.col("slots").alias("_theirs"))
     if side.count() <= BROADCAST_ROWS:
         side = F.broadcast(side)
     diff = (F.col("at") - F.col("_at")).alias("diff")
-    met = materialize(windows(docs, text).join(side, "hash").select("_id", "_mark", "item_id", "hash", diff, F.col("slots").alias("_ours"), "_theirs"), "met")
+    met = materialize(windows(docs, text, lengths=lengths).join(side, "hash").select("_id", "_mark", "item_id", "hash", diff, F.col("slots").alias("_ours"), "_theirs"), "met")
     pair = ["_id", "_mark", "item_id"]
     whole = materialize(tested(met, total, pair, cover), "whole")
     torn = whole.filter("not consistent").select(*[F.col(x).alias(f"_{x}") for x in pair], "span")

@@ -40,6 +40,17 @@ def test_occurrences_are_judged_apart(spark, documents):
     assert got[20]["coverage"] == got[22]["coverage"] == got[23]["coverage"] == 1.0
 
 
+def test_items_without_windows_are_found_verbatim(spark, documents):
+    sums, names, han = "12 + 30 + 45 + 61 + 70 + 88 + 90 + 11 = 407", "Berlin, Paris, Rome, Oslo, Madrid, Vienna, Prague, Lisbon", "一列火车九点出发三小时行驶一百二十公里平均速度是多少"
+    items = [(1, SHORT), (2, sums), (3, names), (4, han), (5, "Was ist es")]
+    rows = [
+        (30, f"so we ask: {SHORT}? yes"), (31, f"add {sums} and go"), (32, f"the towns {names} and more"), (33, f"他说{han}呢"), (34, "well, was ist es denn"),
+        (35, "what was this"), (36, f"add {sums.replace('45', '46')} and go"), (37, f"the towns {names.replace('Rome', 'Bonn')}"), (38, "一列火车"), (39, SHORT),
+    ]
+    got = {r["doc_id"]: list(r["items"]) for r in dc.mark(documents(rows), bench(spark, items)).collect()}
+    assert got == {30: [1], 31: [2], 32: [3], 33: [4], 34: [5], 35: [], 36: [], 37: [], 38: [], 39: [1]}
+
+
 def test_verbatim_windows_agree_with_brute_force(spark, documents):
     import random
 
