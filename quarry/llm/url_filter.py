@@ -4,14 +4,15 @@
 2. Per host, paths become templates: segments that are variable by form (numbers, dates, long hex) turn into ``*``, then, level by
    level, the children of a node turn into ``*`` if they are many and nearly all different.
 3. Branches of a host with the same shape merge if their shares of blocked labels do not differ from the pooled share by
-   more than ``Z`` standard errors. A branch without labels gives no evidence and stays as it is.
-4. A template is rejected if its smoothed purity, (blocked + prior * M) / (labelled + M), reaches ``PURITY`` and it has at least
-   ``LEAST`` labels of its own. Labels are those given, by default the urls that a rule decides.
+   more than ``Z`` standard errors. A branch without labels joins the merged ones of its shape if the mean length of its paths
+   does not differ from theirs by more than ``Z`` standard errors; else it takes the labels below its nearest node that has any.
+4. A template is rejected if its smoothed purity, (blocked + prior * M) / (labelled + M), reaches ``PURITY`` and what it has
+   merged with, or takes, has at least ``LEAST`` labels. Labels are those given, by default the urls that a rule decides.
 
 All counts are grouped sums of (host, template); nothing reads the rows of a host together.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no rule, and is allowed; repeated rows each get the same
-verdict; with no labels at all nothing is rejected; an empty table gives an empty result; columns of the
+verdict; a host without labels has no purity and nothing of it is rejected; an empty table gives an empty result; columns of the
 input named like the result's give way, the others are kept.
 """
 
@@ -83,8 +84,25 @@ def wildcards(paths: DataFrame) -> DataFrame:
     return paths
 
 
+def inherited(rows: DataFrame, sums: DataFrame) -> DataFrame:
+    """(host, made, b, l) of templates without labels: labels of the like branches, else those below the nearest node with any."""
+    bare = rows.filter("labelled = 0")
+    squares = F.col("squares") - F.col("chars") * F.col("chars") / F.col("n") + F.col("_squares") - F.col("_chars") * F.col("_chars") / F.col("_n")
+    error = F.sqrt(F.greatest(squares, F.lit(0.0)) / F.greatest(F.col("n") + F.col("_n") - 2, F.lit(1)) * (1 / F.col("n") + 1 / F.col("_n")))
+    alike = F.abs(F.col("chars") / F.col("n") - F.col("_chars") / F.col("_n")) <= Z * error + 1e-9
+    near = materialize(bare.join(sums.filter("branch = 'merged'"), ["host", "shape"]).filter(alike).select("host", "made", "b", "l"), "near")
+    nodes = F.explode(F.transform(F.sequence(F.lit(0), F.size("made")), lambda i: F.slice("made", 1, i))).alias("node")
+    below = rows.filter("labelled > 0").select("host", nodes, "blocked", "labelled").groupBy("host", "node").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
+    left = bare.join(near, ["host", "made"], "left_anti").select("host", "made", nodes).join(below, ["host", "node"])
+    backed = left.groupBy("host", "made").agg(F.max_by(F.struct("b", "l"), F.size("node")).alias("taken"))
+    return near.unionByName(backed.select("host", "made", "taken.b", "taken.l"))
+
+
 def judge(templates: DataFrame) -> DataFrame:
-    """``templates`` (host, made, blocked, allowed): adds ``purity`` and ``reject`` after like branches have merged."""
+    """``templates`` (host, made, n, chars, squares, blocked, allowed): adds ``purity`` and ``reject`` after like branches have merged.
+
+    ``chars`` and ``squares`` are sums of path lengths and of their squares.
+    """
     shape = F.array_join(F.transform("made", lambda x: F.when(x.isin("*", "**"), x).otherwise(F.lit("w"))), "/")
     rows = materialize(templates.withColumn("shape", shape).withColumn("labelled", F.col("blocked") + F.col("allowed")), "templates")
     labelled = rows.filter("labelled > 0")
@@ -94,8 +112,9 @@ def judge(templates: DataFrame) -> DataFrame:
     branch = F.when(F.col("alike"), F.lit("merged")).otherwise(F.concat(F.lit("/"), F.array_join("made", "/")))
     merged = tested.withColumn("branch", branch)
     prior = rows.agg((F.coalesce(F.sum("blocked") / F.nullif(F.sum("labelled"), F.lit(0)), F.lit(0.0))).alias("prior"))
-    sums = merged.groupBy("host", "shape", "branch").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
-    scored = merged.join(sums, ["host", "shape", "branch"]).join(F.broadcast(prior), how="cross")  # one row
+    sums = merged.groupBy("host", "shape", "branch").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"), *[F.sum(c).alias(f"_{c}") for c in ("n", "chars", "squares")])
+    own = merged.join(sums, ["host", "shape", "branch"]).select("host", "made", "b", "l")
+    scored = own.unionByName(inherited(rows, sums)).join(F.broadcast(prior), how="cross")  # one row
     purity = (F.col("b") + F.col("prior") * M) / (F.col("l") + M)
     return scored.select("host", "made", F.col("l").alias("labels"), purity.alias("purity"), ((purity >= PURITY) & (F.col("l") >= LEAST)).alias("reject"))
 
@@ -110,13 +129,14 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, s
     ruled = by_rule(rules, F.col("host"), F.col("path"))
     read = add_columns(read, {"rule": ruled["rule"], "_by_rule": ruled["verdict"], "_segs": segments(F.col("path"))})
     mark = F.col("_by_rule") if label is None else F.col(label)
+    length = F.length("path").cast("double")
     counts = materialize(
         read.filter("host <> ''").groupBy("host", F.col("_segs").alias("segs")).agg(
-            F.count(F.lit(1)).alias("n"), F.count_if(mark == "block").alias("blocked"), F.count_if(mark == "allow").alias("allowed")),
+            F.count(F.lit(1)).alias("n"), F.sum(length).alias("chars"), F.sum(length * length).alias("squares"), F.count_if(mark == "block").alias("blocked"), F.count_if(mark == "allow").alias("allowed")),
         "paths",
     )
     made = wildcards(counts)
-    judged = judge(made.groupBy("host", "made").agg(F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed")))
+    judged = judge(made.groupBy("host", "made").agg(*[F.sum(c).alias(c) for c in ("n", "chars", "squares", "blocked", "allowed")]))
     verdicts = made.join(judged, ["host", "made"], "left").select(F.col("host").alias("_host"), F.col("segs").alias("_at"), F.concat(F.lit("/"), F.array_join("made", "/")).alias("template"), "purity", "reject")
     kept = [c for c in read.columns if c not in ("template", "purity", "verdict", "reject")]
     out = read.select(*kept).join(verdicts, (F.col("host") == F.col("_host")) & (F.col("_segs") == F.col("_at")), "left")

@@ -30,6 +30,25 @@ def test_templates_learn_from_labels(spark):
     assert set(got.template) == {"/promo/*", "/docs/*"}
 
 
+def test_branches_without_labels_take_those_of_like_branches(spark):
+    from pyspark.sql import functions as F
+
+    urls, want = [], []
+    for host, known, new, verdict in (
+        ("bad.xyz", "/en/{}", "/fr/{}", "block"), ("bad.xyz", "/en/{}", "/fr/a-much-longer-name-{}/x/y", "block"), ("good.xyz", "/en/{}", "/fr/{}", "allow"), ("none.xyz", None, "/fr/{}", "allow"),
+    ):
+        for of, label in ((known, "allow" if host == "good.xyz" else "block"), (new, None)):
+            urls += [(f"http://{host}{of.format(1000 + i)}", label) for i in range(20) if of]
+            want += [label or verdict for _ in range(20) if of]
+    # Half of the labels below the host's root say otherwise, so a branch of another shape is not rejected.
+    urls += [(f"http://mixed.xyz/{a}/{i}", b) for a, b in (("en", "block"), ("de", "allow")) for i in range(1000, 1020)] + [("http://mixed.xyz/fr/x/y/1000", None)]
+    want += ["block"] * 20 + ["allow"] * 21
+    df = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(urls)], "page_id long, url string, mine string")
+    got = uf.filter_urls(df, rules=[], label="mine").orderBy("page_id").collect()
+    assert [r["verdict"] for r in got] == want
+    assert all((r["purity"] is None) == (r["host"] == "none.xyz") for r in got)
+
+
 def test_varied_children_become_wildcards(spark):
     df = pages(spark, [f"http://h.xyz/tag/{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'qwertzuiop'[i // 26]}/page" for i in range(200)])
     assert {r[0] for r in uf.filter_urls(df).select("template").collect()} == {"/tag/*/page"}
