@@ -188,6 +188,12 @@ def changed_file_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.changed_only(rows, c.changed).groupBy("rule_id").agg(F.count(F.lit(1)).alias("findings"))
 
 
+def whole_category_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``category_scores``, of every registered rule. Not a registered query, as the roll-ups' SQL has the rules of ROLLED."""
+    c = testdata.catalog(spark, sf_dir)
+    return score.category_scores(findings(c, SETTINGS), c.models).select("category", "models", "failing", "violations", "passing")
+
+
 _ROLLED = "found AS (" + " UNION ALL ".join(f"SELECT '{r}' AS rule_id, model_name, file_path FROM ({CHECKS[r]}) q{i}" for i, r in enumerate(ROLLED)) + ")"
 _SIM = f""", prof AS ({testdata.PROFILE_SQL}), scored AS (SELECT a.model_id AS left_id, b.model_id AS right_id, len(list_intersect(a.inputs, b.inputs)) AS shared_inputs, len(list_intersect(a.selected, b.selected)) AS shared_columns,
  {{}} FROM prof a JOIN prof b ON a.layer = b.layer AND a.idx < b.idx), parts AS (SELECT *, i * 0.28e0 + s * 0.24e0 + j * 0.14e0 + f * 0.10e0 + g * 0.08e0 + 0.08e0 + 0.08e0 AS score FROM scored), pairs AS (SELECT * FROM parts WHERE score >= 0.72e0 AND NOT (i < 0.34e0 AND s < 0.50e0))"""

@@ -98,3 +98,13 @@ def test_review(shop):
 
     got = {(r["rule_id"], r["severity"], r["model_name"]) for r in ai.review(shop, provider).collect()}
     assert got == {("ai.review_error", "info", "bad"), ("ai.general", "warning", "fct_orders")}
+
+
+def test_flagship_scores_every_category(spark):
+    import __spark_entry__
+    from quarry.plans import queries
+
+    got = {r["category"]: r for r in __spark_entry__.entry(spark).collect()}
+    assert {c for c in ("style", "migration", "reuse") if not got[c]["violations"]} == set()
+    style = [r["model_name"] for rule in queries.RULES if rule.startswith("style.") for r in queries.rule_query(rule)(spark, "/root/testdata/sf0.001").collect()]
+    assert (got["style"]["violations"], got["style"]["failing"]) == (len(style), len(set(style)))
