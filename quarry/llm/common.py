@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,41 @@ def fold(doc_id: Column, of: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of, F.lit(0)).cast("int")
 
 
-def add_columns(df: DataFrame, made: dict[str, Column]) -> DataFrame:
-    """``df`` with the columns of ``made``; a column of such a name gives way."""
-    return df.withColumns(made)
+class Box:
+    """Columns of an input under names of their own, the ones to keep as one struct ``row``: nothing that an operator adds can clash.
+
+    ``made``: names of the columns that the operator returns; columns of the input named so, in any case, give way.
+    A column is found by its very name, else without regard to case.
+    """
+
+    def __init__(self, docs: DataFrame, keep: Sequence[str] | None = None, made: Sequence[str] = ()) -> None:
+        self.names = docs.columns
+        self.docs = docs.toDF(*[f"c{i}" for i in range(len(self.names))])
+        less = {m.lower() for m in made}
+        self.kept = [(self.place(n), n) for n in (self.names if keep is None else keep) if n.lower() not in less]
+
+    def place(self, name: str) -> int:
+        folded = [n.lower() for n in self.names]
+        return self.names.index(name) if name in self.names else folded.index(name.lower())
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(f"c{self.place(name)}")
+
+    @property
+    def row(self) -> Column:
+        own = [F.col(f"c{i}") for i in dict.fromkeys(i for i, _ in self.kept)]
+        return F.struct(*own or [F.lit(None).cast("int").alias("none")])
+
+    def rows(self, **own: Column) -> DataFrame:
+        """``row`` and the ``own`` columns."""
+        return self.docs.select(self.row.alias("row"), *[v.alias(k) for k, v in own.items()])
+
+    def open(self, df: DataFrame, **made: Column) -> DataFrame:
+        """The kept columns of ``df``'s ``row``, under their names, with those ``made``."""
+        return df.select(*[F.col("row")[f"c{i}"].alias(n) for i, n in self.kept], *[v.alias(k) for k, v in made.items()])
+
+
+def picked(docs: DataFrame, **own: str) -> DataFrame:
+    """Columns of ``docs`` as ``new=name``, whatever else it has."""
+    box = Box(docs, [])
+    return box.docs.select(*[box[name].alias(new) for new, name in own.items()])

@@ -21,10 +21,13 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import importable
 from . import labelled
+from .common import picked
 
 BUCKETS = 1 << 16
 EPOCHS = 300
@@ -96,48 +99,65 @@ class Model:
         return np.diff(upto, axis=1, prepend=0.0)
 
 
-def fit(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Model:
+def sparse(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Labels of the texts of ``rows``, and their features as text, bucket and value; the texts themselves stay on the executors."""
+
+    def features(text: str) -> dict[str, object]:
+        own = vector(text, {})
+        return {"col": np.fromiter(own, np.uint16, len(own)).tobytes(), "val": np.fromiter(own.values(), np.float32, len(own)).tobytes()}
+
+    got = labelled.gather(rows, features, {"col": pa.binary(), "val": pa.binary()})
+    row = np.repeat(np.arange(len(got["col"]), dtype=np.int32), [len(x) // 2 for x in got["col"]])
+    return got["label"], row, np.frombuffer(b"".join(got["col"]), np.uint16), np.frombuffer(b"".join(got["val"]), np.float32)
+
+
+def fit(y: np.ndarray, weight: np.ndarray, row: np.ndarray, col: np.ndarray, val: np.ndarray) -> Model:
+    """Fits to grades and weights of texts, and their features (text, bucket, value)."""
     grades = sorted(set(y.tolist())) or [0]
     if len(grades) < 2:
         return Model(np.zeros(BUCKETS), np.zeros(0), grades)
     place = np.searchsorted(grades, y)
-    memo: dict = {}
-    vectors = [vector(x, memo) for x in texts]
-    row = np.repeat(np.arange(len(vectors)), [len(v) for v in vectors])
-    col = np.fromiter((f for v in vectors for f in v), np.int64, len(row))
-    val = np.fromiter((x for v in vectors for x in v.values()), np.float64, len(row)) * SCALE
+    val = val * np.float32(SCALE)
     upto = np.cumsum([weight[place == k].sum() for k in range(len(grades))])[:-1].clip(1e-4, 1 - 1e-4)
     start = np.log(upto / (1 - upto))
     w, first, steps = np.zeros(BUCKETS), start[:1].copy(), np.log(np.maximum(np.diff(start), 0.05))
     adam = labelled.Adam([w, first, steps], 0.03)
-    n = np.arange(len(vectors))
+    n = np.arange(len(y))
     for _ in range(EPOCHS):
-        s = np.bincount(row, val * w[col], len(vectors))
-        t = np.concatenate([first, first + np.cumsum(np.exp(steps))])
-        link = sigmoid(t[None, :] - s[:, None])
-        high = np.hstack([link, np.ones((len(s), 1))])[n, place]
-        low = np.hstack([np.zeros((len(s), 1)), link])[n, place]
-        chance = np.maximum(high - low, 1e-9)
-        up, down = high * (1 - high) / chance, low * (1 - low) / chance
-        gs = weight * (up - down)  # d loss / d s
-        gt = np.zeros(len(t) + 2)
-        np.add.at(gt, place + 1, -weight * up)
-        np.add.at(gt, place, weight * down)
-        gt = gt[1:-1]
-        tail = np.cumsum(gt[::-1])[::-1]
-        adam.step([np.bincount(col, val * gs[row], BUCKETS) + 1e-5 * w, tail[:1], tail[1:] * np.exp(steps)])
+        adam.step(gradients(w, first, steps, place, weight, row, col, val, n)[1])
     return Model(w, np.concatenate([first, first + np.cumsum(np.exp(steps))]), grades)
 
 
+def gradients(w: np.ndarray, first: np.ndarray, steps: np.ndarray, place: np.ndarray, weight: np.ndarray, row: np.ndarray, col: np.ndarray, val: np.ndarray, n: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Loss (mean log chance of the grades, and a small share of the squared weights) and its slopes by w, first and steps."""
+    s = np.bincount(row, val * w[col], len(n))
+    t = np.concatenate([first, first + np.cumsum(np.exp(steps))])
+    link = sigmoid(t[None, :] - s[:, None])
+    high = np.hstack([link, np.ones((len(s), 1))])[n, place]
+    low = np.hstack([np.zeros((len(s), 1)), link])[n, place]
+    chance = np.maximum(high - low, 1e-9)
+    up, down = high * (1 - high) / chance, low * (1 - low) / chance
+    gs = weight * (up - down)  # d loss / d s
+    gt = np.zeros(len(t) + 2)
+    np.add.at(gt, place + 1, -weight * up)
+    np.add.at(gt, place, weight * down)
+    gt = gt[1:-1]
+    tail = np.cumsum(gt[::-1])[::-1]
+    loss = -float((weight * np.log(chance)).sum()) + 5e-6 * float((w * w).sum())
+    return loss, [np.bincount(col, val * gs[row], BUCKETS) + 1e-5 * w, tail[:1], tail[1:] * np.exp(steps)]
+
+
 def train(docs: DataFrame, ratings: DataFrame, learn_from: Column) -> Model:
     """``docs`` (doc_id, text), ``ratings`` (doc_id, label); ``learn_from`` is a condition on doc_id."""
-    rows = labelled.sample(docs, ratings, learn_from)
-    return fit(rows["text"].tolist(), rows["label"].to_numpy(np.int64), rows["weight"].to_numpy(float))
+    rows, sizes = labelled.sample(docs, ratings, learn_from)
+    y, *entries = sparse(rows)
+    return fit(y, labelled.balanced(y, sizes), *entries)
 
 
 def grade(docs: DataFrame, model: Model, least: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, expected_grade and tail (probability of a grade of ``least`` or more) of every text."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    importable(docs.sparkSession)
+    rows = picked(docs, doc_id=doc_id, text=text).withColumn("text", F.col("text").cast("string"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
