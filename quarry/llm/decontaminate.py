@@ -13,12 +13,13 @@ a copy has gained or lost tokens. One occurrence that passes is enough.
 An item without a window, as it is shorter or has too few plain words in each, is one window of its own length: its words and
 numbers, lower-cased, are looked for as they are in documents, so verbatim copies are found and no others.
 
-Only windows that meet a benchmark window leave their task. The benchmark side is broadcast after its rows are
-counted, up to ``BROADCAST_ROWS``; beyond, Spark joins as it sees fit.
+Only windows that meet a benchmark window leave their task. The benchmark side is broadcast after its rows and bytes are
+counted, up to ``BROADCAST_ROWS`` and ``BROADCAST_BYTES``; beyond, Spark joins as it sees fit. The same holds for the documents found.
 
 Defined cases: a null or empty text has no tokens and is clean, an item without any meets nothing; an item of one word is
 found wherever the word stands; letters of scripts that put no spaces between words are tokens one by one; repeated rows each get the same result; an empty table of
-either kind gives clean documents or none; columns named like the result's give way. Items with equal text are items of their own.
+either kind gives clean documents or none; columns named like the result's, in any case, give way. A very long text makes one row of a
+few hundred bytes a token, in the task that reads it. Items with equal text are items of their own.
 """
 
 from __future__ import annotations
@@ -29,12 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import Box, picked
 
 WINDOW = 8
 COVER = 0.5
 #: A window of the benchmark counts if so many of its tokens are words.
 LEAST_WORDS = 5
-BROADCAST_ROWS = 500_000
+#: Windows of the benchmark, and bytes of their slots, that are broadcast at most; and rows of found documents and their items.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64_000_000
 #: Units that may follow a number.
 UNITS = [
     "mm", "cm", "m", "km", "inch", "inches", "ft", "feet", "yard", "yards", "mile", "miles", "meter", "meters", "metre",
@@ -46,7 +49,8 @@ UNITS = [
 NUMBER, NAME, UNIT = "0", "@", "%"
 #: Letters of scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana, Han.
 ALONE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
-TOKEN = rf"@?(?:(?![{ALONE}])[\p{{L}}\p{{M}}])+|[[{ALONE}]&&[\p{{L}}]]\p{{M}}*|[0-9]+(?:[.,:/][0-9]+)*"
+#: Possessive, as a group that can give back recurses once for each turn in the matcher of the JVM.
+TOKEN = rf"@?[a-zA-Z[[\p{{L}}\p{{M}}]&&[^{ALONE}]]]++|[[{ALONE}]&&[\p{{L}}]]\p{{M}}*+|[0-9]++(?:[.,:/][0-9]++)*+"
 #: Before a capitalised word that follows a word or a comma, not the end of a sentence.
 NAMED = r"(?<=[\p{L}\p{N},;:] )(?=\p{Lu}\p{Ll})"
 
@@ -118,6 +122,12 @@ def tested(met: DataFrame, total: DataFrame, by: list[str], cover: float) -> Dat
     return joined.select(*[f"c.{x}" for x in by], "coverage", "span", *[v.alias(k) for k, v in made.items()])
 
 
+def bounded(side: DataFrame, length: Column) -> DataFrame:
+    """``side``, to be broadcast if its rows and the bytes of their ``length`` are few."""
+    rows, size = side.agg(F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0))).first()
+    return F.broadcast(side) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else side
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", cover: float = COVER) -> DataFrame:
     """Pairs of a document and an item: _id, _mark, item_id, coverage, slots, verbatim.
 
@@ -128,8 +138,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", cover: fl
     lengths = sorted(r[0] for r in items.filter("whole").select("length").distinct().collect())
     total = items.groupBy("item_id").agg(F.count_distinct("hash").alias("total"), F.max("at").alias("span"))
     side = items.select("item_id", "hash", F.col("at").alias("_at"), F.col("slots").alias("_theirs"))
-    if side.count() <= BROADCAST_ROWS:
-        side = F.broadcast(side)
+    length = F.aggregate("_theirs", F.lit(0), lambda n, x: n + 16 + F.coalesce(F.octet_length(x), F.lit(0)))
+    side = bounded(side, 16 + F.coalesce(F.octet_length(F.col("item_id").cast("string")), F.lit(0)) + F.coalesce(length, F.lit(0)))
     diff = (F.col("at") - F.col("_at")).alias("diff")
     met = materialize(windows(docs, text, lengths=lengths).join(side, "hash").select("_id", "_mark", "item_id", "hash", diff, F.col("slots").alias("_ours"), "_theirs"), "met")
     pair = ["_id", "_mark", "item_id"]
@@ -144,12 +154,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", cover: fl
 
 def mark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``docs`` (default: all) with contaminated, items (sorted), coverage and reparameterised."""
-    keep = docs.columns if keep is None else keep
-    own = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.length(text))
-    found = matches(docs.select(F.col(doc_id).alias("_id"), own.alias("_mark"), F.col(text).alias("_text")), benchmark, "_text")
-    hits = found.groupBy(F.col("_id").alias("_hit"), F.col("_mark").alias("_hash")).agg(
-        F.array_sort(F.collect_set("item_id")).alias("items"), F.max("coverage").alias("coverage"), F.bool_or(~F.col("verbatim")).alias("reparameterised"))
-    made = {"contaminated": F.col("_hash").isNotNull(), "items": F.coalesce("items", F.array().cast(dict(hits.dtypes)["items"])), "coverage": F.coalesce("coverage", F.lit(0.0)), "reparameterised": F.coalesce("reparameterised", F.lit(False))}
-    rows = docs.select(*[c for c in keep if c not in made], F.col(doc_id).alias("_own"), own.alias("_mark"))
+    box = Box(docs, keep, ["contaminated", "items", "coverage", "reparameterised"])
+    whole = box[text].cast("string")
+    own = F.xxhash64(F.coalesce(whole, F.lit("")), F.length(whole))
+    found = matches(box.docs.select(box[doc_id].alias("_id"), own.alias("_mark"), whole.alias("_text")), picked(benchmark, item_id="item_id", text="text"), "_text")
+    hits = materialize(found.groupBy("_id", "_mark").agg(
+        F.array_sort(F.collect_set("item_id")).alias("items"), F.max("coverage").alias("coverage"), F.bool_or(~F.col("verbatim")).alias("reparameterised")), "hits")
+    hits = bounded(hits.withColumnsRenamed({"_id": "_hit", "_mark": "_hash"}), 32 + 24 * F.size("items"))
+    rows = box.rows(_own=box[doc_id], _mark=own)
     joined = rows.join(hits, F.col("_own").eqNullSafe(F.col("_hit")) & (F.col("_mark") == F.col("_hash")), "left")
-    return joined.withColumns(made).drop("_own", "_mark", "_hit", "_hash")
+    none = F.array().cast(dict(hits.dtypes)["items"])
+    return box.open(joined, contaminated=F.col("_hash").isNotNull(), items=F.coalesce("items", none), coverage=F.coalesce("coverage", F.lit(0.0)), reparameterised=F.coalesce("reparameterised", F.lit(False)))
