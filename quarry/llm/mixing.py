@@ -1,9 +1,11 @@
 """Mixing sources to target weights by entropy balancing. DataFrame functions only.
 
-A document ``i`` of base rate ``b`` is to be used ``r_i`` times. The rates minimise the relative entropy to
-the base rates, each word counting alike, under one constraint a source: the words used equal the target, and no
-rate exceeds ``cap``. The convex dual has one multiplier a source and the optimum is the tilt
-``r_i = min(cap, b_i * exp(lambda_source))``. Newton steps find the multipliers; a step reads sums only.
+A document ``i`` of base rate ``b`` and ``size`` words is to be used ``r_i`` times. The rates minimise the relative entropy to
+the base rates, each document counting alike, under one constraint a source: the words used equal the target, and no
+rate exceeds ``cap``. The convex dual has one multiplier a source and the optimum is the exponential tilt
+``r_i = min(cap, b_i * exp(lambda_source * size_i))``: a source that has to grow takes its long documents more often, one that
+has to shrink takes them less. Newton steps on the logarithm of the words used find the multipliers, from 0 on; a step reads
+sums only, and one that leaves the range in which the multiplier must be halves that range instead.
 
 Rates are alike within a cell (source, size, base rate), so copies are rounded a cell at a time, with the error
 carried from size to size and the rest of a source soaked up by its best fitting cells, and then dealt to the
@@ -11,7 +13,8 @@ documents of the cell by hash, in chunks of ``CHUNK`` rows: a cell with a third
 
 Defined cases: a null or blank text has size 0 and is taken 0 words; null sources form one source, ranked last; repeated
 rows are documents of their own; an empty table gives an empty result; base rates that are null or not above 0 count
-as 0 (never taken); columns of the input other than those named are ignored.
+as 0 (never taken); columns of the input other than those named are ignored. Sources are compared by code point, and ordered in
+one task, a row a source.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import materialize
-from .common import word_count
+from ..session import discard, materialize
+from .common import Box, word_count
 
 #: Rows that one task orders at a time when a cell's copies are dealt out.
 CHUNK = 256
@@ -55,34 +58,37 @@ def source_targets(cells: DataFrame, weights: Sequence[float], cap: float) -> Da
     return levels.withColumn("target", F.least("most", F.coalesce(level * F.col("weight"), F.col("most")))).select("skey", "source_size", "target")
 
 
-def solve_tilts(tokens: DataFrame, targets: DataFrame, cap: float, tolerance: float = 1e-9, most_steps: int = 50) -> DataFrame:
-    """Multipliers of the dual: ``tokens`` is (skey, base, words), ``targets`` has a target per skey.
+def solve_tilts(cells: DataFrame, targets: DataFrame, cap: float, tolerance: float = 1e-9, most_steps: int = 60) -> tuple[DataFrame, int]:
+    """Multipliers ``lam`` of the dual, a row a source, and the steps it took: ``cells`` is (skey, size, base, n), ``targets`` has a target per skey.
 
-    A step is one grouped sum over the executors and writes one row a source; only the largest gap comes to the driver.
+    A step is one grouped sum over the executors and writes one row a source; only whether all are settled comes to the driver. A source
+    whose target is all that the cap allows has the multiplier at which every rate is capped.
     """
-    from_base = tokens.groupBy("skey").agg(F.sum(F.col("base") * F.col("words")).alias("at_zero"))
-    state = materialize(
-        targets.join(from_base, "skey").select(
-            "skey", "target",
-            F.when((F.col("at_zero") > 0) & (F.col("target") > 0), F.log(F.col("target") / F.col("at_zero"))).alias("lam"),
-        ),
-        "tilt",
+    own = cells.filter("size > 0 and base > 0 and n > 0")
+    words = F.col("n") * F.col("size").cast("double")
+    ends = own.groupBy("skey").agg(F.sum(words * F.col("base")).alias("free"), F.sum(words).alias("words"), F.min("size").alias("least"), F.min("base").alias("low"))
+    state = targets.join(ends, "skey").filter("target > 0").select(
+        "skey", "target", F.when(F.col("target") >= cap * F.col("words") * (1 - 1e-12), F.log(F.lit(float(cap)) / F.col("low")) / F.col("least")).otherwise(0.0).alias("lam"),
+        F.least(F.log(F.col("target") / F.col("free")) / F.col("least"), F.lit(0.0)).alias("lo"), F.greatest(F.log(F.lit(float(cap)) / F.col("low")) / F.col("least"), F.lit(0.0)).alias("hi"),
     )
-    for _ in range(most_steps):
-        rate = F.col("base") * F.exp("lam")
-        moved = tokens.join(state, "skey").groupBy("skey").agg(
-            F.first("target").alias("target"), F.first("lam").alias("lam"),
-            F.sum(F.col("words") * F.least(rate, F.lit(cap))).alias("got"),
-            F.sum(F.when(rate < cap, F.col("words") * rate).otherwise(0.0)).alias("slope"),
+    state = materialize(state, "tilt")
+    for step in range(most_steps):
+        rate = F.col("base") * F.exp(F.col("lam") * F.col("size"))
+        moved = own.join(state.select("skey", "target", "lam", "lo", "hi"), "skey").groupBy("skey").agg(
+            *[F.first(c).alias(c) for c in ("target", "lam", "lo", "hi")], F.sum(words * F.least(rate, F.lit(float(cap)))).alias("got"),
+            F.sum(F.when(rate < cap, words * F.col("size") * rate).otherwise(0.0)).alias("slope"),
         )
-        gap = F.col("target") - F.col("got")
-        open_ = (F.abs(gap) > tolerance * F.col("target")) & (F.col("slope") > 0)
-        step = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), gap / F.col("slope")))
-        found = materialize(moved.select("skey", "target", (F.col("lam") + F.when(open_, step).otherwise(0.0)).alias("lam"), open_.alias("open")), "tilt")
-        state = found.drop("open")
+        open_ = (F.abs(F.col("target") - F.col("got")) > tolerance * F.col("target")) & (F.col("slope") > 0)
+        lo, hi = F.when(F.col("got") < F.col("target"), F.col("lam")).otherwise(F.col("lo")), F.when(F.col("got") > F.col("target"), F.col("lam")).otherwise(F.col("hi"))
+        newton = F.col("lam") + F.log(F.col("target") / F.col("got")) * F.col("got") / F.col("slope")
+        after = F.when((newton > F.col("lo")) & (newton < F.col("hi")), newton).otherwise((F.col("lo") + F.col("hi")) / 2)
+        bounded = moved.withColumn("open", open_).withColumn("lo", lo).withColumn("hi", hi)
+        found = materialize(bounded.select("skey", "target", F.when(F.col("open"), after).otherwise(F.col("lam")).alias("lam"), "lo", "hi", "open"), "tilt")
+        discard(state)
+        state = found
         if not found.filter("open").limit(1).count():
             break
-    return state
+    return state.select("skey", "lam"), step + 1
 
 
 def round_cells(cells: DataFrame, cap: float) -> DataFrame:
@@ -116,17 +122,19 @@ def entropy_balance(
 ) -> DataFrame:
     """Rate and whole copies of every document: doc_id, source, size, source_size, target, rate, copies, taken.
 
-    ``base_rate`` (rounded to two decimals) prefers documents before the mix; by default all have 1.
+    ``base_rate`` prefers documents before the mix; by default all have 1. Each pair of size and base rate of a
+    source is a cell, and a window holds the cells of one source, so base rates should be grades rather than measurements.
     """
-    base = F.lit(1.0) if base_rate is None else F.round(F.coalesce(F.greatest(base_rate.cast("double"), F.lit(0.0)), F.lit(0.0)), 2)
-    key = F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source)))
-    sized = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), key.alias("skey"), word_count(F.col(text)).alias("size"), base.alias("base")), "sized")
+    box = Box(docs.select("*", (F.lit(1.0) if base_rate is None else base_rate).cast("double")), [])
+    base = F.coalesce(F.greatest(F.col(f"c{len(docs.columns)}"), F.lit(0.0)), F.lit(0.0))
+    own = box[source].cast("string")
+    key = F.when(own.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), own))
+    sized = materialize(box.docs.select(box[doc_id].alias("doc_id"), own.alias("source"), key.alias("skey"), word_count(box[text].cast("string")).alias("size"), base.alias("base")), "sized")
     cells = materialize(sized.groupBy("skey", "size", "base").agg(F.count(F.lit(1)).alias("n")), "cells")
     targets = materialize(source_targets(cells, weights, cap), "targets")
-    tokens = materialize(cells.groupBy("skey", "base").agg(F.sum(F.col("n") * F.col("size")).cast("double").alias("words")), "tokens")
-    tilts = solve_tilts(tokens, targets, cap)
-    rate = F.coalesce(F.least(F.lit(float(cap)), F.col("base") * F.exp("lam")), F.lit(0.0))
-    rated = cells.join(targets, "skey").join(tilts.select("skey", "lam"), "skey").withColumn("rate", rate)
+    tilts, _ = solve_tilts(cells, targets, cap)
+    rate = F.least(F.lit(float(cap)), F.col("base") * F.exp(F.coalesce("lam", F.lit(0.0)) * F.col("size")))
+    rated = cells.join(targets, "skey").join(tilts, "skey", "left").withColumn("rate", rate)
     rounded = round_cells(rated, cap).select("skey", "size", "base", "n", "rate", "copies", "source_size", "target")
     chunks = F.greatest(F.ceil(F.col("n") / CHUNK), F.lit(1))
     mark = F.xxhash64(F.col("doc_id").cast("string"), F.lit(9))
