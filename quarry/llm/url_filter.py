@@ -2,42 +2,49 @@
 
 1. A url's host and path are cut out; of the rules that fit, the longest decides.
 2. Per host, paths become templates: segments that are variable by form (numbers, dates, long hex) turn into ``*``, then, level by
-   level, the children of a node turn into ``*`` if they are many and nearly all different.
+   level, the children of a node turn into ``*`` if they are many for the distinct paths below it; repeats of a url change nothing.
 3. Branches of a host with the same shape merge if their shares of blocked labels do not differ from the pooled share by
    more than ``Z`` standard errors. A branch without labels joins the merged ones of its shape if the mean length of its paths
    does not differ from theirs by more than ``Z`` standard errors; else it takes the labels below its nearest node that has any.
 4. A template is rejected if its smoothed purity, (blocked + prior * M) / (labelled + M), reaches ``PURITY`` and what it has
    merged with, or takes, has at least ``LEAST`` labels. Labels are those given, by default the urls that a rule decides.
 
-All counts are grouped sums of (host, template); nothing reads the rows of a host together.
+Counts are grouped sums of (host, template); no task reads the rows of a host together, and at most AT_ONCE distinct paths of a node.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no rule, and is allowed; repeated rows each get the same
 verdict; a host without labels has no purity and nothing of it is rejected; an empty table gives an empty result; columns of the
-input named like the result's give way, the others are kept.
+input named like the result's, in any case, give way, the others are kept. Paths of any length and depth are read whole; the
+tree takes rows in proportion to the segments of its templates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .common import add_columns
+from ..session import importable, materialize
+from .common import Box
 
 #: Rules as (verdict, host, path).
 RULES = [
     ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"),
     ("block", "example.net", "/de/8"), ("block", "org", "/es/"),
 ]
-#: Levels of the tree that are told apart; deeper segments are one ``**``.
-DEPTH = 8
-#: A node's children turn into a wildcard if they are at least MANY and at least VARIED of its urls.
-MANY, VARIED = 20, 0.3
+#: A node's children turn into a wildcard if they are at least MANY and at least VARIED of the distinct paths below it.
+MANY, VARIED = 20, 0.2
+#: Distinct paths below a node that one task generalises to the end; nodes with more go down a level a round.
+AT_ONCE = 50_000
 M, PURITY, LEAST, Z = 5.0, 0.8, 5, 1.96
-#: Forms of segments that vary from page to page.
-VARIABLE = r"^(?:[0-9]+|[0-9]{4}-[0-9]{2}(?:-[0-9]{2})?|[0-9a-fA-F]{12,}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4,12})+|[A-Za-z_-]*[0-9]{3,}[A-Za-z0-9_-]*)(?:\.[A-Za-z0-9]{1,5})?$"
+#: Forms of segments that vary from page to page. Possessive, as other groups recurse in the matcher of the JVM.
+VARIABLE = r"^(?:[0-9]+|[0-9]{4}-[0-9]{2}(?:-[0-9]{2})?|[0-9a-fA-F]{12,}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4,12}+)++|[A-Za-z_-]*[0-9]{3,}[A-Za-z0-9_-]*)(?:\.[A-Za-z0-9]{1,5})?$"
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -59,64 +66,120 @@ def by_rule(rules: Sequence[tuple[str, str, str]], host: Column, path: Column) -
 
 
 def segments(path: Column) -> Column:
-    """Segments of a path, variable ones by form as ``*``, those beyond DEPTH as one ``**``."""
+    """Segments of a path, variable ones by form as ``*``."""
     own = F.filter(F.split(path, "/", -1), lambda x: x != "")
-    typed = F.transform(own, lambda x: F.when(x.rlike(VARIABLE), F.lit("*")).otherwise(x))
-    return F.when(F.size(typed) > DEPTH, F.concat(F.slice(typed, 1, DEPTH), F.array(F.lit("**")))).otherwise(typed)
+    return F.transform(own, lambda x: F.when(x.rlike(VARIABLE), F.lit("*")).otherwise(x))
+
+
+def varied(children: int | Column, paths: int | Column) -> bool | Column:
+    return (children >= MANY) & (children >= VARIED * paths)
+
+
+def generalised(paths: list[list[str]]) -> list[list[str]]:
+    """``paths`` below one node with the varied children of every node below as ``*``, from the top down."""
+    out: list[list[str]] = [[] for _ in paths]
+    todo = [(list(range(len(paths))), 0)]
+    while todo:
+        here, level = todo.pop()
+        if len(here) < MANY:
+            for i in here:
+                out[i] += paths[i][level:]
+            continue
+        children = defaultdict(list)
+        for i in here:
+            if len(paths[i]) > level:
+                children[paths[i][level]].append(i)
+        if varied(len(children), len(here)):
+            children = {"*": [i for own in children.values() for i in own]}
+        for seg, own in children.items():
+            for i in own:
+                out[i].append(seg)
+            todo.append((own, level + 1))
+    return out
 
 
 def wildcards(paths: DataFrame) -> DataFrame:
-    """``paths`` (host, segs, n): adds ``made``, the segments with every node's varied children as ``*``.
+    """(host, sid, made) of ``paths`` (host, sid, segs): the segments with every node's varied children as ``*``.
 
-    Level by level, as what stands below a wildcard is told apart only after its branches have become one.
+    What stands below a wildcard is told apart only after its branches have become one, so nodes are decided from the top down. A node
+    of fewer than MANY paths has nothing to decide, one of up to AT_ONCE is a group for one task, larger ones go on with their children.
     """
-    paths = paths.withColumn("made", F.array().cast("array<string>"))
-    for level in range(DEPTH):
-        seg = F.get("segs", F.lit(level))
-        here = paths.filter(seg.isNotNull()).groupBy("host", "made", seg.alias("seg")).agg(F.sum("n").alias("n"))
-        node = here.groupBy("host", "made").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("total"))
-        wild = materialize(node.filter((F.col("children") >= MANY) & (F.col("children") >= VARIED * F.col("total"))).select("host", F.col("made").alias("at"), F.lit(True).alias("wild")), "wild")
-        joined = paths.join(wild, (paths["host"] == wild["host"]) & (paths["made"] == wild["at"]), "left").drop(wild["host"])
-        step = F.when(seg.isNull(), F.col("made")).otherwise(F.concat("made", F.array(F.when(F.col("wild") & (seg != "**"), F.lit("*")).otherwise(seg))))
-        paths = materialize(joined.withColumn("made", step).drop("wild", "at"), "level")
-        if not paths.filter(F.size("segs") > level + 1).limit(1).count():
+    importable(paths.sparkSession)
+
+    def finish(group: pd.DataFrame) -> pd.DataFrame:
+        below = generalised([x.tolist() for x in group["rest"]])
+        return pd.DataFrame({"host": group["host"], "sid": group["sid"], "made": [[*a, *b] for a, b in zip(group["made"], below, strict=True)]})
+
+    state, done = paths.select("host", "sid", F.array().cast("array<string>").alias("made"), F.col("segs").alias("rest")), []
+    while True:
+        sizes = state.groupBy("host", "made").agg(F.count(F.lit(1)).alias("paths"))
+        sized = materialize(state.join(sizes, ["host", "made"]), "nodes")
+        done.append(sized.filter(F.col("paths") < MANY).select("host", "sid", F.concat("made", "rest").alias("made")))
+        middle = sized.filter((F.col("paths") >= MANY) & (F.col("paths") <= AT_ONCE)).select("host", "made", "sid", "rest")
+        done.append(middle.groupBy("host", "made").applyInPandas(finish, "host string, sid string, made array<string>"))
+        large = sized.filter(F.col("paths") > AT_ONCE)
+        if not large.limit(1).count():
             break
-    return paths
+        done.append(large.filter(F.size("rest") == 0).select("host", "sid", "made"))
+        seg = F.get("rest", F.lit(0))
+        on = large.filter(F.size("rest") > 0)
+        children = on.select("host", "made", seg.alias("seg")).distinct().groupBy("host", "made").agg(F.count(F.lit(1)).alias("children"))
+        step = F.when(varied(F.col("children"), F.col("paths")), F.lit("*")).otherwise(seg)
+        state = materialize(on.join(children, ["host", "made"]).select("host", "sid", F.concat("made", F.array(step)).alias("made"), F.slice("rest", F.lit(2), F.size("rest")).alias("rest")), "level")
+    return materialize(reduce(DataFrame.unionByName, done), "templates")
+
+
+def prefixes(templates: DataFrame) -> DataFrame:
+    """(host, tid, depth, node) of every node from the root down to each of ``templates`` (host, tid, made); ``node`` is a hash of the way."""
+    importable(templates.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, made in enumerate(batch.column("made")):
+                way, nodes = xxhash.xxh3_64(), [0]
+                for seg in made.as_py():
+                    way.update(f"{seg}/".encode("utf-8", "surrogatepass"))
+                    nodes.append(way.intdigest())
+                own = pa.array(np.zeros(len(nodes), np.int32))
+                one = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [one.column("host").take(own), one.column("tid").take(own), pa.array(np.arange(len(nodes), dtype=np.int32)), pa.array(np.array(nodes, np.uint64).view(np.int64))], ["host", "tid", "depth", "node"])
+
+    return templates.select("host", "tid", "made").mapInArrow(work, "host string, tid string, depth int, node bigint")
 
 
 def inherited(rows: DataFrame, sums: DataFrame) -> DataFrame:
-    """(host, made, b, l) of templates without labels: labels of the like branches, else those below the nearest node with any."""
+    """(host, tid, b, l) of templates without labels: labels of the like branches, else those below the nearest node with any."""
     bare = rows.filter("labelled = 0")
     squares = F.col("squares") - F.col("chars") * F.col("chars") / F.col("n") + F.col("_squares") - F.col("_chars") * F.col("_chars") / F.col("_n")
     error = F.sqrt(F.greatest(squares, F.lit(0.0)) / F.greatest(F.col("n") + F.col("_n") - 2, F.lit(1)) * (1 / F.col("n") + 1 / F.col("_n")))
     alike = F.abs(F.col("chars") / F.col("n") - F.col("_chars") / F.col("_n")) <= Z * error + 1e-9
-    near = materialize(bare.join(sums.filter("branch = 'merged'"), ["host", "shape"]).filter(alike).select("host", "made", "b", "l"), "near")
-    nodes = F.explode(F.transform(F.sequence(F.lit(0), F.size("made")), lambda i: F.slice("made", 1, i))).alias("node")
-    below = rows.filter("labelled > 0").select("host", nodes, "blocked", "labelled").groupBy("host", "node").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
-    left = bare.join(near, ["host", "made"], "left_anti").select("host", "made", nodes).join(below, ["host", "node"])
-    backed = left.groupBy("host", "made").agg(F.max_by(F.struct("b", "l"), F.size("node")).alias("taken"))
-    return near.unionByName(backed.select("host", "made", "taken.b", "taken.l"))
+    near = materialize(bare.join(sums.filter("branch = 'merged'"), ["host", "shape"]).filter(alike).select("host", "tid", "b", "l"), "near")
+    nodes = materialize(prefixes(rows.select("host", "tid", "made")), "prefixes").join(rows.select("host", "tid", "blocked", "labelled"), ["host", "tid"])
+    below = nodes.filter("labelled > 0").groupBy("host", "node").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
+    left = nodes.filter("labelled = 0").select("host", "tid", "depth", "node").join(near, ["host", "tid"], "left_anti").join(below, ["host", "node"])
+    backed = left.groupBy("host", "tid").agg(F.max(F.struct("depth", "b", "l")).alias("taken"))
+    return near.unionByName(backed.select("host", "tid", "taken.b", "taken.l"))
 
 
 def judge(templates: DataFrame) -> DataFrame:
-    """``templates`` (host, made, n, chars, squares, blocked, allowed): adds ``purity`` and ``reject`` after like branches have merged.
+    """host, tid, labels, purity and reject of ``templates`` (host, tid, made, n, chars, squares, blocked, allowed), after like branches have merged.
 
-    ``chars`` and ``squares`` are sums of path lengths and of their squares.
+    ``chars`` and ``squares`` are sums of path lengths and of their squares; ``tid`` tells the templates of a host apart.
     """
-    shape = F.array_join(F.transform("made", lambda x: F.when(x.isin("*", "**"), x).otherwise(F.lit("w"))), "/")
+    shape = F.md5(F.array_join(F.transform("made", lambda x: F.when(x == "*", x).otherwise(F.lit("w"))), "/").cast("binary"))
     rows = materialize(templates.withColumn("shape", shape).withColumn("labelled", F.col("blocked") + F.col("allowed")), "templates")
-    labelled = rows.filter("labelled > 0")
+    labelled = rows.filter("labelled > 0").drop("made")
     pooled = labelled.groupBy("host", "shape").agg((F.sum("blocked") / F.sum("labelled")).alias("share"))
     error = F.sqrt(F.col("share") * (1 - F.col("share")) / F.col("labelled"))
     tested = labelled.join(pooled, ["host", "shape"]).withColumn("alike", F.abs(F.col("blocked") / F.col("labelled") - F.col("share")) <= Z * error + 1e-12)
-    branch = F.when(F.col("alike"), F.lit("merged")).otherwise(F.concat(F.lit("/"), F.array_join("made", "/")))
-    merged = tested.withColumn("branch", branch)
+    merged = tested.withColumn("branch", F.when(F.col("alike"), F.lit("merged")).otherwise(F.col("tid")))
     prior = rows.agg((F.coalesce(F.sum("blocked") / F.nullif(F.sum("labelled"), F.lit(0)), F.lit(0.0))).alias("prior"))
     sums = merged.groupBy("host", "shape", "branch").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"), *[F.sum(c).alias(f"_{c}") for c in ("n", "chars", "squares")])
-    own = merged.join(sums, ["host", "shape", "branch"]).select("host", "made", "b", "l")
+    own = merged.join(sums, ["host", "shape", "branch"]).select("host", "tid", "b", "l")
     scored = own.unionByName(inherited(rows, sums)).join(F.broadcast(prior), how="cross")  # one row
     purity = (F.col("b") + F.col("prior") * M) / (F.col("l") + M)
-    return scored.select("host", "made", F.col("l").alias("labels"), purity.alias("purity"), ((purity >= PURITY) & (F.col("l") >= LEAST)).alias("reject"))
+    return scored.select("host", "tid", F.col("l").alias("labels"), purity.alias("purity"), ((purity >= PURITY) & (F.col("l") >= LEAST)).alias("reject"))
 
 
 def filter_urls(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, label: str | None = None) -> DataFrame:
@@ -124,21 +187,25 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, s
 
     ``label``: a column that holds ``block``, ``allow`` or null; by default the verdicts of the rules are the labels.
     """
-    host, path = parts(F.col(url))
-    read = add_columns(pages, {"host": host, "path": path})
-    ruled = by_rule(rules, F.col("host"), F.col("path"))
-    read = add_columns(read, {"rule": ruled["rule"], "_by_rule": ruled["verdict"], "_segs": segments(F.col("path"))})
-    mark = F.col("_by_rule") if label is None else F.col(label)
+    box = Box(pages, None, ["host", "path", "rule", "verdict", "template", "purity"])
+    address = box[url].cast("string")
+    host, path = parts(address)
+    read = box.rows(host=host, path=path, label=F.lit(None).cast("string") if label is None else box[label].cast("string"))
+    read = read.withColumn("ruled", by_rule(rules, F.col("host"), F.col("path"))).withColumn("segs", segments(F.col("path")))
+    way = lambda x: F.md5(F.array_join(x, "/").cast("binary"))
+    mark = F.col("ruled.verdict") if label is None else F.col("label")
     length = F.length("path").cast("double")
     counts = materialize(
-        read.filter("host <> ''").groupBy("host", F.col("_segs").alias("segs")).agg(
-            F.count(F.lit(1)).alias("n"), F.sum(length).alias("chars"), F.sum(length * length).alias("squares"), F.count_if(mark == "block").alias("blocked"), F.count_if(mark == "allow").alias("allowed")),
+        read.filter("host <> ''").groupBy("host", "segs").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(length).alias("chars"), F.sum(length * length).alias("squares"), F.count_if(mark == "block").alias("blocked"), F.count_if(mark == "allow").alias("allowed"),
+        ).withColumn("sid", way("segs")),
         "paths",
     )
-    made = wildcards(counts)
-    judged = judge(made.groupBy("host", "made").agg(*[F.sum(c).alias(c) for c in ("n", "chars", "squares", "blocked", "allowed")]))
-    verdicts = made.join(judged, ["host", "made"], "left").select(F.col("host").alias("_host"), F.col("segs").alias("_at"), F.concat(F.lit("/"), F.array_join("made", "/")).alias("template"), "purity", "reject")
-    kept = [c for c in read.columns if c not in ("template", "purity", "verdict", "reject")]
-    out = read.select(*kept).join(verdicts, (F.col("host") == F.col("_host")) & (F.col("_segs") == F.col("_at")), "left")
-    verdict = F.coalesce("_by_rule", F.when(F.col("reject"), F.lit("block")), F.lit("allow"))
-    return out.withColumn("verdict", verdict).drop("_host", "_at", "_segs", "_by_rule", "reject")
+    made = wildcards(counts.select("host", "sid", "segs")).withColumn("tid", way("made"))
+    sums = [F.sum(c).alias(c) for c in ("n", "chars", "squares", "blocked", "allowed")]
+    of = made.join(counts.drop("segs"), ["host", "sid"]).groupBy("host", "made", "tid").agg(*sums)
+    judged = judge(of)
+    verdicts = made.join(judged, ["host", "tid"], "left").select("host", "sid", F.concat(F.lit("/"), F.array_join("made", "/")).alias("template"), "purity", "reject")
+    out = read.withColumn("sid", way("segs")).drop("segs").join(verdicts, ["host", "sid"], "left")
+    verdict = F.coalesce("ruled.verdict", F.when(F.col("reject"), F.lit("block")), F.lit("allow"))
+    return box.open(out, host=F.col("host"), path=F.col("path"), rule=F.col("ruled.rule"), verdict=verdict, template=F.col("template"), purity=F.col("purity"))
