@@ -4,10 +4,12 @@ A suffix automaton is built from labelled text of each language. A text is parse
 phrases that occur in a language's sample; a phrase names a place in the sample, which takes log2(sample size) bits.
 The language whose sample needs the fewest bits a character wins.
 
-The samples are bounded: of each language at most ``SAMPLE_DOCS`` documents, lowest hash of the id first, and whole
-documents of together at most ``SAMPLE_CHARS`` characters (the shortest one, cut, if none fits). The automata are flattened
-to one table of moves, and workers parse many pieces of text side by side, a character a step. A piece has
-``PIECE`` characters; a phrase ends with its piece, for every language alike.
+The samples are bounded: of each language at most ``SAMPLE_DOCS`` documents, lowest hash of the id first, and ``SAMPLE_CHARS``
+characters, the document that goes beyond them cut. All letters of all samples are told apart; a letter that a language's sample
+lacks is a phrase of its own. The automata are laid into one table, row over row where their moves leave room, and workers parse
+many pieces of text side by side, a character a step. A text's pieces are then joined exactly: the phrase that a piece cuts is followed into
+the next one up to a place where both ways of parsing begin a phrase, from where on they are the same. A text without such a place
+is parsed as a whole.
 
 Text is lower-cased and runs of anything but letters are one space. Defined cases: a null text, or one without a letter, is
 ``und`` with score 0, as is every text if no document is labelled; ties go to the language first by code point; repeated rows
@@ -16,7 +18,6 @@ each get a row; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,16 +26,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import importable
+from . import labelled
+from .common import picked
+
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 24_000
+#: Characters of a piece, which sets the speed and not the result, and characters that a worker parses at once.
 PIECE = 256
-#: Letters that are told apart; rarer ones of the samples, and letters that no sample has, are one code.
-LETTERS = 200
-#: Characters that a worker parses at once.
 BLOCK = 1_000_000
-SPACE, OTHER, BREAK = 0, 1, 255
-#: Flags of a move: it ends a phrase; and the character, which the sample lacks, is one of its own.
-MISS, LONE = np.int32(-(2**31)), np.int32(2**30)
+#: Places that are tried for the moves of a state.
+TRIES = 16
+SPACE, OTHER, BREAK = 0, 1, 2
 
 
 def automaton(codes: np.ndarray) -> list[dict[int, int]]:
@@ -67,39 +70,70 @@ def automaton(codes: np.ndarray) -> list[dict[int, int]]:
     return moves
 
 
+def laid(rows: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Moves of all states in one table: ``base`` of each state, and the ``owner`` and ``target`` of each place.
+
+    The move of state s for code c is at base[s] + c if s owns that place. States with most moves are placed first, where all
+    their codes fall on free places, after a few tries behind all others; the many states of one move then fill the gaps.
+    """
+    size = 2 * sum(map(len, rows)) + 2 * width
+    owner, target, base = np.full(size, -1, np.int32), np.zeros(size, np.int32), np.zeros(len(rows), np.int32)
+    near, free, top = width, width, width  # where to try, the first place that may be free, the end of what is taken
+    for state in sorted(range(len(rows)), key=lambda s: -len(rows[s])):
+        codes = np.fromiter(rows[state], np.int64, len(rows[state]))
+        if len(codes) == 1:
+            while owner[free] >= 0:
+                free += 1
+            at = free - int(codes[0])
+        elif len(codes):
+            at = near - int(codes.min())
+            for _ in range(TRIES):
+                if (owner[at + codes] < 0).all():
+                    break
+                at += 1
+            else:
+                at = top - int(codes.min())
+            near = at + int(codes.min())
+        else:
+            continue
+        base[state] = at
+        owner[at + codes], target[at + codes] = state, list(rows[state].values())
+        top = max(top, at + int(codes.max()) + 1)
+        if top + 2 * width + TRIES > len(owner):
+            owner, target = np.concatenate([owner, np.full(size, -1, np.int32)]), np.concatenate([target, np.zeros(size, np.int32)])
+    return base, owner, target
+
+
 class CrossParser:
-    """Languages' automata as one flat table; fields are plain arrays, so it travels to workers as it is."""
+    """Languages' automata as one table; fields are plain arrays, so it travels to workers as it is."""
 
     def __init__(self, samples: dict[str, str]) -> None:
         self.langs = sorted(samples)
-        seen = Counter(ch for lang in self.langs for ch in samples[lang].lower() if ch.isalpha())
-        alphabet = [ch for ch, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]]
-        self.letters = {ord(ch): i + 2 for i, ch in enumerate(alphabet)}
-        self.width = len(alphabet) + 2
+        alphabet = sorted({ch for lang in self.langs for ch in samples[lang].lower() if ch.isalpha()})
+        self.letters = {ord(ch): i + 3 for i, ch in enumerate(alphabet)}
+        self.width = len(alphabet) + 3
         self.lookup: np.ndarray | None = None
-        tables, roots, self.bits, base = [], [], [], 0
+        rows: list[dict[int, int]] = []
+        self.bits, roots = [], []
         for lang in self.langs:
             codes, _ = self.encode([samples[lang]])
             moves = automaton(codes)
-            root = np.zeros(self.width, np.int32)
-            for c, to in moves[0].items():
-                root[c] = to * self.width
-            table = np.tile((root + base) | MISS | np.where(root == 0, LONE, np.int32(0)), (len(moves), 1))
-            table[0] &= ~LONE
-            for state, own in enumerate(moves):
-                table[state, list(own)] = np.fromiter(own.values(), np.int32, len(own)) * self.width + base
-            tables.append(table.ravel())
-            roots.append(base)
+            roots.append(len(rows))
+            rows += [{c: to + roots[-1] for c, to in own.items()} for own in moves]
             self.bits.append(np.log2(max(len(codes), 2)))
-            base += table.size
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
         self.roots = np.array(roots, np.int32)
+        self.base, self.owner, self.target = laid(rows, self.width)
+        #: Of each language and code: where a phrase that begins with the code leads, or the root if the sample lacks it.
+        self.begins = np.repeat(self.roots[:, None], self.width, axis=1)
+        for i, root in enumerate(roots):
+            for c, to in rows[root].items():
+                self.begins[i, c] = to
         self.lookup = None
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all texts, one after the other, and the text that each code is of."""
         if self.lookup is None:
-            table = np.fromiter((OTHER if chr(c).isalpha() else SPACE for c in range(0x110000)), np.uint8, 0x110000)
+            table = np.fromiter((OTHER if chr(c).isalpha() else SPACE for c in range(0x110000)), np.int32, 0x110000)
             for c, code in self.letters.items():
                 table[c] = code
             table[0] = BREAK
@@ -115,26 +149,58 @@ class CrossParser:
         own = codes != BREAK
         return codes[own], of[own]
 
+    def step(self, lang: np.ndarray, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a phrase begins with the ``code``, and the state after it."""
+        at = self.base.take(state) + code
+        goes = self.owner.take(at) == state
+        return ~goes | (state == self.roots.take(lang)), np.where(goes, self.target.take(at), self.begins[lang, code])
+
+    def walk(self, codes: np.ndarray, lang: np.ndarray, begin: np.ndarray, length: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases of the ranges of ``codes``, each parsed from its beginning, and their last states; marks beginnings in ``starts`` (languages by codes)."""
+        order = np.argsort(-length, kind="stable")
+        lang, begin, length = lang[order], begin[order], length[order]
+        state, n = self.roots.take(lang), np.zeros(len(order), np.int64)
+        shorter = -length
+        for t in range(int(length[0]) if len(length) else 0):
+            live = int(np.searchsorted(shorter, -t, side="left"))
+            new, state[:live] = self.step(lang[:live], state[:live], codes[begin[:live] + t])
+            n[:live] += new
+            if starts is not None:
+                starts[lang[:live], begin[:live] + t] = new
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return n[back], state[back]
+
     def phrases(self, codes: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
         """Phrases of each of ``n`` texts for each language: an array of languages by texts."""
+        langs = len(self.langs)
         sizes = np.bincount(of, minlength=n)
-        starts = np.cumsum(sizes) - sizes
+        first = np.cumsum(sizes) - sizes
         pieces = -(-sizes // PIECE)
         text = np.repeat(np.arange(n), pieces)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin = starts[text] + nth * PIECE
-        length = np.minimum(PIECE, sizes[text] - nth * PIECE)
-        order = np.argsort(-length, kind="stable")
-        begin, length, text = begin[order], length[order], text[order]
-        state = np.repeat(self.roots[:, None], len(text), axis=1)
-        ends = np.ones(state.shape, np.int32)  # the phrase that the end of a piece cuts
-        for t in range(int(length[0]) if len(length) else 0):
-            live = int(np.searchsorted(-length, -t, side="left"))
-            moved = self.table.take(state[:, :live].astype(np.intp) + codes[begin[:live] + t])
-            ends[:, :live] += (moved < 0) + ((moved & LONE) != 0).astype(np.int32)
-            state[:, :live] = moved & ~(MISS | LONE)
-        ends -= state == self.roots[:, None]
-        return np.stack([np.bincount(text, weights=row, minlength=n) for row in ends])
+        begin, length = first[text] + nth * PIECE, np.minimum(PIECE, sizes[text] - nth * PIECE)
+        lang = np.repeat(np.arange(langs), len(text))
+        starts = np.zeros((langs, len(codes)), bool)
+        each, last = self.walk(codes, lang, np.tile(begin, langs), np.tile(length, langs), starts)
+        # The phrase that the end of a piece cuts goes on: what begins up to the place where both ways meet is counted anew.
+        own = np.flatnonzero(np.tile(nth > 0, langs))
+        at, end, state = np.tile(begin, langs)[own], np.tile(begin + length, langs)[own], last[own - 1]
+        torn = np.zeros((langs, n), bool)
+        while len(own):
+            new, state = self.step(lang[own], state, codes[at])
+            before = starts[lang[own], at]
+            each[own] += new.astype(np.int64) - before
+            at += 1
+            met = new & before
+            torn[lang[own[(at == end) & ~met]], np.tile(text, langs)[own[(at == end) & ~met]]] = True
+            go = ~met & (at < end)
+            own, at, end, state = own[go], at[go], end[go], state[go]
+        out = np.zeros((langs, n), np.int64)
+        np.add.at(out, (lang, np.tile(text, langs)), each)
+        which, whole = np.nonzero(torn)
+        out[which, whole] = self.walk(codes, which, first[whole], sizes[whole])[0]
+        return out
 
     def classify(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         n = len(texts)
@@ -149,27 +215,28 @@ class CrossParser:
         return [self.langs[i] if k else "und" for i, k in zip(best, letters, strict=True)], np.where(letters > 0, score, 0.0)
 
 
-def sample(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Text of each language of ``labelled`` (doc_id, text, lang), within the bounds above."""
-    known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    first = W.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", F.xxhash64("text"))
-    rows = known.select("doc_id", "lang", "text").withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= docs)
-    # The bound is applied before rows come to the driver: whole documents while they fit.
-    upto = W.partitionBy("lang").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
-    sized = rows.withColumn("size", F.length("text"))
-    fit = sized.filter(F.col("size") <= chars).withColumn("sum", F.sum("size").over(upto)).filter(F.col("sum") <= chars).select("lang", "rank", "text")
-    shortest = sized.groupBy("lang").agg(F.min_by(F.substring("text", 1, chars), F.struct("size", "rank")).alias("text")).join(fit, "lang", "left_anti").select("lang", F.lit(0).alias("rank"), "text")
+def sample(known: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
+    """Text of each language of ``known`` (doc_id, text, lang), within the bounds above."""
+    known = known.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("mark", F.xxhash64("text"))
+    # At most ``docs`` rows a language; texts are fetched for those alone.
+    ids = labelled.lowest(known.select("doc_id", F.col("lang").alias("label"), "mark"), docs, "mark").select(F.col("doc_id").alias("_id"), "label", F.col("mark").alias("_mark"), "rank")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")) & (F.col("lang") == F.col("label"))
+    rows = known.join(F.broadcast(ids), same).groupBy("lang", "rank").agg(F.any_value("text").alias("text"))
+    upto = W.partitionBy("lang").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
+    room = F.lit(chars) - F.coalesce(F.sum(F.length("text")).over(upto), F.lit(0))
+    fit = rows.withColumn("room", room).filter("room > 0").select("lang", "rank", F.expr("left(text, int(room))").alias("text"))
     out: dict[str, list[tuple[int, str]]] = {}
-    for row in fit.unionByName(shortest).collect():
+    for row in fit.collect():
         out.setdefault(row["lang"], []).append((row["rank"], row["text"]))
     return {lang: " ".join(text for _, text in sorted(texts)) for lang, texts in out.items()}
 
 
 def identify(docs: DataFrame, learn_from: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, lang_pred and score of every text of ``docs``; labels are read only where ``learn_from`` holds."""
-    labelled = docs.filter(learn_from).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    model = docs.sparkSession.sparkContext.broadcast(CrossParser(sample(labelled)))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    importable(docs.sparkSession)
+    known = picked(docs.filter(learn_from), doc_id=doc_id, text=text, lang=lang).withColumns({"text": F.col("text").cast("string"), "lang": F.col("lang").cast("string")})
+    model = docs.sparkSession.sparkContext.broadcast(CrossParser(sample(known)))
+    rows = picked(docs, doc_id=doc_id, text=text).withColumn("text", F.col("text").cast("string"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parser = model.value
