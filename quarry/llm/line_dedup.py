@@ -1,17 +1,20 @@
-"""Substring deduplication by hashing lines and the sentences within them.
+"""Substring deduplication by hashing lines and the paragraphs that consecutive clauses make up.
 
-Units are lines and, within lines, sentences, so that a passage is found as a paragraph of its own and in the midst of
-another. Units are normalised (lower case, runs of white space as one space) and units of fewer than ``LEAST_WORDS``
-words are left alone. Digests are grouped over all documents; the occurrence of the lowest rank (doc_id, then offset)
-stays and every other is removed. What is removed is given as offsets in the original text (code points, end exclusive).
+A text is cut into clauses, at line breaks and at . ! ? , ; and :, and units are made of whole clauses: every line, and from
+each clause on the shortest run of clauses of at least ``LEAST`` words, so that a passage is found in mid-line and across lines too. Units
+are normalised (lower case, words only, one space between) and those of fewer than ``LEAST`` words are left alone: a short sentence or line that
+stands in two documents is no copied passage. (A lower ``least`` has short lines removed as well.) Digests are grouped over all
+documents; the occurrence of the lowest rank (doc_id, then offset) stays and every other is removed. What is removed is given as offsets
+in the original text (code points, end exclusive); of a repeated run, clauses of together fewer than ``LEAST`` words may stay at its end.
 
 Grouping takes two steps, as most units occur once: 64-bit digests that occur twice or more are found by counting, and only units
-that bear one are grouped by all 128 bits. Counting combines within tasks first, so a line that a third of all
-documents share is a few rows by the time it moves.
+that bear one are grouped by all 128 bits. Counting combines within tasks first. Digests of more than ``HEAVY`` occurrences meet their
+units by a broadcast while they are at most ``BROADCAST_ROWS``, all others by a shuffle, so no task gathers the units of a hot line.
 
 Defined cases: a null or blank text has no units; rows alike in id and text are one document, each gets the same result; texts that share an
 id are ranked by a hash of the text; a null id ranks last; an empty table gives an empty result; columns named like the
-result's give way, others are kept if asked for.
+result's, in any case, give way, others are kept if asked for. In scripts without spaces ten characters count as a word. A very long
+text is cut in memory in proportion to its length.
 """
 
 from __future__ import annotations
@@ -19,35 +22,56 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, importable, materialize
+from .common import Box, picked
 
-LEAST_WORDS = 5
-SENTENCE = re.compile(r"[^.!?]+[.!?]*")
+LEAST = 15
+HEAVY, BROADCAST_ROWS = 500, 500_000
+CLAUSE = re.compile(r"[^.!?,;:\n]+")
 SPANS = "array<struct<start:int,end:int>>"
 
 
-def units(text: str | None, least: int = LEAST_WORDS) -> Iterator[tuple[int, int, str]]:
-    """(start, end, normalised unit) of the lines of a text and of the sentences of lines with several."""
-    at = 0
-    for line in (text or "").split("\n"):
-        pieces = list(SENTENCE.finditer(line))
-        spans = [(m.start(), m.end()) for m in pieces] if len(pieces) > 1 else []
-        for start, end in [(0, len(line)), *spans]:
-            raw = line[start:end]
-            words = raw.lower().split()
-            if len(words) >= least:
-                lead = len(raw) - len(raw.lstrip())
-                yield at + start + lead, at + start + len(raw.rstrip()), " ".join(words)
-        at += len(line) + 1
-
-
-def digests(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("mark"), F.col(text).cast("string").alias("text"))
+def units(text: str | None, least: int = LEAST) -> Iterator[tuple[int, int, str]]:
+    """(start, end, normalised unit) of the lines of a text and of its runs of clauses."""
+    text = text or ""
+    clauses = []  # start, end, words, size
+    for m in CLAUSE.finditer(text):
+        words = m[0].lower().split()
+        if words:
+            lead, trail = len(m[0]) - len(m[0].lstrip()), len(m[0].rstrip())
+            clauses.append((m.start() + lead, m.start() + trail, words, max(len(words), trail // 10)))
+    given, end, size = set(), 0, 0
+    for i, (start, _, _, own) in enumerate(clauses):
+        while end < len(clauses) and size < least:
+            size += clauses[end][3]
+            end += 1
+        if size < least:
+            break
+        given.add((i, end))
+        yield start, clauses[end - 1][1], " ".join(w for c in clauses[i:end] for w in c[2])
+        size -= own
+    i = 0
+    while i < len(clauses):
+        stop = text.find("\n", clauses[i][0])
+        end, size = i, 0
+        while end < len(clauses) and (stop < 0 or clauses[end][0] < stop):
+            size += clauses[end][3]
+            end += 1
+        if size >= least and (i, end) not in given:
+            yield clauses[i][0], clauses[end - 1][1], " ".join(w for c in clauses[i:end] for w in c[2])
+        i = end
+
+
+def digests(docs: DataFrame, least: int) -> DataFrame:
+    """doc_id, mark (a hash of the text), start, end and the halves of the digest of every unit."""
+    importable(docs.sparkSession)
+    rows = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("mark"), F.col("text").cast("string").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,33 +99,55 @@ def digests(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
     return rows.mapInArrow(work, f"doc_id {dict(rows.dtypes)['doc_id']}, mark bigint, start int, end int, h1 bigint, h2 bigint")
 
 
-def merged(spans: Column) -> Column:
-    """Sorted spans, those that overlap as one."""
-    step = lambda acc, x: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))),
-    ).otherwise(F.concat(acc, F.array(x)))
-    return F.aggregate(F.array_sort(spans), F.array().cast(SPANS), step)
+def united(spans: DataFrame) -> DataFrame:
+    """(_id, _mark, removed) of ``spans`` with ``found``, an array of spans: in order, and those that overlap as one."""
 
-
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """_id, _mark and the ``removed`` spans of every document that has units to remove."""
-    found = materialize(digests(docs, doc_id, text, least), "units")
-    several = found.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1")
-    shared = materialize(found.join(several, "h1", "left_semi"), "shared")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for row in batch.column("found"):
+                start, end = (row.values.field(k).to_numpy() for k in ("start", "end"))
+                order = np.lexsort((end, start))
+                start, upto = start[order], np.maximum.accumulate(end[order])
+                new = np.ones(len(start), bool)
+                new[1:] = start[1:] > upto[:-1]
+                last = np.append(np.flatnonzero(new)[1:] - 1, len(start) - 1)
+                made.append([{"start": a, "end": b} for a, b in zip(start[new].tolist(), upto[last].tolist(), strict=True)])
+            removed = pa.array(made, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_mark"), removed], ["_id", "_mark", "removed"])
+
+    return spans.select("_id", "_mark", "found").mapInArrow(work, f"_id {dict(spans.dtypes)['_id']}, _mark bigint, removed {SPANS}")
+
+
+def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """_id, _mark and the ``removed`` spans of every document of ``docs`` (doc_id, text) that has units to remove."""
+    found = materialize(digests(docs, least), "units")
+    several = materialize(found.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "several")
+    heavy = several.filter(F.col("n") > HEAVY).select("h1")
+    few = heavy.count() <= BROADCAST_ROWS
+    sides = [(several.filter(F.col("n") <= HEAVY).select("h1"), False), (heavy, few)]
+    meet = lambda side, small: F.broadcast(side) if small else side
+    shared = [materialize(found.join(meet(side, small), "h1", "left_semi"), "shared") for side, small in sides]
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "start", F.col("end").alias("end"))
-    first = shared.groupBy("h1", "h2").agg(F.min(rank).alias("first"))
-    later = shared.join(first, ["h1", "h2"]).filter(rank > F.col("first"))
-    return later.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(merged(F.collect_set(F.struct("start", "end")).cast(SPANS)).alias("removed"))
-
-
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, least: int = LEAST_WORDS) -> DataFrame:
+    parts, firsts = [], []
+    for own, (_, small) in zip(shared, sides, strict=True):
+        first = materialize(own.groupBy("h1", "h2").agg(F.min(rank).alias("first")), "first")
+        # Two digests of 128 bits that share 64 of them are all but impossible, so these rows are as few as those of the side.
+        parts.append(own.join(meet(first, small), ["h1", "h2"]).filter(rank > F.col("first")).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.struct("start", "end").alias("span")))
+        firsts.append(first)
+    spans = parts[0].unionByName(parts[1]).groupBy("_id", "_mark").agg(F.collect_set("span").alias("found"))
+    out = materialize(united(spans), "removed")
+    discard(found, several, *shared, *firsts)
+    return out
+
+
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, least: int = LEAST) -> DataFrame:
     """``keep`` columns of ``docs`` (default: all) with ``removed``, the spans to cut from the text (empty: none)."""
-    keep = docs.columns if keep is None else keep
-    found = repeats(docs, doc_id, text, least)
-    rows = docs.select(*[c for c in keep if c != "removed"], F.col(doc_id).alias("_own"), F.xxhash64(F.col(text).cast("string")).alias("_hash"))
+    found = repeats(picked(docs, doc_id=doc_id, text=text), least)
+    box = Box(docs, keep, ["removed"])
+    rows = box.rows(_own=box[doc_id], _hash=F.xxhash64(box[text].cast("string")))
     joined = rows.join(found, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_mark")), "left")
-    return joined.withColumn("removed", F.coalesce("removed", F.array().cast(SPANS))).drop("_own", "_hash", "_id", "_mark")
+    return box.open(joined, removed=F.coalesce("removed", F.array().cast(SPANS)))
 
 
 def cut(text: Column, removed: Column) -> Column:
