@@ -48,13 +48,13 @@ def test_link_agrees_with_pairs(spark):
         for _ in range(120):
             kind, cls = rng.choice(classes)
             at = rng.randrange(40_000)
-            rows.append((key, at, 3, at + 20, kind, cls, rng.random() < 0.7))
+            rows.append((key, at, 3, at + rng.choice((20, 20, 900)), kind, cls, rng.random() < 0.7))
     rows = list(dict.fromkeys(rows))
     df = spark.createDataFrame(rows, "key string, start long, rank int, end long, kind string, class string, weak boolean")
     got = {tuple(r) for r in secrets.link(df, 300).select("key", "start", "kind").collect()}
     want = set()
-    for k, at, _, _, kind, cls, weak in rows:
-        near = {c for k2, b, _, _, _, c, _ in rows if k2 == k and abs(at - b) <= 300 and c != cls}
+    for k, at, _, own, kind, cls, weak in rows:
+        near = {c for k2, b, _, end, _, c, _ in rows if k2 == k and max(b - own, at - end) <= 300 and c != cls}
         fits = {"id": "secret" in near, "secret": bool(near & {"id", "endpoint"}), "endpoint": {"id", "secret"} <= near}[cls]
         if weak and fits:
             want.add((k, at, kind))
@@ -71,3 +71,15 @@ def test_odd_rows_and_empty(documents, odd):
     found = secrets.find_secrets(documents(odd, clash=True))
     assert found.count() == len(odd)
     assert secrets.find_secrets(documents([])).count() == 0
+
+
+def test_many_spans_and_long_secrets(documents):
+    many = "é password=abcdefgh1 and " * 700
+    jwt = "a1B" * 300
+    rows = [(1, many), (2, f"token={jwt} login=eve"), (3, f"token={jwt}{' .' * 151}login=eve")]
+    found = secrets.find_secrets(documents(rows))
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(found).collect()}
+    assert out[1] == "é [REDACTED] and " * 700 and out[2] == "[REDACTED] [REDACTED]"
+    got = spans(found)
+    assert got[1][0] == base(many)
+    assert [x.split(":")[0] for x in got[2][1].split(",")] == ["assign", "id"] and [x.split(":")[0] for x in got[3][1].split(",")] == ["assign"]
