@@ -34,8 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .common import word_count
+from ..session import discard, importable, materialize
+from .common import Box, picked
 from .components import components
 
 WORDS = 5
@@ -133,9 +133,9 @@ def bands(registers: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sign(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def sign(docs: DataFrame) -> DataFrame:
     """doc_id, mark (a hash of the text), node (a hash of the words, null without words), sig and bands of every text."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("mark"), F.col(text).cast("string").alias("text"))
+    rows = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("mark"), F.col("text").cast("string").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -240,13 +240,28 @@ def overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _blocks(members: DataFrame, payload: str, weight: str) -> DataFrame:
-    """Pairs of blocks of each bucket: ``members`` (key, node, component, payload) in blocks of BLOCK rows or BYTES at most, about."""
-    totals = members.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(weight) / BYTES)).alias("blocks"))
-    rows = members.join(totals, "key").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(8)), F.col("blocks")))
-    made = materialize(rows.groupBy("key", "chunk").agg(F.collect_list(F.struct("node", "component", F.col(payload).alias("payload"))).alias("rows")), "blocks")
-    one, two = (made.select("key", F.col("chunk").alias(f"chunk_{side}"), F.col("rows").alias(f"rows_{side}")) for side in "ab")
-    return one.join(two, "key").filter("chunk_a <= chunk_b").select("key", "rows_a", "rows_b")
+def _blocks(members: DataFrame, payload: str, weight: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs of blocks of each bucket, and the table they read: ``members`` (key, node, component, payload) in blocks of BLOCK rows or BYTES at most, about.
+
+    A component of half a block or more has blocks of its own, which don't meet each other; smaller ones share blocks. Blocks are paired
+    by name first, and each pair is a row that any task may take, so a bucket of any size is spread over all tasks.
+    """
+    sized = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("bytes"))
+    large = F.col("n") >= BLOCK // 2
+    sized = materialize(sized.select("key", "component", "n", "bytes", large.alias("large"), F.when(large, F.col("component")).otherwise(F.lit(0)).alias("group")), "sized")
+    totals = sized.groupBy("key", "large", "group").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("bytes") / BYTES)).alias("blocks"))
+    place = materialize(sized.join(totals, ["key", "large", "group"]).select("key", "component", "large", "group", "blocks"), "place")
+    block = F.struct("large", "group", F.pmod(F.xxhash64("node", F.lit(8)), F.col("blocks")).alias("chunk"))
+    rows = members.join(place, ["key", "component"]).withColumn("block", block)
+    made = materialize(rows.groupBy("key", "block").agg(F.collect_list(F.struct("node", "component", F.col(payload).alias("payload"))).alias("rows")), "blocks")
+    discard(sized, place)
+    names = [made.select("key", F.col("block").alias(f"block_{side}")) for side in "ab"]
+    one, two = F.col("block_a"), F.col("block_b")
+    apart = (one < two) & ~(one["large"] & two["large"] & (one["group"] == two["group"]))
+    pairs = names[0].join(names[1], "key").filter(apart | ((one == two) & ~one["large"]))
+    for side in "ab":
+        pairs = pairs.join(made.select("key", F.col("block").alias(f"block_{side}"), F.col("rows").alias(f"rows_{side}")), ["key", f"block_{side}"])
+    return pairs.select("key", "rows_a", "rows_b"), made
 
 
 def _sides(row: dict, kind: type) -> tuple:
@@ -299,9 +314,14 @@ def across(members: DataFrame, nodes: DataFrame, bagged: DataFrame, least: float
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     signed = members.join(nodes.select("node", "sig"), "node").withColumn("_weight", F.lit(2 * REGISTERS))
-    close = materialize(_blocks(signed, "sig", "_weight").mapInArrow(agree, "key bigint, node bigint").distinct(), "close")
+    pairs, made = _blocks(signed, "sig", "_weight")
+    close = materialize(pairs.mapInArrow(agree, "key bigint, node bigint").distinct(), "close")
+    discard(made)
     full = members.join(close, ["key", "node"], "left_semi").join(bagged, "node").withColumn("_weight", F.length("bag"))
-    return _blocks(full, "bag", "_weight").select("rows_a", "rows_b").mapInArrow(join, "a bigint, b bigint")
+    pairs, made = _blocks(full, "bag", "_weight")
+    found = materialize(pairs.select("rows_a", "rows_b").mapInArrow(join, "a bigint, b bigint"), "links")
+    discard(close, made)
+    return found
 
 
 def _small(side: DataFrame) -> DataFrame:
@@ -314,7 +334,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     ``component`` tells classes apart and is null for texts without words, which are alone.
     """
-    signed = materialize(sign(docs, doc_id, text), "signed")
+    importable(docs.sparkSession)
+    docs = picked(docs, doc_id=doc_id, text=text)
+    signed = materialize(sign(docs), "signed")
     nodes = materialize(signed.filter("node is not null").groupBy("node").agg(F.min("mark").alias("mark"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")), "nodes")
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     shared = materialize(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1"), "shared")
@@ -325,21 +347,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stars = materialize(agreeing(sided(stars)), "stars")
     meeting = met.select("node").distinct()
     needed = nodes.join(meeting, "node", "left_semi").select("node", "mark")
-    whole = docs.select(F.xxhash64(F.col(text).cast("string")).alias("mark"), F.col(text).cast("string").alias("text"))
-    texts = whole.join(_small(materialize(needed, "needed")), "mark").groupBy("node").agg(F.any_value("text").alias("text"))
+    whole = docs.select(F.xxhash64(F.col("text").cast("string")).alias("mark"), F.col("text").cast("string").alias("text"))
+    needed = materialize(needed, "needed")
+    texts = whole.join(_small(needed), "mark").groupBy("node").agg(F.any_value("text").alias("text"))
     bagged = materialize(bags(texts), "bags")
     links = materialize(checked(stars, bagged, least), "links")
     found = materialize(components(links), "components")
     placed = met.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key")
     members = materialize(placed.join(several, "key", "left_semi").select("key", "node", "component"), "members")
-    more = materialize(across(members, nodes, bagged, least), "links")
+    more = across(members, nodes, bagged, least)
     final = materialize(components(links.union(more)), "components")
-    classed = signed.select("doc_id", "mark", "node").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = classed.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    out = classed.join(sizes, "component", "left")
-    alone = F.col("component").isNull()
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "mark", "component")
+    discard(nodes, shared, met, stars, needed, bagged, links, found, members, more)
+    placed = signed.select("doc_id", "mark", "node").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classed = materialize(placed.drop("node"), "classed")
+    discard(signed, final)
+    sizes = classed.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).filter("class_size > 1")
+    out = classed.join(_small(materialize(sizes, "sizes")), "component", "left")
+    one = F.coalesce("class_size", F.lit(1)) == 1
+    return out.select("doc_id", F.when(one, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "mark", "component")
 
 
 def one_of_each(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -348,12 +374,15 @@ def one_of_each(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id", tex
     rows = classes.filter("component is not null").groupBy("component", "doc_id", "mark").agg(F.count(F.lit(1)).alias("times"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "times")).alias("first")
     chosen = rows.groupBy("component").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"), F.col("first.times").alias("_times"))
-    chosen = _small(materialize(chosen.withColumn("_key", key(F.col("_id"))), "chosen"))
-    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_own"), key(F.col(doc_id)).alias("_key"), F.xxhash64(F.col(text).cast("string")).alias("_mark"), (word_count(F.col(text)) == 0).alias("_blank"))
-    met = own.filter("not _blank").join(chosen, ["_key", "_mark"]).filter(F.col("_own").eqNullSafe(F.col("_id")))
+    chosen = materialize(chosen.withColumn("_key", key(F.col("_id"))), "chosen")
+    box = Box(docs)
+    whole = box[text].cast("string")
+    blank = ~F.coalesce(whole.rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    own = box.rows(_own=box[doc_id], _key=key(box[doc_id]), _mark=F.xxhash64(whole), _blank=blank)
+    met = own.join(_small(chosen), ["_key", "_mark"], "left").withColumn("_hit", F.col("_times").isNotNull() & F.col("_own").eqNullSafe(F.col("_id")))
+    kept = met.filter(F.col("_blank") | (F.col("_hit") & (F.col("_times") == 1)))
+    if not chosen.filter("_times > 1").limit(1).count():
+        return box.open(kept)
     # Only rows that are repeated as they are need to come together.
-    once = met.filter("_times = 1").select("_row.*")
-    again = met.filter("_times > 1").groupBy("_key", "_mark").agg(F.any_value("_row").alias("_row")).select("_row.*")
-    return once.unionByName(again).unionByName(own.filter("_blank").select("_row.*"))
-
-
+    again = met.filter(~F.col("_blank") & F.col("_hit") & (F.col("_times") > 1)).groupBy("_key", "_mark").agg(F.any_value("row").alias("row"))
+    return box.open(kept.select("row").unionByName(again.select("row")))
