@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +81,29 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+def parts_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of op2, which SQL can find too."""
+    return op2_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def parts_mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets of op9, which SQL can find too."""
+    return op9_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def parts_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts, paths and rules of op10, which SQL can find too, and the verdicts that rules give."""
+    verdict = F.when(F.col("rule").isNotNull(), F.col("verdict"))
+    return op10_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", verdict.alias("by_rule"))
+
+
+def parts_quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of op4's policies costs, from one ledger."""
+    rows = quality_rules.ledger(quality_rules.measure(table(spark, sf_dir, "documents")))
+    each = [quality_rules.ablation(rows, policy).select(F.lit(policy).alias("policy"), "rule", "bit", "failed", "failed_alone", "kept", "kept_without_rule") for policy in sorted(quality_rules.POLICIES)]
+    return reduce(DataFrame.unionByName, each)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
@@ -96,6 +120,62 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_mixing": op9_mixing,
     "op10_url_filter": op10_url_filter,
+    "parts_secret_spans": parts_secret_spans,
+    "parts_mix_targets": parts_mix_targets,
+    "parts_url_rules": parts_url_rules,
+    "parts_quality_ablation": parts_quality_ablation,
 }
 
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_COUNTED = f"""
+texts AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+lines AS (SELECT k, l FROM (SELECT k, unnest(string_split(t, chr(10))) AS l FROM texts) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
+by_line AS (SELECT k, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines FROM lines GROUP BY k),
+starts AS (SELECT k, w, unnest(range(1, len(w) - 3)) AS i FROM texts),
+windows AS (SELECT k, i, count(*) OVER (PARTITION BY k, array_to_string(w[i:i + 4], ' ')) AS n FROM starts),
+covered AS (SELECT k, count(DISTINCT j) AS n_repeat_words FROM (SELECT k, unnest(range(i, i + 5)) AS j FROM windows WHERE n > 1) GROUP BY k),
+counted AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+    length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^a-z]', '', 'g')) AS n_lower, (length(t) - length(replace(t, '!!', ''))) // 2 AS n_shouts
+  FROM texts LEFT JOIN by_line USING (k) LEFT JOIN covered USING (k)),
+bits AS (
+  SELECT *, CAST(CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END
+    + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END + CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 16 ELSE 0 END
+    + CASE WHEN n_upper > n_lower THEN 32 ELSE 0 END + CASE WHEN 10 * n_shouts > n_words THEN 64 ELSE 0 END AS BIGINT) AS failures
+  FROM counted)"""
+_NAMED = "'[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]'"
+_ASSIGN = """'(' || {0} || ')["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)'""".format(_NAMED)
+
+
+def _spans(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    cut = f"SELECT k, list_transform(string_split_regex(t, {pattern}), lambda x: length(x)) AS gap, list_transform(regexp_extract_all(t, {pattern}, 0), lambda x: length(x)) AS len, list_transform(regexp_extract_all(t, {pattern}, {group}), lambda x: length(x)) AS part FROM texts"
+    at = f"SELECT k, unnest(range(1, len(len) + 1)) AS i, gap, len, part FROM ({cut})"
+    return f"SELECT k, '{kind}' AS kind, {rank} AS rank, list_sum(gap[1:i]) + coalesce(list_sum(len[1:i - 1]), 0) AS s, len[i] AS n FROM ({at}) WHERE part[i] >= {least}"
+
+
+SQL: dict[str, str] = {
+    "op4_quality_rules": f"""WITH {_COUNTED}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM bits""",
+    "parts_quality_ablation": f"""WITH {_COUNTED},
+rules AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('duplicate_lines', 8), ('word_length', 16), ('upper_case', 32), ('shouting', 64)) r(rule, bit)),
+policies AS (SELECT 'base' AS policy, 3 AS mask UNION ALL SELECT 'v1', 127)
+SELECT policy, rule, CAST(bit AS BIGINT) AS bit, CAST(count(*) FILTER (failures & bit <> 0) AS BIGINT) AS failed, CAST(count(*) FILTER (failures & mask = bit) AS BIGINT) AS failed_alone,
+  CAST(count(*) FILTER (failures & mask = 0) AS BIGINT) AS kept, CAST(count(*) FILTER (failures & mask & ~bit = 0) AS BIGINT) AS kept_without_rule
+FROM bits JOIN policies ON true JOIN rules ON mask & bit <> 0 GROUP BY policy, rule, bit""",
+    "parts_secret_spans": f"""WITH texts AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({_spans("assign", 0, _ASSIGN, 2, 8)} UNION ALL {_spans("access", 1, "'AKIA[A-Z0-9]+'", 0, 16)} UNION ALL {_spans("hex", 2, "'[0-9a-f]+'", 0, 32)}),
+listed AS (SELECT k, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS b, count(*) FILTER (rank = 2) AS c, string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, rank) AS said FROM found GROUP BY k)
+SELECT doc_id, CAST(coalesce(a, 0) AS BIGINT) AS n_assign, CAST(coalesce(b, 0) AS BIGINT) AS n_access, CAST(coalesce(c, 0) AS BIGINT) AS n_hex, sha256(coalesce(said, '')) AS base_sha256 FROM texts LEFT JOIN listed USING (k)""",
+    "parts_mix_targets": f"""WITH sized AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM sized GROUP BY source),
+weighed AS (SELECT *, [5.0, 2.0, 1.0][k % 3 + 1]::DOUBLE AS w, 3.0::DOUBLE * source_size AS most, (sum(source_size) OVER ())::DOUBLE AS total FROM sources),
+levels AS (SELECT *, (total - coalesce(sum(most) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level FROM weighed WINDOW b AS (ORDER BY most / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ends AS (SELECT min_by(level, most / w) FILTER (most >= level * w) AS level FROM levels)
+SELECT d.doc_id, d.size, l.source_size, round(least(l.most, coalesce(e.level * l.w, l.most)), 3) AS target FROM sized d JOIN levels l ON d.source IS NOT DISTINCT FROM l.source JOIN ends e ON true""",
+    "parts_url_rules": """WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+named AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+rules AS (SELECT * FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) r(verdict, h, p)),
+fits AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS by_rule FROM named JOIN rules ON (host = h OR host LIKE '%.' || h) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, by_rule FROM named LEFT JOIN fits USING (page_id)""",
+}

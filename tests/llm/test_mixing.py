@@ -65,3 +65,42 @@ def test_large_cell_is_dealt_by_chunks(documents):
 def test_empty(documents):
     assert mixing.entropy_balance(documents([])).count() == 0
     assert mixing.entropy_balance(documents([(1, None), (2, "")])).toPandas()["taken"].tolist() == [0, 0]
+
+
+def solved(sizes, target, cap, base):
+    """The optimum by halving: rates of documents of these sizes and base rates that use the target."""
+    import math
+
+    low, high = -5.0, 5.0
+    rates = lambda x: [min(cap, b * math.exp(min(x * s, 50))) for s, b in zip(sizes, base, strict=True)]
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(r * s for r, s in zip(rates(mid), sizes, strict=True)) < target else (low, mid)
+    return rates(low)
+
+
+def test_rates_are_the_optimum_and_differ_within_a_source(documents):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    rows = [(k, "w " * int(rng.lognormvariate(3, 1) + 1), "en", "abc"[k % 3] if k % 7 else "c") for k in range(600)]
+    docs = documents(rows)
+    for base in (None, F.when(F.col("doc_id") % 2 == 0, 0.3).otherwise(1.7)):
+        found = mixing.entropy_balance(docs, base_rate=base).toPandas()
+        for s, own in found.groupby("source"):
+            want = solved(own["size"].tolist(), own.target.iloc[0], 3, [1.0 if base is None else (0.3 if d % 2 == 0 else 1.7) for d in own.doc_id])
+            assert own.rate.tolist() == pytest.approx(want, rel=1e-6), s
+            assert own.rate.max() > own.rate.min() + 0.05
+            assert abs(own.taken.sum() - own.target.iloc[0]) <= max(1.0, 0.01 * own.target.iloc[0])
+            assert (abs(own.copies - own.rate) < 1 + 1e-9).mean() > 0.95
+
+
+def test_newton_takes_steps(spark):
+    cells = spark.createDataFrame([("a", s, 1.0, 5) for s in (1, 10, 100, 400)] + [("b", s, 1.0, 5) for s in (3, 30)], "skey string, size long, base double, n long")
+    targets = spark.createDataFrame([("a", 2555.0, 4000.0), ("b", 165.0, 495.0)], "skey string, source_size double, target double")
+    tilts, steps = mixing.solve_tilts(cells, targets, 3)
+    lam = {r["skey"]: r["lam"] for r in tilts.collect()}
+    assert 2 < steps < 20 and solved([1, 10, 100, 400] * 5, 4000, 3, [1] * 20)[2] == pytest.approx(min(3, 2.718281828459045 ** (lam["a"] * 100)), rel=1e-6)
+    assert lam["b"] == pytest.approx(1.0986122886681098 / 3)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarry.llm import labelled, language_id, quality_classifier, toxicity
@@ -119,7 +120,60 @@ def test_grades_are_ordered(spark, documents, odd):
 
 
 def test_sample_is_bounded_and_weighted(spark, documents):
-    docs = documents([(i, "t") for i in range(100)]).select("doc_id", "text")
+    docs = documents([(i, "t" * (i + 1)) for i in range(100)]).select("doc_id", "text")
     marks = spark.createDataFrame([(i, int(i < 80)) for i in range(100)], "doc_id long, label int")
-    rows = labelled.sample(docs, marks, F.lit(True), per_class=10)
-    assert len(rows) == 20 and abs(rows[rows.label == 1].weight.sum() - 0.8) < 1e-9
+    rows, sizes = labelled.sample(docs, marks, F.lit(True), per_class=10)
+    got = labelled.gather(rows, lambda x: {"n": len(x), "b": x.encode()}, {"n": pa.int64(), "b": pa.binary()})
+    weight = labelled.balanced(got["label"], sizes)
+    assert len(got["label"]) == 20 and sizes == {0: 20, 1: 80} and abs(weight[got["label"] == 1].sum() - 0.8) < 1e-9
+    assert [len(b) for b in got["b"]] == got["n"].tolist() and (got["rank"] == np.repeat(np.arange(1, 11), 2)).all()
+    few, _ = labelled.sample(docs, marks, F.lit(True), per_class=10, chars=400)
+    assert 0 < sum(r["n"] for r in few.select(F.length("text").alias("n")).collect()) <= 400
+
+
+def test_slopes_of_the_ordinal_loss():
+    """The slopes that the fit follows are those of the loss, measured by small steps."""
+    rng = np.random.default_rng(6)
+    y, weight = np.arange(12) % 3, np.full(12, 1 / 12)
+    row, col, val = np.repeat(np.arange(12), 4).astype(np.int32), rng.integers(0, 9, 48).astype(np.uint16), rng.random(48).astype(np.float32)
+    at = [rng.normal(size=quality_classifier.BUCKETS) * (np.arange(quality_classifier.BUCKETS) < 9), np.array([-0.5]), np.array([0.2])]
+    loss = lambda x: quality_classifier.gradients(*x, y, weight, row, col, val, np.arange(12))
+    slopes = loss(at)[1]
+    for k, places in ((0, range(9)), (1, [0]), (2, [0])):
+        for i in places:
+            up, down = ([x.copy() for x in at] for _ in range(2))
+            up[k][i] += 1e-5
+            down[k][i] -= 1e-5
+            assert abs((loss(up)[0] - loss(down)[0]) / 2e-5 - slopes[k][i]) < 1e-5
+
+
+def test_features_are_the_same_on_executors(spark, documents):
+    texts = ["One two  TWO 3.5%", "", None, "wörd wörd"]
+    rows = spark.createDataFrame([(x or "", i % 2, i) for i, x in enumerate(texts)], "text string, label int, rank int")
+    _, row, col, val = quality_classifier.sparse(rows)
+    for i, x in enumerate(texts):
+        want = quality_classifier.vector(x, {})
+        assert {int(c): float(v) for c, v in zip(col[row == i], val[row == i], strict=True)} == {c: float(np.float32(v)) for c, v in want.items()}
+    y, n = toxicity.shares(rows)
+    held = [{b for s in toxicity.sentences(x) for b in s} for x in texts]
+    assert n.tolist() == [2, 2] and all(y[k, b] == sum(b in h for h in held[k::2]) for k in (0, 1) for h in held for b in h)
+
+
+def test_languages_of_many_letters_and_long_texts():
+    rng = random.Random(8)
+    han = [chr(0x4E00 + i) for i in range(900)]
+    samples = {"one": "".join(rng.choice(han[:500]) for _ in range(3000)), "two": "".join(rng.choice(han[400:]) for _ in range(3000)), "abc": "abcab cabca" * 40}
+    parser = language_id.CrossParser(samples)
+    texts = [samples["one"][100:1300] + samples["two"][5:1200], samples["abc"] * 3, "".join(rng.choice(han) for _ in range(700)), samples["two"], "a", "b" * 1000]
+    codes, of = parser.encode(texts)
+    got = parser.phrases(codes, of, len(texts))
+    for i, lang in enumerate(parser.langs):
+        for j, text in enumerate(texts):
+            assert got[i, j] == phrases(" ".join(text.split()), samples[lang]), (lang, j)
+    assert parser.classify([samples["one"][50:90], samples["two"][50:90]])[0] == ["one", "two"]
+
+
+def test_language_samples_are_full(spark, documents):
+    rows = [(i, f"{'ab ' * (5 if i % 2 else 4000)}{i}", "en", "s") for i in range(90)]
+    got = language_id.sample(documents(rows).select("doc_id", "text", "lang"))
+    assert language_id.SAMPLE_CHARS <= len(got["en"]) <= language_id.SAMPLE_CHARS + language_id.SAMPLE_DOCS

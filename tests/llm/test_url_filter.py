@@ -61,3 +61,102 @@ def test_empty_repeats_and_clashes(spark):
     df = pages(spark, ["http://a.com/en/1"] * 3).withColumns({c: F.lit("x") for c in ("host", "path", "rule", "verdict", "template", "purity", "n", "segs", "made")})
     got = uf.filter_urls(df).collect()
     assert len(got) == 3 and {r["verdict"] for r in got} == {"block"}
+
+
+def tree(paths, depth=0):
+    """Templates by recursion over nodes, as the docstring words it."""
+    if len(paths) < uf.MANY:
+        return {p: p[depth:] for p in paths}
+    out, below = {p: () for p in paths if len(p) == depth}, {}
+    for p in paths:
+        if len(p) > depth:
+            below.setdefault(p[depth], []).append(p)
+    if len(below) >= uf.MANY and len(below) >= uf.VARIED * len(paths):
+        below = {"*": [p for own in below.values() for p in own]}
+    for seg, own in below.items():
+        out |= {p: (seg, *rest) for p, rest in tree(own, depth + 1).items()}
+    return out
+
+
+def verdicts(templates, counts):
+    """Purity of each template, in plain loops. counts: template -> [lengths], blocked, allowed."""
+    shape = lambda t: tuple(x if x == "*" else "w" for x in t)
+    all_b, all_l = sum(b for _, b, _ in counts.values()), sum(b + a for _, b, a in counts.values())
+    prior = all_b / all_l if all_l else 0.0
+    merged, own = {}, {}
+    for s in {shape(t) for t in templates}:
+        with_ = [t for t in templates if shape(t) == s and counts[t][1] + counts[t][2]]
+        if not with_:
+            continue
+        share = sum(counts[t][1] for t in with_) / sum(counts[t][1] + counts[t][2] for t in with_)
+        for t in with_:
+            n = counts[t][1] + counts[t][2]
+            if abs(counts[t][1] / n - share) <= uf.Z * (share * (1 - share) / n) ** 0.5 + 1e-12:
+                merged.setdefault(s, []).append(t)
+            else:
+                own[t] = (counts[t][1], n)
+        for t in merged.get(s, []):
+            own[t] = (sum(counts[x][1] for x in merged[s]), sum(counts[x][1] + counts[x][2] for x in merged[s]))
+    for t in templates:
+        if t in own:
+            continue
+        s, mine = shape(t), counts[t][0]
+        if s in merged:
+            theirs = [x for m in merged[s] for x in counts[m][0]]
+            mean = lambda x: sum(x) / len(x)
+            spread = sum((x - mean(mine)) ** 2 for x in mine) + sum((x - mean(theirs)) ** 2 for x in theirs)
+            error = (spread / max(len(mine) + len(theirs) - 2, 1) * (1 / len(mine) + 1 / len(theirs))) ** 0.5
+            if abs(mean(mine) - mean(theirs)) <= uf.Z * error + 1e-6:
+                own[t] = (sum(counts[x][1] for x in merged[s]), sum(counts[x][1] + counts[x][2] for x in merged[s]))
+                continue
+        for k in range(len(t), -1, -1):
+            near = [x for x in templates if x[:k] == t[:k] and counts[x][1] + counts[x][2]]
+            if near:
+                own[t] = (sum(counts[x][1] for x in near), sum(counts[x][1] + counts[x][2] for x in near))
+                break
+    return {t: (b + prior * uf.M) / (n + uf.M) for t, (b, n) in own.items()}
+
+
+def test_tree_and_purity_agree_with_recursion(spark, monkeypatch):
+    import random
+    from collections import defaultdict
+
+    rng = random.Random(11)
+    words = ["news", "shop", "tag", "user", "blog", "a", "bb", "ccc"]
+    rows = []
+    for _ in range(1500):
+        kind = rng.random()
+        if kind < 0.3:
+            path = f"/user/{rng.choice('abcdefghij')}{rng.choice('klmnopqrst')}{rng.choice('uvwxyz')}/{rng.choice(words)}"
+        elif kind < 0.5:
+            path = f"/tag/{rng.choice('abcdefghij')}{rng.choice('klmnopqrst')}"
+        else:
+            path = "".join(f"/{rng.choice(words)}" for _ in range(rng.randrange(0, 5)))
+        bad = "user" in path[:6] or path.startswith("/shop")
+        rows.append((len(rows), "http://h.xyz" + path, None if rng.random() < 0.7 or path.startswith("/blog") else ("block" if bad != (rng.random() < 0.1) else "allow")))
+    df = spark.createDataFrame(rows, "page_id long, url string, mine string")
+    cut = lambda u: tuple(x for x in u[12:].split("/") if x)
+    made = tree(sorted({cut(u) for _, u, _ in rows}))
+    counts = defaultdict(lambda: [[], 0, 0])
+    for _, u, label in rows:
+        c = counts[made[cut(u)]]
+        c[0].append(len(u) - 12)
+        c[1] += label == "block"
+        c[2] += label == "allow"
+    want = verdicts(list(counts), counts)
+    assert any("*" in t for t in counts)
+    for at_once in (50_000, 60):
+        monkeypatch.setattr(uf, "AT_ONCE", at_once)
+        got = {r["page_id"]: r for r in uf.filter_urls(df, rules=[], label="mine").collect()}
+        for i, u, _ in rows:
+            t = made[cut(u)]
+            assert got[i]["template"] == "/" + "/".join(t), u
+            assert abs(got[i]["purity"] - want[t]) < 1e-9, u
+    assert len({r["verdict"] for r in got.values()}) == 2
+
+
+def test_repeats_change_no_template(spark):
+    urls = [f"http://h.xyz/user/{a}{b}/{c}" for a in "abcdef" for b in "ghijkl" for c in ("x", "y", "z")]
+    once = {r["url"]: r["template"] for r in uf.filter_urls(pages(spark, urls)).collect()}
+    often = {r["url"]: r["template"] for r in uf.filter_urls(pages(spark, urls * 7)).collect()}
+    assert once == often and set(once.values()) == {f"/user/*/{c}" for c in "xyz"}
