@@ -14,22 +14,19 @@ from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, mixing, near_dedup, secrets
 from quarry.llm import toxicity as toxic
-from quarry.llm.common import fold
+from quarry.llm.common import Box, fold, picked
 from quarry.session import materialize, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _boxed(docs: DataFrame) -> DataFrame:
-    """Id, text and the whole row, so that no column of the input can clash with those of a stage."""
-    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score 0.5 or more; the model learns from the labels outside of the held-out fold."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    model = toxic.train(docs.select("doc_id", "text"), labels, fold(F.col("doc_id"), 5) != 0)
-    return toxic.score(_boxed(docs), model, keep=["_row"]).filter("score < 0.5").select("_row.*")
+    model = toxic.train(picked(docs, doc_id="doc_id", text="text"), labels, fold(F.col("doc_id"), 5) != 0)
+    box = Box(docs)
+    scored = toxic.score(box.rows(text=box["text"]), model, keep=["row"])
+    return box.open(scored.filter("score < 0.5"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,17 +36,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a question of the benchmark, verbatim or with other numbers and names."""
-    marked = decontaminate.mark(_boxed(docs), table(spark, sf_dir, "benchmark"), keep=["_row"])
-    return marked.filter("not contaminated").select("_row.*")
+    box = Box(docs)
+    marked = decontaminate.mark(box.rows(doc_id=box["doc_id"], text=box["text"]), table(spark, sf_dir, "benchmark"), keep=["row"])
+    return box.open(marked.filter("not contaminated"))
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets and the parts linked to them; ``n_chars`` follows the text where the input has it."""
-    found = secrets.find_secrets(_boxed(docs), keep=["text", "_row"])
-    text = F.col("text")
+    box = Box(docs)
+    found = secrets.find_secrets(box.rows(doc_id=box["doc_id"], text=box["text"].cast("string")), keep=["row", "text"])
     clean = secrets.redact(found)
-    made = {"text": text} | ({"n_chars": F.when(F.size("all_spans") > 0, F.length("text")).otherwise(F.col("_row.n_chars")).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
-    return clean.select(*[made[c].alias(c) if c in made else F.col("_row")[c].alias(c) for c in docs.columns])
+    own = [F.col("row")[f"c{i}"] for i in range(len(docs.columns))]
+    new = {"text": F.col("text"), "n_chars": F.when(F.size("cuts") > 0, F.length("text"))}
+    return clean.select(*[F.coalesce(new[n].cast(kind), own[i]).alias(n) if n in new else own[i].alias(n) for i, (n, kind) in enumerate(docs.dtypes)])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
