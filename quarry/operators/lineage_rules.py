@@ -125,9 +125,9 @@ def schema_yml_exists(c: Catalog, p: Settings) -> DataFrame:
 
 @rule("security.pii_columns_tagged", "Models with personal data are tagged", "warning")
 def pii_columns_tagged(c: Catalog, p: Settings) -> DataFrame:
-    words = F.array(*map(F.lit, PERSONAL))
-    own = F.lower("name")
-    personal = F.exists(words, lambda w: (own == w) | F.endswith(own, F.concat(F.lit("_"), w)) | F.startswith(own, F.concat(w, F.lit("_"))))
+    # One pass a name: a word at either end, set off by an underscore.
+    either = "|".join(PERSONAL)
+    personal = F.lower("name").rlike(rf"^(?:{either})(?:_|\z)|_(?:{either})\z")
     seen = c.columns.filter(personal).groupBy(*KEY).agg(in_order("pos", "name").alias("_personal"))
     tagged = F.arrays_overlap(F.transform(F.coalesce("tags", F.array().cast("array<string>")), F.lower), F.array(*map(F.lit, TAGS)))
     rows = c.kept_models().filter(~tagged).join(seen, KEY)

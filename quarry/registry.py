@@ -12,7 +12,20 @@ from pyspark.sql import functions as F
 from .catalog import FINDINGS, Catalog
 from .config import Config
 
-Settings = Callable[[str, Any], Any]
+
+
+class Settings:
+    """Parameters of a rule by name, with a default; ``of`` gives those of another rule."""
+
+    def __init__(self, config: Config, rule_id: str) -> None:
+        self.config, self.rule_id = config, rule_id
+
+    def __call__(self, name: str, default: Any) -> Any:
+        return self.config.param(self.rule_id, name, default)
+
+    def of(self, rule_id: str) -> Settings:
+        return Settings(self.config, rule_id)
+
 
 
 @dataclass(frozen=True)
@@ -25,7 +38,7 @@ class Rule:
 
     def evaluate(self, catalog: Catalog, config: Config) -> DataFrame:
         """Findings of this rule, with the severity that the configuration gives it."""
-        rows = self.build(catalog, lambda name, default: config.param(self.rule_id, name, default))
+        rows = self.build(catalog, Settings(config, self.rule_id))
         made = {"rule_id": F.lit(self.rule_id), "severity": F.lit(config.severity(self.rule_id))}
         if "line_number" not in rows.columns:
             made["line_number"] = F.lit(None).cast("int")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from ..operators.ranks import numbered
 from ..registry import RULES
 
 BATCH, LONGEST = 50, 65_000
@@ -42,10 +42,9 @@ def write_json(findings: DataFrame, path: str) -> None:
 
 def annotations(findings: DataFrame) -> DataFrame:
     """Annotations of a check run in batches of BATCH a project: path, line (1 by default), level, message, batch."""
-    rank = F.row_number().over(W.partitionBy("project_id").orderBy("severity", "rule_id", "file_path", "model_name", "message"))
     grade = F.when(F.col("severity") == "error", "failure").when(F.col("severity") == "warning", "warning").otherwise("notice")
-    rows = findings.filter(F.coalesce("file_path", F.lit("")) != "")
-    return rows.select("project_id", F.col("file_path").alias("path"), F.coalesce("line_number", F.lit(1)).alias("line"), grade.alias("annotation_level"), F.left("message", F.lit(LONGEST)).alias("message"), F.col("rule_id").alias("title"), F.floor((rank - 1) / BATCH).alias("batch"))
+    rows = numbered(findings.filter(F.coalesce("file_path", F.lit("")) != ""), ["severity", "rule_id", "file_path", "model_name", "message"], "_rank")
+    return rows.select("project_id", F.col("file_path").alias("path"), F.coalesce("line_number", F.lit(1)).alias("line"), grade.alias("annotation_level"), F.left("message", F.lit(LONGEST)).alias("message"), F.col("rule_id").alias("title"), F.floor((F.col("_rank") - 1) / BATCH).alias("batch"))
 
 
 def conclusion(findings: DataFrame) -> str:
@@ -79,12 +78,14 @@ def band(score: float) -> str:
     return "excellent" if score >= 90 else "good" if score >= 75 else "fair" if score >= 60 else "poor"
 
 
-def text(findings: DataFrame, overall: float, most: int = 200) -> str:
-    """Findings for a terminal, by severity as a word, then rule."""
-    rows = findings.orderBy("severity", "rule_id", "model_name").limit(most).collect()
+def text(findings: DataFrame, overall: float, most: int | None = None) -> str:
+    """Findings for a terminal, by severity as a word, then rule: all, or the first ``most`` and how many more there are."""
+    ordered = findings.orderBy("severity", "rule_id", "model_name", "message")
+    rows = (ordered if most is None else ordered.limit(most)).collect()
+    more = 0 if most is None or len(rows) < most else findings.count() - len(rows)
     lines = [f"Score {overall:.1f} ({band(overall)})"]
     lines += [f"{r['severity']:8} {r['rule_id']:45} {r['model_name']}: {r['message']}" for r in rows]
-    return "\n".join(lines)
+    return "\n".join(lines + ([f"... and {more} more"] if more else []))
 
 
 def review_markdown(rules: list[str], custom: list[dict] | None = None, longest: int | None = None) -> str:
