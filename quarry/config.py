@@ -35,6 +35,9 @@ class Config:
     compat_mode: bool = False
     ai: dict[str, Any] = field(default_factory=dict)
     custom_rules: list[dict[str, Any]] = field(default_factory=list)
+    #: Name and description, for generated files; address of the metadata service.
+    project: dict[str, Any] = field(default_factory=dict)
+    service: dict[str, Any] = field(default_factory=dict)
 
     def enabled(self, rule_id: str) -> bool:
         if self.compat_mode and rule_id.startswith("governance."):
@@ -57,9 +60,10 @@ def from_dict(raw: dict[str, Any], known: set[str] | None = None) -> Config:
         severity_default=top.get("severity_default", "warning"), fail_on=top.get("fail_on", "error"),
         exclude_paths=top.get("exclude_paths", ["dbt_packages/", "target/"]), compat_mode=bool(raw.get("compat_mode", False)),
         ai=raw.get("ai_review", raw.get("ai", {})) or {}, custom_rules=raw.get("custom_rules", []) or [],
+        project=raw.get("project", {}) or {}, service=next((raw[k] for k in raw if k == "service" or k.endswith("_cloud")), {}) or {},
     )
     for category, body in raw.items():
-        if not isinstance(body, dict) or category in ("global", "ai", "ai_review", "dbt_cloud", "project"):
+        if not isinstance(body, dict) or category in ("global", "ai", "ai_review", "service", "project") or category.endswith("_cloud"):
             continue
         on = body.get("enabled", True)
         for name, settings in (body.get("rules") or {}).items():

@@ -60,8 +60,12 @@ def read_answer(answer: Column) -> Column:
     return F.coalesce(F.from_json(bare, F.lit(ANSWER)), F.array().cast(ANSWER))
 
 
-def review(c: Catalog, provider: Provider = silent) -> DataFrame:
-    rows = answers(prompts(c), provider).select("*", F.explode(F.when(F.col("failed").isNull(), read_answer(F.col("answer"))).otherwise(F.array(F.struct(F.lit("ai.review_error").alias("rule_id"), F.lit("info").alias("severity"), F.col("failed").alias("message"), F.lit(None).cast("string").alias("suggestion"), F.lit(None).cast("int").alias("line_number"))))).alias("x"))
+def review(c: Catalog, provider: Provider = silent, changed_only: bool = False) -> DataFrame:
+    """Findings of a reviewer; ``changed_only`` asks for the models at changed paths alone."""
+    asked = prompts(c)
+    if changed_only and c.changed is not None:
+        asked = asked.join(c.changed.select("project_id", F.col("path").alias("file_path")).distinct(), ["project_id", "file_path"], "left_semi")
+    rows = answers(asked, provider).select("*", F.explode(F.when(F.col("failed").isNull(), read_answer(F.col("answer"))).otherwise(F.array(F.struct(F.lit("ai.review_error").alias("rule_id"), F.lit("info").alias("severity"), F.col("failed").alias("message"), F.lit(None).cast("string").alias("suggestion"), F.lit(None).cast("int").alias("line_number"))))).alias("x"))
     severity = F.when(F.lower("x.severity").isin("error", "warning", "info"), F.lower("x.severity")).otherwise("warning")
     made = {"rule_id": F.coalesce("x.rule_id", F.lit("ai.general")), "severity": severity, "model_name": F.col("name"), "message": F.col("x.message"), "suggestion": F.col("x.suggestion"), "line_number": F.col("x.line_number")}
     return rows.withColumns(made).select(*FINDINGS)

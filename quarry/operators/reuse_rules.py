@@ -16,10 +16,17 @@ from .sqlprofile import parsed
 PAIR_RULE = "reuse.model_similarity_candidates"
 
 
+def bounds(p: Settings) -> tuple[float, int]:
+    """Least score and most matches of a model: as set, else those of the ``preset``, which is balanced by default."""
+    score, most = similarity.PRESETS[p("preset", "balanced")]
+    return float(p("min_score", score)), int(p("max_matches_per_model", most))
+
+
 @rule(PAIR_RULE, "Models of a layer are not nearly the same", "warning")
 def model_similarity_candidates(c: Catalog, p: Settings) -> DataFrame:
-    pairs = similarity.similar_pairs(parsed(c).profiles, float(p("min_score", 0.72)))
-    rows = pairs.join(similarity.greedy(pairs, int(p("max_matches_per_model", 3))), ["project_id", "left_id", "right_id"], "left_semi")
+    score, most = bounds(p)
+    pairs = similarity.similar_pairs(parsed(c).profiles, score)
+    rows = pairs.join(similarity.greedy(pairs, most), ["project_id", "left_id", "right_id"], "left_semi")
     changed = None if c.changed is None else c.changed.select("project_id", F.col("path").alias("right_path")).distinct().withColumn("_right", F.lit(True))
     if changed is not None:
         left = c.changed.select("project_id", F.col("path").alias("left_path")).distinct().withColumn("_left", F.lit(True))
@@ -37,7 +44,7 @@ def model_similarity_candidates(c: Catalog, p: Settings) -> DataFrame:
 @rule("reuse.model_similarity_clusters", "Groups of similar models share a model", "warning")
 def model_similarity_clusters(c: Catalog, p: Settings) -> DataFrame:
     own = parsed(c).profiles
-    groups = similarity.clusters(own, similarity.similar_pairs(own, float(p.of(PAIR_RULE)("min_score", 0.72))), int(p("min_cluster_size", 3)))
+    groups = similarity.clusters(own, similarity.similar_pairs(own, bounds(p.of(PAIR_RULE))[0]), int(p("min_cluster_size", 3)))
     message = say("{} models form a reuse cluster: {} (average {}); shared inputs: {}; shared columns: {}", "size", "members", F.format_number("average_score", 2), "shared_inputs", "shared_columns")
     file = similarity.suggested_name("int_", F.filter(F.split("shared_inputs", ", "), lambda x: x != ""), F.array_join(F.slice(F.split("members", ", "), 1, 2), "_"))
     return found(groups, message, say("Move the shared logic to a model such as {}", file), name="anchor", path="anchor_path")

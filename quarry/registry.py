@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import FINDINGS, Catalog
-from .config import Config
+from .config import SEVERITIES, Config
 
 
 
@@ -58,6 +58,13 @@ def rule(rule_id: str, description: str, severity: str = "warning") -> Callable:
     return keep
 
 
+def rule_counts(config: Config) -> dict[str, dict[str, int]]:
+    """Enabled rules by category and by severity."""
+    on = [r for r in RULES.values() if config.enabled(r.rule_id)]
+    severities = [config.severity(r.rule_id) for r in on]
+    return {"categories": {c: sum(r.category == c for r in on) for c in dict.fromkeys(r.category for r in RULES.values())}, "severities": {s: severities.count(s) for s in SEVERITIES}}
+
+
 def found(rows: DataFrame, message: Column, suggestion: str | Column = "", name: str = "name", path: str | Column = "file_path", line: str | None = None) -> DataFrame:
     """Findings of ``rows``, before severity."""
     made = [F.col("project_id"), F.col(name).alias("model_name"), (F.col(path) if isinstance(path, str) else path).alias("file_path"), message.alias("message"), (F.lit(suggestion) if isinstance(suggestion, str) else suggestion).alias("suggestion")]

@@ -5,7 +5,9 @@ Any number of projects at once: paths are globs, and ``project_id`` is the proje
 
 from __future__ import annotations
 
+import os
 import subprocess
+from collections.abc import Mapping
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,9 +62,17 @@ def read_manifests(spark: SparkSession, path: str) -> Catalog:
     return parse_manifests(raw)
 
 
-def read_files(spark: SparkSession, root: str, project_id: str, pattern: str = "*.sql") -> DataFrame:
-    """Files of a project under models/ with paths relative to ``root``."""
-    files = spark.read.text(f"{root.rstrip('/')}/models", wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
+def read_files(spark: SparkSession, root: str, project_id: str, endings: tuple[str, ...] = (".sql",)) -> DataFrame:
+    """Files of a project under models/ with paths relative to ``root``.
+
+    A checkout is on the driver's disk, which executors don't see, and Spark's readers pass over names like _models.yml, so it is read there, a few
+    MB at most. Any other root is read by Spark.
+    """
+    schema = "project_id string, path string, content string"
+    if Path(root).is_dir():
+        files = sorted(f for f in (Path(root) / "models").rglob("*") if f.suffix in endings and f.is_file())
+        return spark.createDataFrame([(project_id, f.relative_to(root).as_posix(), f.read_text(encoding="utf-8", errors="replace")) for f in files], schema)
+    files = spark.read.text(f"{root.rstrip('/')}/models", wholetext=True, recursiveFileLookup=True, pathGlobFilter="*{" + ",".join(endings) + "}")
     path = F.concat(F.lit("models/"), F.regexp_extract(F.col("_metadata.file_path"), r"/models/(.*)$", 1))
     return files.select(F.lit(project_id).alias("project_id"), path.alias("path"), F.col("value").alias("content"))
 
@@ -81,14 +91,32 @@ def read_project(spark: SparkSession, root: str, manifest: str) -> Catalog:
     project = name[0] if name else ""
     if (Path(root) / "models").is_dir():
         out.sql_files = read_files(spark, root, project)
-        out.yaml_files = read_files(spark, root, project, "*.{yml,yaml}").filter(F.trim("content") != "").select("project_id", "path")
+        out.yaml_files = read_files(spark, root, project, (".yml", ".yaml")).filter(F.col("content").rlike(r"(?m)^(?!\s*(?:#|---\s*$))\s*\S")).select("project_id", "path", "content")
         out.models = overlay(out.models, out.sql_files)
     return out
 
 
+#: Variables in which a build says what a change is to be merged into; the first is this engine's own.
+BASE_VARIABLES = ["QUARRY_BASE_REF", "GITHUB_BASE_REF", "CI_MERGE_REQUEST_TARGET_BRANCH_NAME"]
+
+
+def base_refs(environ: Mapping[str, str] = os.environ) -> list[str]:
+    """Revisions to compare with, likeliest first: branches named by the build, of the remote unless they say otherwise, and the main branches."""
+    named = [environ[v] for v in BASE_VARIABLES if environ.get(v)]
+    return [*(b if "/" in b else f"origin/{b}" for b in named), "origin/main", "origin/master"]
+
+
+def project_settings(root: str) -> dict:
+    """The project's own YAML file, or {} without one. No rule reads it."""
+    import yaml
+
+    found = sorted(Path(root).glob("*_project.yml"))
+    return (yaml.safe_load(found[0].read_text(encoding="utf-8")) or {}) if found else {}
+
+
 def changed_files(spark: SparkSession, root: str, project_id: str, base: str | None = None) -> DataFrame:
-    """Paths that differ from a base revision: the given one, else the main branch of the remote, else the last commit."""
-    for ref in [base] if base else ["origin/main", "origin/master", "HEAD~1"]:
+    """Paths that differ from a base revision: the given one, else those of base_refs, else the last commit."""
+    for ref in [base] if base else [*base_refs(), "HEAD~1"]:
         done = subprocess.run(["git", "-C", root, "diff", "--name-only", "--diff-filter=ACMR", f"{ref}...HEAD"], capture_output=True, text=True)
         if done.returncode == 0:
             break

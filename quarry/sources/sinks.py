@@ -40,6 +40,12 @@ def write_json(findings: DataFrame, path: str) -> None:
     findings.write.mode("overwrite").json(path)
 
 
+def json_text(findings: DataFrame) -> str:
+    """Findings as one JSON list, in order. A report for people: its size is that of the findings."""
+    rows = findings.orderBy("severity", "rule_id", "model_name", "message").select(F.to_json(F.struct(*findings.columns)).alias("row")).toLocalIterator()
+    return "[" + ",\n".join(r["row"] for r in rows) + "]\n"
+
+
 def annotations(findings: DataFrame) -> DataFrame:
     """Annotations of a check run in batches of BATCH a project: path, line (1 by default), level, message, batch."""
     grade = F.when(F.col("severity") == "error", "failure").when(F.col("severity") == "warning", "warning").otherwise("notice")
@@ -74,6 +80,37 @@ def send(findings: DataFrame, post: Callable[[str, int, list], None]) -> None:
         post(*at, batch)
 
 
+def summary(findings: DataFrame, shown: int = 20) -> str:
+    """How many findings there are of each severity, and the first ones."""
+    counts = {r["severity"]: r["count"] for r in findings.groupBy("severity").count().collect()}
+    rows = findings.orderBy("severity", "rule_id", "model_name", "message").limit(shown).collect()
+    more = sum(counts.values()) - len(rows)
+    lines = [", ".join(f"{counts.get(s, 0)} {s}" for s in ("error", "warning", "info")), "", *[f"- `{r['rule_id']}` {r['model_name']}: {r['message']}" for r in rows]]
+    return "\n".join(lines + ([f"... and {more} more"] if more > 0 else []))
+
+
+def check_run(findings: DataFrame, name: str, revision: str, call: Callable[[str, str, dict], dict]) -> str | None:
+    """Publishes a check run through ``call`` (method, path, body) and returns its address.
+
+    The first batch of annotations goes with POST, each further one with PATCH to the run that the answer names.
+    """
+    output = {"title": name, "summary": summary(findings)}
+    body = {"name": name, "head_sha": revision, "status": "completed", "conclusion": conclusion(findings), "output": {**output, "annotations": []}}
+    made: dict = {}
+
+    def post(project: str, batch: int, rows: list) -> None:
+        marks = [{"path": r["path"], "start_line": r["line"], "end_line": r["line"], "annotation_level": r["annotation_level"], "message": r["message"], "title": r["title"]} for r in rows]
+        if made:
+            call("PATCH", f"check-runs/{made['id']}", {"output": {**output, "annotations": marks}})
+        else:
+            made.update(call("POST", "check-runs", {**body, "output": {**output, "annotations": marks}}))
+
+    send(findings, post)
+    if not made:
+        made.update(call("POST", "check-runs", body))
+    return made.get("html_url")
+
+
 def band(score: float) -> str:
     return "excellent" if score >= 90 else "good" if score >= 75 else "fair" if score >= 60 else "poor"
 
