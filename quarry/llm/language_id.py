@@ -70,14 +70,14 @@ def automaton(codes: np.ndarray) -> list[dict[int, int]]:
     return moves
 
 
-def laid(rows: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Moves of all states in one table: ``base`` of each state, and the ``owner`` and ``target`` of each place.
+def laid(rows: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Moves of all states in one table: ``base`` of each state, and of each place the state that owns it and the target, in one number.
 
     The move of state s for code c is at base[s] + c if s owns that place. States with most moves are placed first, where all
     their codes fall on free places, after a few tries behind all others; the many states of one move then fill the gaps.
     """
     size = 2 * sum(map(len, rows)) + 2 * width
-    owner, target, base = np.full(size, -1, np.int32), np.zeros(size, np.int32), np.zeros(len(rows), np.int32)
+    owner, target, base = np.full(size, -1, np.int64), np.zeros(size, np.int64), np.zeros(len(rows), np.int64)
     near, free, top = width, width, width  # where to try, the first place that may be free, the end of what is taken
     for state in sorted(range(len(rows)), key=lambda s: -len(rows[s])):
         codes = np.fromiter(rows[state], np.int64, len(rows[state]))
@@ -100,8 +100,8 @@ def laid(rows: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray
         owner[at + codes], target[at + codes] = state, list(rows[state].values())
         top = max(top, at + int(codes.max()) + 1)
         if top + 2 * width + TRIES > len(owner):
-            owner, target = np.concatenate([owner, np.full(size, -1, np.int32)]), np.concatenate([target, np.zeros(size, np.int32)])
-    return base, owner, target
+            owner, target = np.concatenate([owner, np.full(size, -1, np.int64)]), np.concatenate([target, np.zeros(size, np.int64)])
+    return base, owner << 32 | target
 
 
 class CrossParser:
@@ -121,14 +121,16 @@ class CrossParser:
             roots.append(len(rows))
             rows += [{c: to + roots[-1] for c, to in own.items()} for own in moves]
             self.bits.append(np.log2(max(len(codes), 2)))
-        self.roots = np.array(roots, np.int32)
-        self.base, self.owner, self.target = laid(rows, self.width)
+        self.roots = np.array(roots, np.int64)
         #: Of each language and code: where a phrase that begins with the code leads, or the root if the sample lacks it.
         self.begins = np.repeat(self.roots[:, None], self.width, axis=1)
         for i, root in enumerate(roots):
             for c, to in rows[root].items():
                 self.begins[i, c] = to
+            rows[root] = {}  # at a root every code begins a phrase, as where a move is lacking
+        self.base, self.moves = laid(rows, self.width)
         self.lookup = None
+        self.lists: tuple | None = None
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all texts, one after the other, and the text that each code is of."""
@@ -149,27 +151,21 @@ class CrossParser:
         own = codes != BREAK
         return codes[own], of[own]
 
-    def step(self, lang: np.ndarray, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether a phrase begins with the ``code``, and the state after it."""
-        at = self.base.take(state) + code
-        goes = self.owner.take(at) == state
-        return ~goes | (state == self.roots.take(lang)), np.where(goes, self.target.take(at), self.begins[lang, code])
+    def step(self, state: np.ndarray, code: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the phrase goes on with the ``code``, and the state after it; ``begin`` is the state if a phrase begins with it."""
+        found = self.moves.take(self.base.take(state) + code)
+        on = found >> 32 == state
+        return on, np.where(on, found & 0xFFFFFFFF, begin)
 
-    def walk(self, codes: np.ndarray, lang: np.ndarray, begin: np.ndarray, length: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases of the ranges of ``codes``, each parsed from its beginning, and their last states; marks beginnings in ``starts`` (languages by codes)."""
-        order = np.argsort(-length, kind="stable")
-        lang, begin, length = lang[order], begin[order], length[order]
-        state, n = self.roots.take(lang), np.zeros(len(order), np.int64)
+    def side_by_side(self, codes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The ranges of ``codes``, longest first, parsed each from its beginning: for each place the ranges that reach it, where phrases go on and the states (language, range)."""
+        state = np.repeat(self.roots[:, None], len(begin), axis=1)
         shorter = -length
         for t in range(int(length[0]) if len(length) else 0):
             live = int(np.searchsorted(shorter, -t, side="left"))
-            new, state[:live] = self.step(lang[:live], state[:live], codes[begin[:live] + t])
-            n[:live] += new
-            if starts is not None:
-                starts[lang[:live], begin[:live] + t] = new
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        return n[back], state[back]
+            code = codes[begin[:live] + t]
+            on, state[:, :live] = self.step(state[:, :live], code, self.begins.take(code, axis=1))
+            yield live, on, state
 
     def phrases(self, codes: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
         """Phrases of each of ``n`` texts for each language: an array of languages by texts."""
@@ -180,28 +176,50 @@ class CrossParser:
         text = np.repeat(np.arange(n), pieces)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         begin, length = first[text] + nth * PIECE, np.minimum(PIECE, sizes[text] - nth * PIECE)
-        lang = np.repeat(np.arange(langs), len(text))
-        starts = np.zeros((langs, len(codes)), bool)
-        each, last = self.walk(codes, lang, np.tile(begin, langs), np.tile(length, langs), starts)
+        order = np.argsort(-length, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        on = np.ones((min(PIECE, int(sizes.max(initial=0))), langs, len(begin)), bool)  # beyond its end a range goes on
+        last = np.zeros((langs, len(begin)), np.int64)
+        for t, (live, goes, last) in enumerate(self.side_by_side(codes, begin[order], length[order])):
+            on[t, :, :live] = goes
+        each = len(on) - on.sum(axis=0)[:, place]
         # The phrase that the end of a piece cuts goes on: what begins up to the place where both ways meet is counted anew.
-        own = np.flatnonzero(np.tile(nth > 0, langs))
-        at, end, state = np.tile(begin, langs)[own], np.tile(begin + length, langs)[own], last[own - 1]
+        own = np.flatnonzero(nth > 0)
+        lang, own = np.repeat(np.arange(langs), len(own)), np.tile(own, langs)
+        state, at = last[lang, place[own - 1]], np.zeros(len(own), np.int64)
         torn = np.zeros((langs, n), bool)
         while len(own):
-            new, state = self.step(lang[own], state, codes[at])
-            before = starts[lang[own], at]
-            each[own] += new.astype(np.int64) - before
+            code = codes[begin[own] + at]
+            goes, state = self.step(state, code, self.begins[lang, code])
+            went = on[at, lang, place[own]]
+            each[lang, own] += went.astype(np.int64) - goes
             at += 1
-            met = new & before
-            torn[lang[own[(at == end) & ~met]], np.tile(text, langs)[own[(at == end) & ~met]]] = True
-            go = ~met & (at < end)
-            own, at, end, state = own[go], at[go], end[go], state[go]
+            met, end = ~goes & ~went, at == length[own]
+            torn[lang[end & ~met], text[own[end & ~met]]] = True
+            rest = ~met & ~end
+            lang, own, state, at = lang[rest], own[rest], state[rest], at[rest]
         out = np.zeros((langs, n), np.int64)
-        np.add.at(out, (lang, np.tile(text, langs)), each)
-        which, whole = np.nonzero(torn)
-        out[which, whole] = self.walk(codes, which, first[whole], sizes[whole])[0]
+        np.add.at(out, (slice(None), text), each)
+        for i, j in zip(*np.nonzero(torn), strict=True):
+            out[i, j] = self.one_by_one(codes[first[j] : first[j] + sizes[j]], i)
         return out
 
+    def one_by_one(self, codes: np.ndarray, lang: int) -> int:
+        """Phrases of a text whose pieces never meet, as where it repeats itself: plain steps, which take no longer for one text than many do side by side."""
+        if self.lists is None:
+            self.lists = self.base.tolist(), self.moves.tolist(), self.begins.tolist()
+        base, moves, begins = self.lists[0], self.lists[1], self.lists[2][lang]
+        state, n = int(self.roots[lang]), 0
+        for code in codes.tolist():
+            found = moves[base[state] + code]
+            if found >> 32 == state:
+                state = found & 0xFFFFFFFF
+            else:
+                state = begins[code]
+                n += 1
+        return n
+
     def classify(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         n = len(texts)
         codes, of = self.encode([x or "" for x in texts])
