@@ -6,12 +6,14 @@ project file, which lists in messages follow.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import materialize
+
 #: Columns of each table.
 MODELS = (
     "project_id string, model_id string, idx bigint, name string, file_path string, materialization string, description string, "
@@ -60,11 +62,11 @@ class Catalog:
             own = F.coalesce(own, F.nullif(F.col("content"), F.lit("")))
         return rows.withColumn("sql", own).filter("sql is not null")
 
-    def cached(self) -> Catalog:
-        """The same catalog with the tables that most rules read kept in memory."""
-        for name in ("models", "edges", "tests", "columns", "sources"):
-            setattr(self, name, getattr(self, name).cache())
-        return self
+    def written(self, excluded: list[str] | None = None) -> Catalog:
+        """A catalog of its own whose tables are written to the shared folder, so rules read them instead of making them again."""
+        names = ("models", "edges", "tests", "columns", "sources", "exposures", "yaml_files", "sql_files", "changed")
+        made = {n: materialize(getattr(self, n), n) for n in names if getattr(self, n) is not None}
+        return replace(self, **made, excluded=self.excluded if excluded is None else excluded)
 
 
 def is_excluded(path: Column, prefixes: list[str]) -> Column:

@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 from ..config import WEIGHTS, Config
 from ..operators import graph, lineage_rules, models, score, similarity, text_rules  # noqa: F401  (they register rules)
 from ..registry import RULES
+from ..session import materialize
 from ..sources import testdata
 from . import demo, reports
 from .scan import findings
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Settings under which rules find something in the star-schema catalog.
-SETTINGS = Config(rules={"governance.required_meta_fields": {"fields": ["owner", "team"]}, "structure.max_dag_depth": {"max_depth": 2}})
+#: Severities of categories that differ from the default.
+GRADES = {"structure": "error", "security": "error", "documentation": "info"}
+SETTINGS = Config(rules={r: {"severity": GRADES[r.split(".")[0]]} for r in RULES if r.split(".")[0] in GRADES})
+SETTINGS.rules["governance.required_meta_fields"] = {"fields": ["owner", "team"]}
+SETTINGS.rules["structure.max_dag_depth"] |= {"max_depth": 2}
 LINES = {"style.no_hardcoded_schema", "style.refs_in_ctes_not_inline", "migration.ddl_statements", "migration.hardcoded_environment_schema", "migration.missing_source_definition"}
 
 
@@ -90,8 +95,8 @@ CHECKS: dict[str, str] = {
     "structure.no_cross_layer_skipping": "SELECT m.name AS model_name, m.file_path, 'Marts model ''' || m.name || ''' reads staging model ''' || s.name || '''' AS message FROM models m JOIN edges e ON e.child_id = m.model_id JOIN all_models s ON s.model_id = e.parent_id WHERE m.layer = 'marts' AND s.layer = 'staging'",
     "structure.no_orphan_models": _q("'Model ''' || name || ''' is read by no model and no exposure'", "NOT EXISTS (SELECT 1 FROM edges e WHERE e.parent_id = m.model_id) AND NOT EXISTS (SELECT 1 FROM exposures x WHERE x.parent_id = m.model_id)", "models m"),
     "structure.max_fanout": _q("'Model ''' || name || ''' has ' || n || ' direct readers, more than 10'", "n > 10", "models m JOIN (SELECT parent_id, count(DISTINCT child_id) AS n FROM edges GROUP BY parent_id) f ON f.parent_id = m.model_id"),
-    "structure.max_dag_depth": f", {_DEPTH} " + _q("'Model ''' || name || ''' is ' || depth || ' deep, more than 2'", "depth > 2", "models m JOIN depths d ON d.node_id = m.model_id"),
-    "structure.no_rejoin_patterns": f", {_UP}, {_DIAMONDS} SELECT m.name AS model_name, m.file_path, 'Model ''' || m.name || ''' joins ''' || coalesce(l.name, left_id) || ''' and ''' || coalesce(r.name, right_id) || ''', which share an ancestor' AS message FROM dia JOIN models m ON m.model_id = dia.node_id LEFT JOIN all_models l ON l.model_id = left_id LEFT JOIN all_models r ON r.model_id = right_id",
+    "structure.max_dag_depth": _q("'Model ''' || name || ''' is ' || depth || ' deep, more than 2'", "depth > 2", "models m JOIN depths d ON d.node_id = m.model_id"),
+    "structure.no_rejoin_patterns": "SELECT m.name AS model_name, m.file_path, 'Model ''' || m.name || ''' joins ''' || coalesce(l.name, left_id) || ''' and ''' || coalesce(r.name, right_id) || ''', which share an ancestor' AS message FROM dia JOIN models m ON m.model_id = dia.node_id LEFT JOIN all_models l ON l.model_id = left_id LEFT JOIN all_models r ON r.model_id = right_id",
     "testing.primary_key_test_required": _q("'Model ''' || name || ''' lacks key tests: ' || CASE WHEN u AND NOT n THEN 'not_null' WHEN n AND NOT u THEN 'unique' ELSE 'unique, not_null' END", "NOT (u AND n)", "(SELECT m.name, m.file_path, coalesce(bool_or(contains(lower(t.name), 'unique') OR t.test_type = 'unique'), false) AS u, coalesce(bool_or(contains(lower(t.name), 'not_null')), false) AS n FROM models m LEFT JOIN tests t ON t.model_id = m.model_id GROUP BY m.model_id, m.name, m.file_path) q"),
     "testing.minimum_test_coverage": _q("'Model ''' || name || ''' has ' || n || ' tests, fewer than 2'", "n < 2", "(SELECT m.name, m.file_path, count(t.test_id) AS n FROM models m LEFT JOIN tests t ON t.model_id = m.model_id GROUP BY m.model_id, m.name, m.file_path) q"),
     "testing.staging_freshness_required": _q(f"'Source ''' || {_LABEL} || ''' has no freshness'", "coalesce(loaded_at_field, '') = '' AND source_id IN (SELECT e.parent_id FROM edges e JOIN all_models m ON m.model_id = e.child_id WHERE m.layer = 'staging')", **_SRC),
@@ -104,6 +109,10 @@ CHECKS: dict[str, str] = {
 }
 
 
+#: Further common table expressions that the SQL of a rule reads.
+NEEDS = {"structure.max_dag_depth": f", {_DEPTH}", "structure.no_rejoin_patterns": f", {_UP}, {_DIAMONDS}"}
+
+
 def dag_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.ancestors(testdata.catalog(spark, sf_dir).edges).select("node_id", "ancestor_id")
 
@@ -156,13 +165,13 @@ def reuse_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.reuse_report(pairs, similarity.clusters(profiles, pairs)).select("kind", "n_models", "priority", F.round("score", 6).alias("score"))
 
 
-#: Rules that make up the roll-ups.
-ROLLED = ["naming.marts_prefix", "naming.intermediate_prefix", "structure.no_orphan_models", "structure.max_fanout", "testing.minimum_test_coverage", "documentation.model_description_required", "materialization.marts_not_view", "security.pii_columns_tagged"]
+#: Rules that make up the roll-ups: all but those on parsed SQL, which have queries of their own.
+ROLLED = list(CHECKS)
 
 
 def _rolled(spark: SparkSession, sf_dir: str):
-    c = testdata.catalog(spark, sf_dir)
-    return c, findings(c, SETTINGS, ROLLED)
+    c = testdata.catalog(spark, sf_dir).written()
+    return c, materialize(findings(c, SETTINGS, ROLLED), "findings")
 
 
 def findings_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +184,7 @@ def violations_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def category_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, rows = _rolled(spark, sf_dir)
-    return score.category_scores(rows, c.models).select("category", "models", "failing", "violations", "passing")
+    return score.category_scores(rows, c.models).select("category", "models", "failing", "violations", "passing", "score")
 
 
 def overall_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,12 +198,15 @@ def changed_file_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def whole_category_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``category_scores``, of every registered rule. Not a registered query, as the roll-ups' SQL has the rules of ROLLED."""
-    c = testdata.catalog(spark, sf_dir)
+    """As ``category_scores``, of every registered rule, those on parsed SQL too. Not a registered query, as SQL can't parse SQL."""
+    c = testdata.catalog(spark, sf_dir).written()
     return score.category_scores(findings(c, SETTINGS), c.models).select("category", "models", "failing", "violations", "passing")
 
 
-_ROLLED = "found AS (" + " UNION ALL ".join(f"SELECT '{r}' AS rule_id, model_name, file_path FROM ({CHECKS[r]}) q{i}" for i, r in enumerate(ROLLED)) + ")"
+_ROLLED = f"{_DEPTH}, {_UP}, {_DIAMONDS}, found AS (" + " UNION ALL ".join(f"SELECT '{r}' AS rule_id, '{SETTINGS.severity(r)}' AS severity, model_name, file_path FROM ({CHECKS[r]}) q{i}" for i, r in enumerate(ROLLED)) + ")"
+_CATS = """cats(category, weight) AS (VALUES {}), n AS (SELECT count(*) AS models FROM all_models),
+rolled AS (SELECT category, weight, models, coalesce(failing, 0) AS failing, coalesce(violations, 0) AS violations, greatest(0, models - coalesce(failing, 0)) AS passing FROM cats CROSS JOIN n LEFT JOIN (SELECT split_part(rule_id, '.', 1) AS category, count(DISTINCT model_name) AS failing, count(*) AS violations FROM found GROUP BY 1) f USING (category)),
+scored AS (SELECT *, round_even(CAST(100 * passing AS DOUBLE) / models, 1) AS score FROM rolled)""".format(", ".join(f"('{c}', CAST({w} AS DOUBLE))" for c, w in WEIGHTS.items()))
 _SIM = f""", prof AS ({testdata.PROFILE_SQL}), scored AS (SELECT a.model_id AS left_id, b.model_id AS right_id, len(list_intersect(a.inputs, b.inputs)) AS shared_inputs, len(list_intersect(a.selected, b.selected)) AS shared_columns,
  {{}} FROM prof a JOIN prof b ON a.layer = b.layer AND a.idx < b.idx), parts AS (SELECT *, i * 0.28e0 + s * 0.24e0 + j * 0.14e0 + f * 0.10e0 + g * 0.08e0 + 0.08e0 + 0.08e0 AS score FROM scored), pairs AS (SELECT * FROM parts WHERE score >= 0.72e0 AND NOT (i < 0.34e0 AND s < 0.50e0))"""
 
@@ -218,8 +230,7 @@ QUERIES: dict[str, Query] = {f"rule_{r.split('.')[1]}": rule_query(r) for r in C
 
 def _sql() -> dict[str, str]:
     head = testdata.duckdb_ctes()
-    out = {f"rule_{r.split('.')[1]}": f"{head}\n{sql}" for r, sql in CHECKS.items()}
-    weights = ", ".join(f"('{c}')" for c in WEIGHTS)
+    out = {f"rule_{r.split('.')[1]}": f"{head}{NEEDS.get(r, '')}\n{sql}" for r, sql in CHECKS.items()}
     out |= {
         "dag_ancestors": f"{head}, {_UP} SELECT node_id, ancestor_id FROM up",
         "dag_descendants": f"{head}, {_UP} SELECT ancestor_id AS node_id, count(*) AS descendants FROM up GROUP BY 1",
@@ -230,10 +241,11 @@ def _sql() -> dict[str, str]:
         "sim_clusters": f"{head}{_PAIRS}{_COMPONENTS} SELECT model_id, cluster_id FROM placed",
         "rule_model_similarity_clusters": f"{head}{_PAIRS}{_COMPONENTS} SELECT p.cluster_id, count(*) AS size, any_value(l.n) AS links FROM placed p JOIN (SELECT cluster_id, count(*) AS n FROM pairs JOIN placed ON model_id = left_id GROUP BY 1) l USING (cluster_id) GROUP BY p.cluster_id HAVING count(*) >= 3",
         "rule_identical_select_columns": f"{head}, prof AS ({testdata.PROFILE_SQL}) SELECT model_id, n - 1 AS others FROM (SELECT model_id, count(*) OVER (PARTITION BY list_sort(inputs), list_sort(selected), layer) AS n FROM prof WHERE len(selected) >= 4) q WHERE n >= 2",
-        "findings_by_rule": f"{head}, {_ROLLED} SELECT rule_id, 'warning' AS severity, count(*) AS findings FROM found GROUP BY 1",
-        "violations_by_severity": f"{head}, {_ROLLED} SELECT 'warning' AS severity, count(*) AS findings FROM found",
-        "category_scores": f"{head}, {_ROLLED}, cats(category) AS (VALUES {weights}), n AS (SELECT count(*) AS models FROM all_models) SELECT category, models, coalesce(failing, 0) AS failing, coalesce(violations, 0) AS violations, greatest(0, models - coalesce(failing, 0)) AS passing FROM cats CROSS JOIN n LEFT JOIN (SELECT split_part(rule_id, '.', 1) AS category, count(DISTINCT model_name) AS failing, count(*) AS violations FROM found GROUP BY 1) f USING (category)",
-        "changed_file_findings": f"{head}, {_ROLLED} SELECT rule_id, count(*) AS findings FROM found WHERE file_path IN (SELECT file_path FROM all_models WHERE kind = 'o' AND idx % 10 = 3) GROUP BY 1",
+        "findings_by_rule": f"{head}, {_ROLLED} SELECT rule_id, severity, count(*) AS findings FROM found GROUP BY 1, 2",
+        "violations_by_severity": f"{head}, {_ROLLED} SELECT severity, count(*) AS findings FROM found GROUP BY 1",
+        "overall_score": f"{head}, {_ROLLED}, {_CATS} SELECT round_even(sum(score * weight) / sum(weight), 1) AS score FROM scored",
+        "category_scores": f"{head}, {_ROLLED}, {_CATS} SELECT category, models, failing, violations, passing, score FROM scored",
+        "changed_file_findings": f"{head}, {_ROLLED}, changed AS (SELECT DISTINCT file_path AS p FROM all_models WHERE kind = 'o' AND idx % 10 = 3), hit AS (SELECT p FROM changed UNION SELECT parse_dirpath(p) FROM changed) SELECT rule_id, count(*) AS findings FROM found WHERE file_path IN (SELECT p FROM hit) GROUP BY 1",
     }
     return out | demo.SQL | reports.SQL
 

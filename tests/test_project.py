@@ -48,7 +48,7 @@ EXPECTED = {
 @pytest.fixture(scope="module")
 def shop(spark):
     raw = spark.createDataFrame([(json.dumps(MANIFEST), "/x/manifest.json")], "value string, path string")
-    return manifest.parse_manifests(raw).cached()
+    return manifest.parse_manifests(raw).written()
 
 
 def test_rules(shop):
