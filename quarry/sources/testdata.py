@@ -146,3 +146,27 @@ SELECT 'model.c' || c_custkey AS model_id, c_custkey AS idx, CASE WHEN c_custkey
  ['a' || (c_custkey % 11), 'b' || (c_custkey % 7), 'n' || c_nationkey, 'id'] AS selected,
  CASE WHEN c_custkey % 2 = 0 THEN ['s' || c_mktsegment] ELSE CAST([] AS VARCHAR[]) END AS join_targets,
  ['f' || (c_custkey % 3)] AS filters, ['g' || (c_custkey % 2)] AS group_by FROM customer"""
+
+
+#: A model for each supplier, as the texts of a manifest: SQL that Spark and DuckDB read alike, over supplier s and nation n.
+SUPPLIED = """SELECT 'int_s' || s_suppkey AS name, 'models/intermediate/int_s' || s_suppkey || '.sql' AS file_path, CAST(s_suppkey AS BIGINT) AS k, CAST(n_regionkey AS BIGINT) AS region,
+ 'with base as (' || chr(10) || 'select s_id, s_name, s_balance, s_city, s_phone from {{{{ source(''geo'', ''r' || n_regionkey || ''') }}}} where s_balance > ' || (s_suppkey % 3) || chr(10) || '),' || chr(10) ||
+ 'tidy as (select s_id, s_name, s_balance as balance from base where s_phone is not null and s_city is not null)' || chr(10) || 'select s_id, s_name, balance, upper(s_name) as name_upper, balance * ' || (s_suppkey % 4) || ' as scaled from tidy' AS sql
+ FROM {supplier} s JOIN {nation} n ON s_nationkey = n_nationkey"""
+
+
+def manifest_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One manifest, as JSON text, with a model for each supplier and a source for each region."""
+    views = {}
+    for t in ("supplier", "nation", "region"):
+        views[t] = f"quarry_{t}_{crc32(sf_dir.encode())}"
+        table(spark, sf_dir, t).createOrReplaceTempView(views[t])
+    model = F.struct(
+        F.col("name"), F.lit("model").alias("resource_type"), F.col("file_path").alias("original_file_path"), F.col("sql").alias("raw_code"), F.concat(F.lit("model "), "k").alias("description"),
+        F.create_map(F.lit("s_id"), F.struct(F.lit("s_id").alias("name"), F.lit("key").alias("description"))).alias("columns"), F.create_map(F.lit("materialized"), F.when(F.col("k") % 5 == 0, "table").otherwise("view")).alias("config"),
+        F.struct(F.array(F.concat(F.lit("source.geo.r"), "region")).alias("nodes")).alias("depends_on"), F.array(F.lit("daily")).alias("tags"))
+    nodes = spark.sql(SUPPLIED.format(**views)).select(F.struct(F.concat(F.lit("model.geo."), "name").alias("key"), model.alias("value")).alias("e")).agg(F.map_from_entries(F.array_sort(F.collect_list("e"), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1))).alias("nodes"))
+    source = F.struct(F.concat(F.lit("r"), "r_regionkey").alias("name"), F.lit("geo").alias("source_name"), F.col("r_name").alias("description"), F.lit("raw").alias("schema"))
+    sources = spark.table(views["region"]).agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("source.geo.r"), "r_regionkey").alias("key"), source.alias("value")))).alias("sources"))
+    whole = F.struct(F.struct(F.lit("geo").alias("project_name")).alias("metadata"), "nodes", "sources")
+    return nodes.join(sources).select(F.to_json(whole).alias("value"), F.lit("/geo/target/manifest.json").alias("path"))  # one row and one row
