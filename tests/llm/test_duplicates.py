@@ -118,16 +118,52 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_lines_and_sentences(documents, odd):
-    passage = "This passage of many words stands here. It is the same in each of the texts that hold it. No more."
+def plain_units(text, least):
+    """Units by their definition: whole clauses; every line, and from each clause on the shortest run, of ``least`` words or more."""
+    clauses, at = [], 0
+    for line_no, line in enumerate(text.split("\n")):
+        start = at
+        for i, ch in enumerate(line + "\n"):
+            if ch in ".!?,;:\n":
+                piece = text[start : at + i]
+                if piece.split():
+                    a = start + len(piece) - len(piece.lstrip())
+                    clauses.append((line_no, a, a + len(piece.strip()), piece.lower().split()))
+                start = at + i + 1
+        at += len(line) + 1
+    runs = set()
+    for i in range(len(clauses)):
+        for j in range(i, len(clauses)):
+            if sum(len(c[3]) for c in clauses[i : j + 1]) >= least:
+                runs.add((i, j))
+                break
+        if i == 0 or clauses[i - 1][0] != clauses[i][0]:
+            j = max(k for k in range(len(clauses)) if clauses[k][0] == clauses[i][0])
+            if sum(len(c[3]) for c in clauses[i : j + 1]) >= least:
+                runs.add((i, j))
+    return sorted((clauses[i][1], clauses[j][2], " ".join(w for c in clauses[i : j + 1] for w in c[3])) for i, j in runs)
+
+
+def test_units_are_those_of_the_definition():
+    rng = random.Random(13)
+    for _ in range(200):
+        text = "".join(rng.choice(["a", "bb ", "cc ", " ", ". ", ", ", "\n", "é", "x y z "]) for _ in range(rng.randrange(0, 90)))
+        for least in (1, 4, 9):
+            assert sorted(set(line_dedup.units(text, least))) == sorted(set(plain_units(text, least))), (text, least)
+
+
+def test_passages_and_short_lines(documents, odd, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HEAVY", 3)
+    passage = "This passage of many words stands here, in several texts. It is the same in each of the texts that hold it. No more."
+    footer = "All of these words are at the foot of each and every page of this place and nowhere else at all"
     rows = [
-        (22, f"Intro one two three four.\n{passage}\nEnd of the second text here."), (21, f"First line of this text is.\n{passage}"), (23, f"Words before. {passage} Words after it."), (24, "tiny line\ntiny line"),
-        (25, "One  TWO three four five\nx\none two three four five"), *odd,
+        (22, f"Intro one two three four.\n{passage}\nEnd of the second text here."), (21, f"First line of this text is.\n{passage}"), (23, f"Words before. {passage} Words after it."), (24, "tiny line of words\ntiny line of words"),
+        (25, "One  TWO three four five\nx\none two three four five"), (26, passage.replace(" ", "  ").upper()), *[(30 + i, f"own text {i} of some words\n{footer}") for i in range(9)], *odd,
     ]
     found = line_dedup.deduplicate(documents(rows, clash=True), keep=["doc_id", "text"])
     first, occurrences = {}, []
     for doc, text in rows:
-        for a, b, unit in line_dedup.units(text):
+        for a, b, unit in plain_units(text or "", line_dedup.LEAST):
             key = (doc is None, doc or 0, a)
             occurrences.append((unit, doc, text, a, b, key))
             first[unit] = min(first.get(unit, key), key)
@@ -141,6 +177,25 @@ def test_lines_and_sentences(documents, odd):
                 merged.append([a, b])
         assert [[s["start"], s["end"]] for s in r["removed"]] == merged, r["doc_id"]
     left = {r["doc_id"]: r["left"] for r in found.select("doc_id", line_dedup.cut(found["text"], found["removed"]).alias("left")).collect()}
-    assert "This passage" in left[21] and "This passage" not in left[22] and "same in each" not in left[23] and left[24] == "tiny line\ntiny line" and left[21].startswith("First line")
+    assert "This passage" in left[21] and all("passage" not in left[i].lower() and "same in each" not in left[i].lower() for i in (22, 23, 26)) and left[21].startswith("First line")
+    assert left[24] == "tiny line of words\ntiny line of words" and footer in left[30] and left[38] == "own text 8 of some words\n"
     assert found.count() == len(rows)
     assert line_dedup.deduplicate(documents([])).count() == 0
+    short = line_dedup.deduplicate(documents(rows), keep=["doc_id"], least=3).filter("doc_id = 24").first()
+    assert [[s["start"], s["end"]] for s in short["removed"]] == [[19, 37]]
+
+
+def test_blocks_of_large_components(documents, monkeypatch):
+    """Blocks of one component don't meet each other, but do meet the rest: the classes are those of all pairs."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rng = random.Random(15)
+    words = [f"w{i}" for i in range(200)]
+    rows = []
+    for k in range(60):
+        own = list(words[:150])
+        for _ in range(k % 5):
+            own[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(own)))
+    rows += [(100 + k, " ".join(words[3 * k : 3 * k + 130])) for k in range(12)]
+    found = near_dedup.near_duplicates(documents(rows)).toPandas()
+    assert dict(zip(found.doc_id, found.class_id, strict=True)) == brute(rows)
