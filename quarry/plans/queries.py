@@ -241,6 +241,9 @@ def _sql() -> dict[str, str]:
         "sim_clusters": f"{head}{_PAIRS}{_COMPONENTS} SELECT model_id, cluster_id FROM placed",
         "rule_model_similarity_clusters": f"{head}{_PAIRS}{_COMPONENTS} SELECT p.cluster_id, count(*) AS size, any_value(l.n) AS links FROM placed p JOIN (SELECT cluster_id, count(*) AS n FROM pairs JOIN placed ON model_id = left_id GROUP BY 1) l USING (cluster_id) GROUP BY p.cluster_id HAVING count(*) >= 3",
         "rule_identical_select_columns": f"{head}, prof AS ({testdata.PROFILE_SQL}) SELECT model_id, n - 1 AS others FROM (SELECT model_id, count(*) OVER (PARTITION BY list_sort(inputs), list_sort(selected), layer) AS n FROM prof WHERE len(selected) >= 4) q WHERE n >= 2",
+        "reuse_report": f"""{head}{_PAIRS}{_COMPONENTS}, big AS (SELECT cluster_id, count(*) AS size FROM placed GROUP BY 1 HAVING count(*) >= 3), ends AS (SELECT score, cluster_id FROM pairs JOIN placed ON model_id = left_id), one AS (SELECT size, avg(score) AS score FROM ends JOIN big USING (cluster_id) GROUP BY cluster_id, size)
+SELECT 'cluster' AS kind, size AS n_models, CASE WHEN score >= 0.82e0 OR size >= 4 THEN 'high' ELSE 'medium' END AS priority, round(score, 6) AS score FROM one
+UNION ALL SELECT 'pair', 2, CASE WHEN score >= 0.88e0 THEN 'high' WHEN score >= 0.70e0 THEN 'medium' ELSE 'low' END, round(score, 6) FROM ends WHERE cluster_id NOT IN (SELECT cluster_id FROM big)""",
         "findings_by_rule": f"{head}, {_ROLLED} SELECT rule_id, severity, count(*) AS findings FROM found GROUP BY 1, 2",
         "violations_by_severity": f"{head}, {_ROLLED} SELECT severity, count(*) AS findings FROM found GROUP BY 1",
         "overall_score": f"{head}, {_ROLLED}, {_CATS} SELECT round_even(sum(score * weight) / sum(weight), 1) AS score FROM scored",

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranks import numbered
 from ..registry import RULES
+from ..session import materialize
 
 BATCH, LONGEST = 50, 65_000
 
@@ -26,14 +28,26 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     return findings.select("project_id", "rule_id", level(F.col("severity")).alias("level"), place.isNotNull().alias("located"), F.to_json(result).alias("result"))
 
 
+def sarif_parts(findings: DataFrame, tool: str = "quarry", version: str = "1") -> Iterator[str]:
+    """A SARIF 2.1.0 document of one run, piece by piece: results are made on the executors, and the driver holds a partition of them at a time."""
+    rows = materialize(sarif_results(findings), "results")
+    names = [r["rule_id"] for r in rows.select("rule_id").distinct().orderBy("rule_id").collect()]
+    rules = [{"id": r, "shortDescription": {"text": RULES[r].description if r in RULES else r}, "defaultConfiguration": {"level": {"error": "error", "warning": "warning"}.get(RULES[r].default_severity if r in RULES else "info", "note")}} for r in names]
+    head = json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool, "version": version, "rules": rules}}, "results": []}]})
+    start, end = head.rsplit("[]", 1)
+    yield start + "["
+    for i, r in enumerate(rows.orderBy("rule_id", "result").toLocalIterator()):
+        yield (",\n" if i else "\n") + r["result"]
+    yield "]" + end
+
+
 def sarif(findings: DataFrame, tool: str = "quarry", version: str = "1") -> str:
-    """A SARIF 2.1.0 document of one run. A report for people and review tools: its size is that of the findings."""
-    import json
+    return "".join(sarif_parts(findings, tool, version))
+
 
-    rows = sarif_results(findings).orderBy("rule_id", "result").collect()
-    rules = [{"id": r, "shortDescription": {"text": RULES[r].description if r in RULES else r}, "defaultConfiguration": {"level": {"error": "error", "warning": "warning"}.get(RULES[r].default_severity if r in RULES else "info", "note")}} for r in sorted({x["rule_id"] for x in rows})]
-    run = {"tool": {"driver": {"name": tool, "version": version, "rules": rules}}, "results": [json.loads(x["result"]) for x in rows]}
-    return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]}, indent=2)
+def write_sarif(findings: DataFrame, path: str) -> None:
+    with open(path, "w", encoding="utf-8") as out:
+        out.writelines(sarif_parts(findings))
 
 
 def write_json(findings: DataFrame, path: str) -> None:
