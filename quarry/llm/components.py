@@ -1,7 +1,7 @@
 """Connected components of a distributed edge list, by alternating large and small stars.
 
-Each round is written and replaces the one before. The least neighbours are written too, so that the joins with them are plain
-joins, of which Spark splits the side of a hub that has a third of all edges.
+Each round is written and replaces the one before. The least neighbours are dealt anew after grouping, so that the joins with them are
+plain ones, of which Spark splits the side of a hub that has a third of all edges.
 
 Defined cases: repeated edges count once, an edge of a node to itself is ignored, edges with a null end are dropped, no edges give no rows. Of equal
 ways to name a component there is one: its least node.
@@ -18,13 +18,13 @@ from ..session import discard, materialize
 def _stars(edges: DataFrame) -> DataFrame:
     """One large star and one small star; edges are (a, b) with a > b. Joins only with each node's least neighbour."""
     both = edges.union(edges.select("b", "a")).toDF("u", "v")
-    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).hint("rebalance")
     large = materialize(both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "star")
-    down = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+    down = large.groupBy("a").agg(F.min("b").alias("m")).hint("rebalance")
     met = large.join(down, "a")
     small = met.select("a", F.col("m").alias("b")).union(met.filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")))
     out = materialize(small.distinct(), "star")
-    discard(least, large, down, edges)
+    discard(large, edges)
     return out
 
 

@@ -184,15 +184,15 @@ def similarity(one: np.ndarray, two: np.ndarray) -> tuple[int, int]:
 
 
 def bags(texts: DataFrame) -> DataFrame:
-    """(node, bag): the windows of each text of ``texts`` (node, text), as bytes of sorted hashes."""
+    """(node, bag, bytes): the windows of each text of ``texts`` (node, text), as bytes of sorted hashes, and how many."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
             made = [np.sort(hasher.windows(x.as_py())[0]).tobytes() for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary())], ["node", "bag"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary()), pa.array([len(x) for x in made], pa.int64())], ["node", "bag", "bytes"])
 
-    return texts.select("node", "text").mapInArrow(work, "node bigint, bag binary")
+    return texts.select("node", "text").mapInArrow(work, "node bigint, bag binary, bytes bigint")
 
 
 def checked(pairs: DataFrame, bagged: DataFrame, least: float) -> DataFrame:
@@ -240,36 +240,39 @@ def overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _blocks(members: DataFrame, payload: str, weight: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs of blocks of each bucket, and the table they read: ``members`` (key, node, component, payload) in blocks of BLOCK rows or BYTES at most, about.
+def _blocks(members: DataFrame, payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of blocks of each bucket, and the table they read: ``members`` (key, node, component) in blocks of BLOCK rows or BYTES at most, about.
 
-    A component of half a block or more has blocks of its own, which don't meet each other; smaller ones share blocks. Blocks are paired
-    by name first, and each pair is a row that any task may take, so a bucket of any size is spread over all tasks.
+    ``payloads`` has a payload and its bytes for each node; it moves once, when blocks are known. A component of half a block or more has blocks of
+    its own, which don't meet each other; smaller ones share blocks. Blocks are paired by name first, and each pair is a row that any task may take,
+    so a bucket of any size is spread over all tasks.
     """
-    sized = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("bytes"))
+    sized = members.join(payloads.select("node", "bytes"), "node").groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
     large = F.col("n") >= BLOCK // 2
-    sized = materialize(sized.select("key", "component", "n", "bytes", large.alias("large"), F.when(large, F.col("component")).otherwise(F.lit(0)).alias("group")), "sized")
+    sized = sized.select("key", "component", "n", "bytes", large.alias("large"), F.when(large, F.col("component")).otherwise(F.lit(0)).alias("group"))
     totals = sized.groupBy("key", "large", "group").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("bytes") / BYTES)).alias("blocks"))
-    place = materialize(sized.join(totals, ["key", "large", "group"]).select("key", "component", "large", "group", "blocks"), "place")
+    # Dealt anew after grouping, so that the joins are plain ones, whose hot keys Spark splits.
+    place = sized.hint("rebalance").join(totals.hint("rebalance"), ["key", "large", "group"]).select("key", "component", "large", "group", "blocks")
     block = F.struct("large", "group", F.pmod(F.xxhash64("node", F.lit(8)), F.col("blocks")).alias("chunk"))
-    rows = members.join(place, ["key", "component"]).withColumn("block", block)
-    made = materialize(rows.groupBy("key", "block").agg(F.collect_list(F.struct("node", "component", F.col(payload).alias("payload"))).alias("rows")), "blocks")
-    discard(sized, place)
+    rows = members.join(place.hint("rebalance"), ["key", "component"]).select("key", "node", "component", block.alias("block"))
+    rows = rows.join(payloads.select("node", "payload"), "node")
+    made = materialize(rows.groupBy("key", "block").agg(F.collect_list(F.struct("node", "component", "payload")).alias("rows")), "blocks")
     names = [made.select("key", F.col("block").alias(f"block_{side}")) for side in "ab"]
     one, two = F.col("block_a"), F.col("block_b")
-    apart = (one < two) & ~(one["large"] & two["large"] & (one["group"] == two["group"]))
-    pairs = names[0].join(names[1], "key").filter(apart | ((one == two) & ~one["large"]))
+    pairs = names[0].join(names[1], "key").filter((one < two) & ~(one["large"] & two["large"] & (one["group"] == two["group"])))
     for side in "ab":
         pairs = pairs.join(made.select("key", F.col("block").alias(f"block_{side}"), F.col("rows").alias(f"rows_{side}")), ["key", f"block_{side}"])
-    return pairs.select("key", "rows_a", "rows_b"), made
+    # Most buckets are one block, which meets itself where it is.
+    alone = made.filter(~F.col("block.large")).select("key", F.col("rows").alias("rows_a"), F.lit(None).cast(dict(made.dtypes)["rows"]).alias("rows_b"))
+    return alone.unionByName(pairs.select("key", "rows_a", "rows_b")), made
 
 
 def _sides(row: dict, kind: type) -> tuple:
-    """Nodes, components and payloads of the two blocks of a row."""
+    """Nodes, components and payloads of the two blocks of a row; without a second one the first meets itself."""
     out = []
-    for side in ("rows_a", "rows_b"):
-        out += [np.array([x[c] for x in row[side]], np.int64) for c in ("node", "component")]
-        out.append([np.frombuffer(x["payload"], kind) for x in row[side]])
+    for rows in (row["rows_a"], row["rows_b"] or row["rows_a"]):
+        out += [np.array([x[c] for x in rows], np.int64) for c in ("node", "component")]
+        out.append([np.frombuffer(x["payload"], kind) for x in rows])
     return tuple(out)
 
 
@@ -278,7 +281,7 @@ def across(members: DataFrame, nodes: DataFrame, bagged: DataFrame, least: float
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 a, ca, sa, b, cb, sb = _sides(row, np.uint16)
                 sb = np.stack(sb)
                 left, right = np.zeros(len(a), bool), np.zeros(len(b), bool)
@@ -291,7 +294,7 @@ def across(members: DataFrame, nodes: DataFrame, bagged: DataFrame, least: float
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 a, ca, wa, b, cb, wb = _sides(row, np.uint64)
                 both = overlaps(wa, wb)
                 union = np.array([len(x) for x in wa])[:, None] + np.array([len(x) for x in wb])[None, :] - both
@@ -313,12 +316,10 @@ def across(members: DataFrame, nodes: DataFrame, bagged: DataFrame, least: float
                         right.append(int(b[y]))
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    signed = members.join(nodes.select("node", "sig"), "node").withColumn("_weight", F.lit(2 * REGISTERS))
-    pairs, made = _blocks(signed, "sig", "_weight")
+    pairs, made = _blocks(members, nodes.select("node", F.col("sig").alias("payload"), F.lit(2 * REGISTERS).alias("bytes")))
     close = materialize(pairs.mapInArrow(agree, "key bigint, node bigint").distinct(), "close")
     discard(made)
-    full = members.join(close, ["key", "node"], "left_semi").join(bagged, "node").withColumn("_weight", F.length("bag"))
-    pairs, made = _blocks(full, "bag", "_weight")
+    pairs, made = _blocks(members.join(close, ["key", "node"], "left_semi"), bagged.select("node", F.col("bag").alias("payload"), "bytes"))
     found = materialize(pairs.select("rows_a", "rows_b").mapInArrow(join, "a bigint, b bigint"), "links")
     discard(close, made)
     return found
@@ -359,11 +360,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     more = across(members, nodes, bagged, least)
     final = materialize(components(links.union(more)), "components")
     discard(nodes, shared, met, stars, needed, bagged, links, found, members, more)
-    placed = signed.select("doc_id", "mark", "node").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    classed = materialize(placed.drop("node"), "classed")
-    discard(signed, final)
+    classed = signed.select("doc_id", "mark", "node").join(final, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
     sizes = classed.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).filter("class_size > 1")
-    out = classed.join(_small(materialize(sizes, "sizes")), "component", "left")
+    out = classed.join(sizes.hint("rebalance"), "component", "left")
     one = F.coalesce("class_size", F.lit(1)) == 1
     return out.select("doc_id", F.when(one, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "mark", "component")
 
