@@ -59,6 +59,7 @@ SELECT 'p' AS project_id, 'model.n' || n_nationkey AS child_id, 'source.r' || n_
 UNION ALL SELECT 'p', 'model.n' || (p_partkey % 25), 'source.p' || p_partkey, CAST(p_partkey AS BIGINT), 'source' FROM {part} WHERE p_partkey % 20 = 0
 UNION ALL SELECT 'p', 'model.n' || ((p_partkey + 1) % 25), 'source.p' || p_partkey, CAST(p_partkey AS BIGINT), 'source' FROM {part} WHERE p_partkey % 40 = 0
 UNION ALL SELECT 'p', 'model.c' || c_custkey, 'model.n' || c_nationkey, CAST(0 AS BIGINT), 'model' FROM {customer}
+UNION ALL SELECT 'p', 'model.n' || n_nationkey, 'model.n' || (n_nationkey - 1), CAST(5 AS BIGINT), 'model' FROM {nation} WHERE n_nationkey % 8 = 3
 UNION ALL SELECT 'p', 'model.s' || s_suppkey, 'model.n' || s_nationkey, CAST(0 AS BIGINT), 'model' FROM {supplier}
 UNION ALL SELECT 'p', 'model.o' || o_orderkey, 'model.c' || o_custkey, CAST(0 AS BIGINT), 'model' FROM {orders}
 UNION ALL SELECT 'p', 'model.o' || o_orderkey, 'source.r' || (o_orderkey % 5), CAST(1 AS BIGINT), 'source' FROM {orders} WHERE o_orderkey % 7 = 0
