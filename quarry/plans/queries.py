@@ -85,10 +85,10 @@ CHECKS: dict[str, str] = {
     "style.no_select_star_in_marts": _q("'Marts model ''' || name || ''' ends in SELECT *'", r"layer = 'marts' AND regexp_matches(reverse(split_part(reverse(lower(raw_code)), 'tceles', 1)), '^\s+\*')", _CODE),
     "style.final_select_from_named_cte": "SELECT name AS model_name, file_path, 'Model ''' || name || ''' reads ref() or source() in its last SELECT' AS message FROM (SELECT name, file_path, model_id, arg_max(line, ln) AS line FROM (SELECT name, file_path, model_id, unnest(string_split(raw_code, chr(10))) AS line, generate_subscripts(string_split(raw_code, chr(10)), 1) AS ln FROM models WHERE contains(raw_code, 'with')) l WHERE starts_with(lower(trim(line)), 'from') OR starts_with(lower(trim(line)), 'join') GROUP BY ALL) f WHERE regexp_matches(line, '\\{\\{\\s*(ref|source)\\s*\\(')",
     "style.refs_in_ctes_not_inline": _q("'Model ''' || name || ''' joins ref() on line ' || ln", "true", _FIRST.format(r"regexp_matches(line, '(?i)join\s+\{\{\s*ref\s*\(')"), line="ln"),
-    "migration.no_ref_or_source": _q("'Model ''' || name || ''' calls neither ref() nor source()'", "length(trim(raw_code, ' ' || chr(10))) >= 20 AND NOT contains(raw_code, '{{ ref(') AND NOT contains(raw_code, '{{ source(')", _CODE),
+    "migration.no_ref_or_source": _q("'Model ''' || name || ''' calls neither ref() nor source()'", "length(trim(raw_code, ' ' || chr(10))) >= 20 AND NOT regexp_matches(raw_code, '(?i)[{][{]\\s*(ref|source)\\s*[(]')", _CODE),
     "migration.ddl_statements": _q("'Model ''' || name || ''' has a ' || upper(split_part(trim(line), ' ', 1)) || ' statement on line ' || ln", "true", _FIRST.format(r"regexp_matches(line, '(?i)^\s*(create\s+(or\s+replace\s+)?(table|view|temporary\s+table)|insert\s+(into|overwrite)|truncate\s|drop\s+(table|view)|alter\s+table|merge\s+into|update\s+\w+\s+set|delete\s+from)')"), line="ln"),
-    "migration.hardcoded_environment_schema": _q("'Model ''' || name || ''' names a schema of one environment on line ' || ln", "true", _FIRST.format(_PLAIN + r" AND regexp_matches(line, '(?i)(from|join)\s+(" + "|".join(text_rules.SCHEMAS) + r")\.')"), line="ln"),
-    "migration.missing_source_definition": _q("'Model ''' || name || ''' calls source(''' || s || ''', ''' || t || '''), which is not defined'", "NOT EXISTS (SELECT 1 FROM sources d WHERE lower(d.source_name) = s AND lower(d.name) = t)", r"(SELECT name, file_path, ln, lower(regexp_extract(c, '''(\w+)''\s*,', 1)) AS s, lower(regexp_extract(c, ',\s*''(\w+)''', 1)) AS t FROM (SELECT name, file_path, ln, unnest(regexp_extract_all(line, '\{\{\s*source\s*\([^)]*\)')) AS c FROM (SELECT name, file_path, unnest(string_split(raw_code, chr(10))) AS line, generate_subscripts(string_split(raw_code, chr(10)), 1) AS ln FROM models) l) q) z", line="ln"),
+    "migration.hardcoded_environment_schema": _q("'Model ''' || name || ''' names a schema of one environment on line ' || ln", "true", _FIRST.format(_PLAIN + r""" AND regexp_matches(line, '(?i)(from|join)\s+[''"`]?(""" + "|".join(text_rules.SCHEMAS) + r""")[''"`]?\.')"""), line="ln"),
+    "migration.missing_source_definition": _q("'Model ''' || name || ''' calls source(''' || s || ''', ''' || t || '''), which is not defined'", "NOT EXISTS (SELECT 1 FROM sources d WHERE lower(d.source_name) = s AND lower(d.name) = t)", r"(SELECT name, file_path, ln, lower(regexp_extract(c, '[''\x22](\w+)[''\x22]\s*,', 1)) AS s, lower(regexp_extract(c, ',\s*[''\x22](\w+)[''\x22]', 1)) AS t FROM (SELECT name, file_path, ln, unnest(regexp_extract_all(line, '\{\{\s*source\s*\([^)]*\)')) AS c FROM (SELECT name, file_path, unnest(string_split(raw_code, chr(10))) AS line, generate_subscripts(string_split(raw_code, chr(10)), 1) AS ln FROM models) l) q) z", line="ln"),
     "security.no_hardcoded_credentials": _q("'Model ''' || name || ''' seems to hold credentials (' || hits || ' patterns)'", "hits > 0", "(SELECT *, " + " + ".join(f"CAST(regexp_matches(raw_code, '(?i)({w})\\s*[=:]\\s*[''\"][^''\"]{{{n},}}[''\"]') AS INTEGER)" for w, n in (("password|passwd|pwd", 4), ("api_key|apikey|api_secret|secret_key|access_key|private_key", 8))) + " AS hits FROM models) m"),
     "structure.staging_refs_source_only": _q("'Staging model ''' || name || ''' reads models: ' || parents", "layer = 'staging'", "models m JOIN " + _PARENTS.format("model") + " ON x.child_id = m.model_id"),
     "structure.marts_no_source_refs": _q("'Marts model ''' || name || ''' reads sources: ' || parents", "layer = 'marts'", "models m JOIN " + _PARENTS.format("source") + " ON x.child_id = m.model_id"),

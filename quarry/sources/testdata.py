@@ -14,7 +14,7 @@ from ..catalog import Catalog, infer_layer
 from ..session import table
 
 _COLUMN = "CASE l_linenumber WHEN 1 THEN 'customer_email' WHEN 2 THEN 'amount' WHEN 3 THEN 'status' WHEN 4 THEN 'ip_addr_v4' WHEN 5 THEN 'phone' ELSE 'c' || l_linenumber END"
-_CODE = """CASE k % 12
+_CODE = """CASE k % 17
  WHEN 0 THEN 'with a as (' || chr(10) || 'select * from {{{{ ref(''int_x'') }}}}' || chr(10) || ')' || chr(10) || 'select * from a'
  WHEN 1 THEN 'select o.id, o.total' || chr(10) || 'from prod.orders o'
  WHEN 2 THEN '-- made by hand' || chr(10) || 'create table x as' || chr(10) || 'select 1 as one_column'
@@ -26,6 +26,11 @@ _CODE = """CASE k % 12
  WHEN 8 THEN 'select id from {{{{ source(''nowhere'', ''t' || k || ''') }}}}' || chr(10) || 'union all' || chr(10) || 'select id from {{{{ source(''geo'', ''region_asia'') }}}}'
  WHEN 9 THEN 'INSERT INTO t' || chr(10) || 'select 1 from {{{{ ref(''a'') }}}}'
  WHEN 10 THEN ''
+ WHEN 12 THEN 'select x.id' || chr(13) || chr(10) || 'from prod.orders x' || chr(13) || chr(10) || 'join {{{{ ref(''a'') }}}} y on true' || chr(13) || chr(10)
+ WHEN 13 THEN '{{# join {{{{ ref(''old'') }}}} #}}' || chr(10) || 'select "a"."b" from "raw"."orders" -- from db.sch.tab'
+ WHEN 14 THEN 'truncate table t' || chr(10) || 'merge into x using y on x.id = y.id' || chr(10) || 'select * from {{{{source("nowhere","T")}}}}'
+ WHEN 15 THEN 'select' || chr(160) || 'a' || chr(10) || 'from staging.t' || chr(10) || 'delete from t where api_key = "abcdefgh12"'
+ WHEN 16 THEN 'WITH a AS (' || chr(10) || '  select 1' || chr(10) || ')' || chr(10) || '  SELECT *' || chr(10) || 'FROM a' || chr(10) || '  '
  ELSE 'select 1' END"""
 
 #: Table: its SQL over the star schema, with {table} for each table that is read.
