@@ -49,7 +49,7 @@ BLOCK, BYTES, SLICE = 256, 4_000_000, 4096
 #: Rows of two numbers that are broadcast at most; beyond, Spark joins as it sees fit.
 BROADCAST_ROWS = 1_000_000
 #: Windows that a worker works on at once, and words it remembers.
-AT_ONCE, MEMO = 250_000, 400_000
+AT_ONCE, MEMO = 250_000, 100_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -33,7 +33,7 @@ BUCKETS = 1 << 16
 EPOCHS = 300
 #: Weights are for means, which are small numbers.
 SCALE = 20.0
-MEMO = 400_000
+MEMO = 100_000
 PARTS = re.compile(r"[^\W\d_]+|\d+|(.)\1*")
 
 
@@ -166,5 +166,6 @@ def grade(docs: DataFrame, model: Model, least: int, doc_id: str = "doc_id", tex
         for batch in batches:
             chances = model.chances(np.fromiter(map(model.score, batch["text"]), np.float64, len(batch)))
             yield pd.DataFrame({"doc_id": batch["doc_id"].array, "expected_grade": chances @ grades, "tail": chances[:, grades >= least].sum(axis=1)})
+        model.memo.clear()  # workers outlive the task
 
     return rows.mapInPandas(judge, f"doc_id {dict(rows.dtypes)['doc_id']}, expected_grade double, tail double")

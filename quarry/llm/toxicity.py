@@ -33,7 +33,9 @@ BUCKETS = 1 << 18
 SCREEN = 3.5
 EPOCHS = 400
 #: Known words that a worker keeps before it starts anew.
-MEMO = 400_000
+MEMO = 100_000
+#: Rows that a worker returns at a time.
+ROWS = 1000
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
 
@@ -179,16 +181,19 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     """``keep`` columns of ``docs`` (default: all) with ``score`` and ``offending``, an array of (start, end, score)."""
     importable(docs.sparkSession)
     box = Box(docs, keep, ["score", "offending"])
-    rows = box.rows(text=box[text].cast("string"))
+    # A text that is kept goes to Python once, as part of its row.
+    inside = f"c{box.place(text)}" if box.docs.dtypes[box.place(text)][1] == "string" and box.place(text) in [i for i, _ in box.kept] else None
+    rows = box.rows() if inside else box.rows(text=box[text].cast("string"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     spans = "array<struct<start:bigint,end:bigint,score:double>>"
     schema = rows.drop("text").withColumns({"score": F.lit(None).cast("double"), "offending": F.lit(None).cast(spans)}).schema
 
     def judge(batches: Iterator) -> Iterator:
         model = shared.value
-        for batch in batches:
-            found = [model.score(x.as_py()) for x in batch.column("text")]
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            found = [model.score(x.as_py()) for x in (batch.column("row").field(inside) if inside else batch.column("text"))]
             spans = pa.array([[{"start": a, "end": b, "score": p} for a, b, p in s] for _, s in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([s for s, _ in found], pa.float64()), spans], ["row", "score", "offending"])
+        model.memo.clear()  # workers outlive the task
 
     return box.open(rows.mapInArrow(judge, schema), score=F.col("score"), offending=F.col("offending"))
