@@ -32,8 +32,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     model = toxic.train(picked(docs, doc_id="doc_id", text="text"), labels, fold(F.col("doc_id"), 5) != 0)
     box = Box(docs)
-    scored = toxic.score(box.rows(text=box["text"]), model, keep=["row"])
-    return box.open(scored.filter("score < 0.5"))
+    kept = toxic.score(box.docs, model, text=f"c{box.place('text')}").filter("score < 0.5")
+    return kept.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(docs.columns)])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
