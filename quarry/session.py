@@ -28,14 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def written_to(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; it goes when the JVM ends."""
+    path = f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+    path = written_to(spark, name)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     made = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[made] = path
     return made
