@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
-from . import decontaminate, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secrets, toxicity, url_filter
+from ..session import table, written_to
+from . import decontaminate, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secrets, token_files, toxicity, url_filter
 from .common import fold
 
 
@@ -109,6 +109,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = written_to(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_secrets": op2_secrets,
@@ -120,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_mixing": op9_mixing,
     "op10_url_filter": op10_url_filter,
+    "op13_token_files": op13_token_files,
     "parts_secret_spans": parts_secret_spans,
     "parts_mix_targets": parts_mix_targets,
     "parts_url_rules": parts_url_rules,
