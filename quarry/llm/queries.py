@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, written_to
-from . import decontaminate, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secrets, token_files, toxicity, url_filter
+from . import decontaminate, divergence, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secrets, token_files, toxicity, url_filter, whitening
 from .common import fold
 
 
@@ -109,6 +109,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def parts_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, components, sizes and exact deviations of op12, which SQL can find too."""
+    return op12_whitening(spark, sf_dir).select("vec_id", "component", "n", "deviation")
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -128,11 +141,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_mixing": op9_mixing,
     "op10_url_filter": op10_url_filter,
+    "op11_divergence": op11_divergence,
+    "op12_whitening": op12_whitening,
     "op13_token_files": op13_token_files,
     "parts_secret_spans": parts_secret_spans,
     "parts_mix_targets": parts_mix_targets,
     "parts_url_rules": parts_url_rules,
     "parts_quality_ablation": parts_quality_ablation,
+    "parts_whitening": parts_whitening,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -172,6 +188,22 @@ policies AS (SELECT 'base' AS policy, 3 AS mask UNION ALL SELECT 'v1', 127)
 SELECT policy, rule, CAST(bit AS BIGINT) AS bit, CAST(count(*) FILTER (failures & bit <> 0) AS BIGINT) AS failed, CAST(count(*) FILTER (failures & mask = bit) AS BIGINT) AS failed_alone,
   CAST(count(*) FILTER (failures & mask = 0) AS BIGINT) AS kept, CAST(count(*) FILTER (failures & mask & ~bit = 0) AS BIGINT) AS kept_without_rule
 FROM bits JOIN policies ON true JOIN rules ON mask & bit <> 0 GROUP BY policy, rule, bit""",
+    "op11_divergence": r"""WITH texts AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+seen AS (SELECT k, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM texts),
+kept AS (SELECT lang, term, count(*) AS total FROM seen GROUP BY lang, term HAVING count(DISTINCT k) >= 3),
+counts AS (SELECT lang, source, term, count(*) AS n FROM seen JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (SELECT DISTINCT lang, source FROM texts),
+sizes AS (SELECT lang, source, coalesce(sum(n), 0) AS size FROM groups LEFT JOIN counts USING (lang, source) GROUP BY lang, source),
+langs AS (SELECT l.lang, count(term) AS v, coalesce(sum(total), 0) AS whole FROM (SELECT DISTINCT lang FROM groups) l LEFT JOIN kept USING (lang) GROUP BY l.lang),
+dense AS (SELECT lang, source, term, coalesce(n, 0) AS n, CAST(1 + 1000000000 * (coalesce(n, 0) + 1) // (size + v) AS BIGINT) AS p, CAST(1 + 1000000000 * (total + 1) // (whole + v) AS BIGINT) AS q
+  FROM sizes JOIN langs USING (lang) JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+far AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM dense WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200""",
     "parts_secret_spans": f"""WITH texts AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
 found AS ({_spans("assign", 0, _ASSIGN, 2, 8)} UNION ALL {_spans("access", 1, "'AKIA[A-Z0-9]+'", 0, 16)} UNION ALL {_spans("hex", 2, "'[0-9a-f]+'", 0, 32)}),
 listed AS (SELECT k, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS b, count(*) FILTER (rank = 2) AS c, string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, rank) AS said FROM found GROUP BY k)
@@ -182,6 +214,13 @@ weighed AS (SELECT *, [5.0, 2.0, 1.0][k % 3 + 1]::DOUBLE AS w, 3.0::DOUBLE * sou
 levels AS (SELECT *, (total - coalesce(sum(most) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level FROM weighed WINDOW b AS (ORDER BY most / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 ends AS (SELECT min_by(level, most / w) FILTER (most >= level * w) AS level FROM levels)
 SELECT d.doc_id, d.size, l.source_size, round(least(l.most, coalesce(e.level * l.w, l.most)), 3) AS target FROM sized d JOIN levels l ON d.source IS NOT DISTINCT FROM l.source JOIN ends e ON true""",
+    "parts_whitening": """WITH grid AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+cells AS (SELECT x, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS i FROM (SELECT DISTINCT x FROM grid)),
+sums AS (SELECT list(s ORDER BY i) AS s FROM (SELECT i, CAST(sum(v) AS BIGINT) AS s FROM cells GROUP BY i)),
+sized AS (SELECT count(DISTINCT x) AS n, any_value(len(x)) AS d FROM grid)
+SELECT vec_id, CAST(component AS INTEGER) AS component, n, CAST(list_sum(list_transform(range(1, d + 1), lambda i: (n * x[i] - s[i]) * (n * x[i] - s[i]))) AS BIGINT) AS deviation
+FROM grid, sums, sized, (SELECT unnest(range(1, 17)) AS component) c WHERE component <= d""",
     "parts_url_rules": """WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 named AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
 rules AS (SELECT * FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) r(verdict, h, p)),
