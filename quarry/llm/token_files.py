@@ -41,25 +41,20 @@ MAGIC = b"RPG1"
 #: Ids of a shard at most.
 SHARD = 1 << 18
 #: A pair is frequent from so many occurrences on; so many pairs become rules in a round at most; a round that saves a smaller share is the last.
-LEAST, TOP, GAIN = 8, 4096, 0.02
+LEAST, TOP, GAIN = 8, 4096, 0.03
 #: Id that ends each document.
 END = 0
 #: Pieces of text that a worker remembers with their ids, in each of two generations, and characters that are encoded at once.
 REMEMBERED, AT_ONCE = 500_000, 1_000_000
 
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: A piece that may stand between two single spaces: neither end is white space in any version of Unicode.
 _PIECE = re.compile(r"[!-~¡-ɏ](?:.*[!-~¡-ɏ])?", re.S)
-#: A piece of known letters and ASCII, without the marks that tie neighbours together (contractions, special tokens, runs of line breaks).
-_PLAIN = re.compile(rf"(?!.*\n\n|.*<\|)[{_LETTERS}!-&(-~\n]+", re.S)
-_WORD = re.compile(rf"[{_LETTERS}]+")
-_RUNS = re.compile(rf"[{_LETTERS}]+|[^{_LETTERS}]+")
 
 
 class Encoder:
     """Ids of texts, as bytes. Texts are cut where the tokenizer cuts them for certain, and each distinct piece is encoded once.
 
-    Byte-level tokenizers of the usual pattern begin a token at each single space, and between letters and other signs. Others, and texts with
+    Byte-level tokenizers of the usual pattern begin a token at each single space, and between a letter and a full stop or comma. Others, and texts with
     rarer white space, are encoded whole.
     """
 
@@ -73,16 +68,17 @@ class Encoder:
         names = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(names.values(), default=0) + 1, bool)
         self.opens[[i for name, i in names.items() if name.startswith("Ġ")]] = True
+        self.marks: dict[str, bytes] = {}
         self.new: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters, each after a space: many in one call, as each begins with a token that begins with a space."""
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, each after a space: many in one call, as each begins with a token that begins with a space, and has no other."""
         out: list[bytes] = []
-        parts = [words[i : i + 1000] for i in range(0, len(words), 1000)]
+        parts = [pieces[i : i + 1000] for i in range(0, len(pieces), 1000)]
         for part, found in zip(parts, self.tokenizer.encode_batch_fast([" " + " ".join(x) for x in parts], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u4")
             raw, at = ids.tobytes(), [*(np.flatnonzero(self.opens[ids]) * 4).tolist(), 4 * len(ids)]
@@ -94,44 +90,30 @@ class Encoder:
         if len(self.new) > REMEMBERED:
             self.new, self.old = {}, self.new
         new, old = self.new, self.old
-        words: dict[str, None] = {}
-        runs: dict[str, None] = {}
-        made: list[tuple[str, list[str]]] = []
-        # Keys: words and pieces as they are after a space, other runs with a space before them; pieces have none.
-        for piece in pieces - new.keys():
-            if piece in old:
-                new[piece] = old[piece]
-                continue
+        missing = pieces - new.keys()
+        again = missing & old.keys()
+        new.update({p: old[p] for p in again})
+        missing -= again
+        # A word at the end of a clause has the word's own ids and those of the mark.
+        ended, ask = [], set()
+        for piece in missing:
             word = piece.rstrip(".,")
-            if not (word.isascii() and word.isalpha() or _WORD.fullmatch(word)):
-                if not _PIECE.fullmatch(piece):
-                    new[piece] = None
-                    continue
-                if not _PLAIN.fullmatch(piece):
-                    runs["  " + piece] = None
-                    made.append((piece, ["  " + piece]))
-                    continue
-                own = _RUNS.findall(piece)
-                word, inner = (own[0], own[1:]) if _WORD.fullmatch(own[0]) else ("", own)
-                keys = [" " + x for x in inner]
-                if not word:  # the space before the piece belongs to its first run
-                    keys[0] = " " + keys[0]
+            if 0 < len(piece) - len(word) < 4 and word[-1:].isascii() and word[-1:].isalpha() and _PIECE.match(word):
+                ended.append((piece, word, piece[len(word) :]))
+                if word not in new:
+                    ask.add(word)
+            elif _PIECE.fullmatch(piece):
+                ask.add(piece)
             else:
-                keys = [" " + piece[len(word) :]] if len(word) < len(piece) else []
-            runs.update(dict.fromkeys(keys))
-            if word:
-                words[word] = None
-                keys = [word, *keys]
-            if keys != [piece]:
-                made.append((piece, keys))
-        for key in (words.keys() | runs.keys()) & old.keys():
-            new[key] = old[key]
-        ask = [w for w in words if w not in new]
-        new.update(zip(ask, self._words(ask), strict=True))
-        ask = [r for r in runs if r not in new]
-        new.update(zip(ask, self.whole([r[1:] for r in ask]), strict=True))
-        for piece, keys in made:
-            new[piece] = b"".join([new[k] for k in keys])
+                new[piece] = None
+        again = ask & old.keys()
+        new.update({p: old[p] for p in again})
+        asked = list(ask - again)
+        new.update(zip(asked, self._pieces(asked), strict=True))
+        marks = {mark for _, _, mark in ended} - self.marks.keys()
+        self.marks |= zip(marks, self.whole(list(marks)), strict=True)
+        for piece, word, mark in ended:
+            new[piece] = new[word] + self.marks[mark]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
@@ -368,7 +350,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     importable(spark)
     files = spark.read.parquet(path)
     kind = files.schema["docs"].dataType.elementType["doc_id"].dataType.simpleString()
-    found = files.select("part", "shard", "docs", "grammar").mapInArrow(_digests, f"part int, shard int, d bigint, doc_id {kind}, n bigint, first boolean, last boolean, crc bigint")
+    digests = lambda some: some.select("part", "shard", "docs", "grammar").mapInArrow(_digests, f"part int, shard int, d bigint, doc_id {kind}, n bigint, first boolean, last boolean, crc bigint")
 
     def joined(rows):
         rows = rows.sort_values("shard")
@@ -380,8 +362,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         return one
 
     plain = ["part", "d", "doc_id", "n", "crc"]
-    torn = found.filter("not (first and last)").groupBy("part", "d").applyInPandas(joined, f"part int, d bigint, doc_id {kind}, n bigint, crc bigint")
-    docs = found.filter("first and last").select(*plain).unionByName(torn.select(*plain))
+    pieces = digests(files.filter(F.exists("docs", lambda x: ~(x["first"] & x["last"])))).filter("not (first and last)")
+    torn = pieces.groupBy("part", "d").applyInPandas(joined, f"part int, d bigint, doc_id {kind}, n bigint, crc bigint")
+    docs = digests(files).filter("first and last").select(*plain).unionByName(torn.select(*plain))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = files.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     within = W.partitionBy("part").orderBy("d").rowsBetween(W.unboundedPreceding, -1)
