@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -105,18 +105,21 @@ def _tile(best: int, key: tuple, table: pa.Table) -> pa.Table:
     place[order] = np.arange(len(listed))
     listed = [listed[k] for k in order]
     col = place[own.indices.to_numpy()]
-    counts, total = np.zeros((len(index), len(listed)), np.int64), np.zeros(len(listed), np.int64)
+    # Terms of the block that no source of these strips has are alike: one column, which counts as many times.
+    times = np.ones(len(listed) + 1, np.int64)
+    times[-1] = int(heads.column("terms")[0].as_py()) - len(listed)
+    counts, total = np.zeros((len(index), len(times)), np.int64), np.zeros(len(times), np.int64)
     counts[np.searchsorted(index, cells.column("i").to_numpy()), col] = cells.column("n").to_numpy()
     total[col] = cells.column("total").to_numpy()
-    p = _weights(counts, (size + v)[:, None])
+    p = _weights(counts, np.maximum(size + v, 1)[:, None])
     strip = index // SOURCES
     left, right = np.flatnonzero(strip == rows), np.flatnonzero(strip == cols)
     out: list[tuple] = []
     for a in left.tolist():
-        there = _far(p[a], p[right]).sum(1)
+        there = (_far(p[a], p[right]) * times).sum(1)
         out += [("pair", names[a], names[b].encode(), x) for b, x in zip(right.tolist(), there.tolist(), strict=True) if a != b]
         if rows != cols:
-            back = _far(p[right], p[a]).sum(1)
+            back = (_far(p[right], p[a]) * times).sum(1)
             out += [("pair", names[b], names[a].encode(), x) for b, x in zip(right.tolist(), back.tolist(), strict=True)]
     if rows == cols and listed:
         q = _weights(total, np.int64(whole + v))
@@ -129,6 +132,10 @@ def _tile(best: int, key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array(part, pa.string()), "lang": pa.array([lang] * len(out), pa.string()), "source": pa.array(source, pa.string()), "item": pa.array(item, pa.binary()), "value": pa.array(value, pa.int64())})
 
 
+def _block() -> Column:
+    return F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int")
+
+
 def audit(docs: DataFrame, least: int = 3, best: int = 200) -> DataFrame:
     """lang, source, part (``pair`` or ``term``), item, value and rank: all other sources of the language, and the ``best`` terms above their share in the language.
 
@@ -140,11 +147,12 @@ def audit(docs: DataFrame, least: int = 3, best: int = 200) -> DataFrame:
     found = rows.mapInArrow(_count, "lang string, source string, term binary, n bigint, docs bigint")
     counts = materialize(found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "terms")
     kept = counts.filter("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least).drop("docs")
-    known = materialize(counts.drop("docs").join(kept, ["lang", "term"]), "kept_terms")
+    kept = materialize(kept, "kept")
+    known = materialize(counts.drop("docs").join(kept, ["lang", "term"]), "known")
 
     groups = counts.filter("term is null").select("lang", "source")
     sums = known.groupBy("lang", "source").agg(F.sum("n").alias("size"))
-    each = known.groupBy("lang", "term").agg(F.max("total").alias("total")).groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("total").alias("whole"))
+    each = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("total").alias("whole"))
     zero = F.lit(0).cast("bigint")
     by_lang = W.partitionBy("lang")
     heads = groups.join(sums, ["lang", "source"], "left").join(each, "lang", "left").select(
@@ -155,12 +163,15 @@ def audit(docs: DataFrame, least: int = 3, best: int = 200) -> DataFrame:
     strips = F.ceil(F.col("sources") / SOURCES).cast("int")
     heads = materialize(heads.withColumn("blocks", blocks).withColumn("strips", strips).withColumn("strip", F.floor(F.col("i") / SOURCES).cast("int")), "groups")
 
+    langs = heads.filter("i = 0").select("lang", "blocks")
+    # As many rows as blocks.
+    terms_of = kept.join(langs, "lang").groupBy("lang", _block().alias("block")).agg(F.count(F.lit(1)).alias("terms"))
     few = heads.select("lang", "source", "i", "blocks", "strips", "strip")
     few = F.broadcast(few) if heads.count() <= BROADCAST_GROUPS else few
-    cells = known.join(few, ["lang", "source"]).withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int"))
-    cells = cells.select("lang", "block", "strip", "strips", "i", F.lit(None).cast("string").alias("source"), "term", "n", "total", *[zero.alias(c) for c in ("size", "v", "whole")])
-    shared = heads.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    shared = shared.select("lang", "block", "strip", "strips", "i", "source", F.lit(None).cast("binary").alias("term"), *[zero.alias(c) for c in ("n", "total")], "size", "v", "whole")
+    cells = known.join(few, ["lang", "source"]).withColumn("block", _block())
+    cells = cells.select("lang", "block", "strip", "strips", "i", F.lit(None).cast("string").alias("source"), "term", "n", "total", *[zero.alias(c) for c in ("size", "v", "whole", "terms")])
+    shared = heads.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(terms_of, ["lang", "block"], "left").withColumn("terms", F.coalesce("terms", zero))
+    shared = shared.select("lang", "block", "strip", "strips", "i", "source", F.lit(None).cast("binary").alias("term"), *[zero.alias(c) for c in ("n", "total")], "size", "v", "whole", "terms")
     dealt = cells.unionByName(shared).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)))
     dealt = dealt.withColumns({"rows": F.least("strip", "other"), "cols": F.greatest("strip", "other")}).drop("strip", "strips", "other")
 
@@ -169,7 +180,7 @@ def audit(docs: DataFrame, least: int = 3, best: int = 200) -> DataFrame:
 
     made = dealt.groupBy("lang", "block", "rows", "cols").applyInArrow(tile, "part string, lang string, source string, item binary, value bigint")
     made = materialize(made.groupBy("part", "lang", "source", "item").agg(F.sum("value").alias("value")), "tiles")
-    discard(counts, known, heads)
+    discard(counts, kept, known, heads)
     rank = F.row_number().over(W.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item"))
     pairs = made.filter("part = 'pair'").withColumn("rank", rank)
     best_terms = made.filter("part = 'term'").withColumn("rank", rank).filter(F.col("rank") <= best)

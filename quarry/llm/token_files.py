@@ -45,7 +45,7 @@ LEAST, TOP, GAIN = 8, 4096, 0.03
 #: Id that ends each document.
 END = 0
 #: Pieces of text that a worker remembers with their ids, in each of two generations, and characters that are encoded at once.
-REMEMBERED, AT_ONCE = 500_000, 1_000_000
+REMEMBERED, AT_ONCE = 500_000, 2_000_000
 
 #: A piece that may stand between two single spaces: neither end is white space in any version of Unicode.
 _PIECE = re.compile(r"[!-~¡-ɏ](?:.*[!-~¡-ɏ])?", re.S)
@@ -149,26 +149,31 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _spread(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys * np.int64(-7046029254386353131)) >> np.int64(64 - bits) & ((1 << bits) - 1)
+def _spread(keys: np.ndarray) -> np.ndarray:
+    """Slots of 16 bits."""
+    if keys.dtype == np.uint32:
+        return keys * np.uint32(2654435769) >> np.uint32(16)
+    return keys * np.uint64(11400714819323198485) >> np.uint64(48)
 
 
-def _round(seq: np.ndarray, new: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs that a round replaces, most frequent first, and the sequence with nonterminals from ``new`` on in their places.
+def _round(seq: np.ndarray, new: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that a round replaces, most frequent first, left and right symbols, and the sequence with nonterminals from ``new`` on in their places.
 
-    Where occurrences overlap, the more frequent pair goes first and, in a run of one symbol, every other place is taken.
+    Where occurrences overlap, the more frequent pair goes first and, in a run of one symbol, every other place is taken. Symbols of 16 bits make keys of 32.
     """
     none = np.int32(TOP)
-    keys = seq[:-1] << 32 | seq[1:]
+    half = 16 if seq.dtype == np.uint16 else 32
+    wide = np.uint32 if half == 16 else np.uint64
+    keys = seq[:-1].astype(wide) << wide(half) | seq[1:]
     ranked = np.sort(keys)
     ends = np.append(np.flatnonzero(ranked[1:] != ranked[:-1]), len(ranked) - 1)
     counts = np.diff(ends, prepend=-1)
     pairs, counts = ranked[ends][counts >= LEAST], counts[counts >= LEAST]
     pairs = pairs[np.argsort(-counts, kind="stable")[:TOP]]
     # Ranks by a table of hashes; of pairs that share a slot the most frequent has it, others wait for a later round.
-    slots, table, ranks = _spread(pairs, 16), np.full(1 << 16, -1, np.int64), np.full(1 << 16, none)
+    slots, table, ranks = _spread(pairs), np.zeros(1 << 16, wide), np.full(1 << 16, none)
     table[slots[::-1]], ranks[slots[::-1]] = pairs[::-1], np.arange(len(pairs), dtype=np.int32)[::-1]
-    at = _spread(keys, 16)
+    at = _spread(keys)
     rank = ranks[at]
     rank[table[at] != keys] = none
     best = rank < none
@@ -185,32 +190,29 @@ def _round(seq: np.ndarray, new: int) -> tuple[np.ndarray, np.ndarray]:
     number = np.cumsum(used) - 1
     out, stay = seq.copy(), np.ones(len(seq), bool)
     out[places], stay[places + 1] = new + number[rank[places]], False
-    return pairs[used], out[stay]
+    pairs = pairs[used]
+    return pairs >> wide(half), pairs & wide((1 << half) - 1), out[stay]
 
 
 def compress(ids: np.ndarray) -> bytes:
     """A shard's grammar."""
-    seq = ids.astype(np.int64)
-    base = int(seq.max(initial=0)) + 1
+    base = int(ids.max(initial=0)) + 1
     rules: list[np.ndarray] = []
+    seq, spans = ids, np.ones(base, np.int64)
     while len(seq) > 1:
-        pairs, shorter = _round(seq, base + sum(map(len, rules)))
+        seq = seq.astype(np.uint16 if len(spans) + TOP <= 1 << 16 else np.uint32)
+        left, right, shorter = _round(seq, len(spans))
         saved = len(seq) - len(shorter)
         if not saved:
             break
-        rules.append(pairs)
+        rules.append(np.stack([left, right], 1).astype("<u4"))
+        spans = np.concatenate([spans, spans[left] + spans[right]])
         seq = shorter
         if saved < GAIN * len(ids):
             break
-    flat = np.concatenate([*rules, np.empty(0, np.int64)])
-    parts = np.stack([flat >> 32, flat & 0xFFFFFFFF], 1)
-    spans = np.ones(base + len(flat), np.int64)
-    at = base
-    for pairs in rules:  # a rule refers to symbols of earlier rounds only
-        spans[at : at + len(pairs)] = spans[pairs >> 32] + spans[pairs & 0xFFFFFFFF]
-        at += len(pairs)
-    head = struct.pack("<4s4I", MAGIC, base, len(flat), len(seq), len(ids))
-    return head + parts.astype("<u4").tobytes() + spans[base:].astype("<u4").tobytes() + seq.astype("<u4").tobytes()
+    parts = np.concatenate([np.empty((0, 2), "<u4"), *rules])
+    head = struct.pack("<4s4I", MAGIC, base, len(parts), len(seq), len(ids))
+    return head + parts.tobytes() + spans[base:].astype("<u4").tobytes() + seq.astype("<u4").tobytes()
 
 
 class Grammar:

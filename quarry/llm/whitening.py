@@ -139,7 +139,7 @@ def fit(distinct: DataFrame, d: int, top: int = 16) -> Fit | None:
     schema = "id bigint, rows int, r binary"
     level = materialize(distinct.mapInArrow(lambda b: _factors(b, d, n, total), schema), "triangles")
     while level.count() > 1:
-        upper = materialize(level.groupBy(F.floor(F.col("id") / FAN).alias("id")).applyInArrow(meet, schema), "triangles")
+        upper = materialize(level.groupBy(F.floor(F.col("id") / FAN).alias("upper")).applyInArrow(meet, schema), "triangles")
         discard(level)
         level = upper
     last = level.first()

@@ -19,6 +19,9 @@ TYPES = {
     "op7_quality_classifier": {"doc_id": "bigint", "held_out": "boolean", "expected_grade": "double", "tail": "double"},
     "op8_near_dedup": {"doc_id": "bigint", "class_id": "bigint"},
     "op9_mixing": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
+    "op11_divergence": {"lang": "string", "source": "string", "part": "string", "item": "string", "value": "bigint", "rank": "int"},
+    "op12_whitening": {"vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double", "explained": "double", "identity_error": "double"},
+    "op13_token_files": {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"},
     "op10_url_filter": {"page_id": "bigint", "host": "string", "path": "string", "rule": "string", "verdict": "string"},
 }
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -39,6 +42,7 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame([(1, docs[5][1]), (2, None)], "item_id long, text string").write.parquet(str(at / "benchmark.parquet"))
     urls = [f"https://A{i % 3}.example.{x}/{y}/{i}?q" for i in range(20) for x in ("com", "net", "org") for y in ("en", "de", "es", "fr")]
     spark.createDataFrame([(i, u, "") for i, u in enumerate([*urls, None, "none"])], "page_id long, url string, html string").write.parquet(str(at / "pages.parquet"))
+    spark.createDataFrame([(i, [rng.random() for _ in range(6)], 0) for i in range(30)], "vec_id long, embedding array<float>, label int").write.parquet(str(at / "embeddings.parquet"))
     return str(at), docs
 
 
@@ -49,7 +53,8 @@ def test_names_types_and_rows(spark, folder, name):
     types = dict(found.dtypes)
     assert list(types)[: len(TYPES[name])] == list(TYPES[name]) and {k: types[k] for k in TYPES[name]} == TYPES[name]
     rows = found.collect()
-    assert len(rows) == (242 if name.startswith("op10_") else len(docs))
+    if name != "op11_divergence":
+        assert len(rows) == {"op10_url_filter": 242, "op12_whitening": 180}.get(name, len(docs))
     if name == "op1_toxicity":
         assert all(r["held_out"] == (crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
     if name == "op6_language_id":
