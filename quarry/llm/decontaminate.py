@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation. DataFrame functions only.
 
 Texts become templates: numbers, names (capitalised words within a sentence) and units after a number turn into typed
-placeholders, words are lower-cased, all else is dropped. Windows of ``WINDOW`` template tokens of every document are
+placeholders, words are lower-cased, all else is dropped; white space of any kind and length is one space. A window with placeholders is
+looked for in plain words too, lower-cased, so a verbatim copy is found however it writes its names. Windows of ``WINDOW`` template tokens of every document are
 hash-joined to those of the benchmark, so a question whose numbers or names were changed still meets its item.
 
 A document and an item belong together if the windows that met cover at least ``COVER`` of the item's, and their slots
@@ -51,13 +52,15 @@ NUMBER, NAME, UNIT = "0", "@", "%"
 ALONE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
 #: Possessive, as a group that can give back recurses once for each turn in the matcher of the JVM.
 TOKEN = rf"@?[a-zA-Z[[\p{{L}}\p{{M}}]&&[^{ALONE}]]]++|[[{ALONE}]&&[\p{{L}}]]\p{{M}}*+|[0-9]++(?:[.,:/][0-9]++)*+"
+#: Runs of white space, and other white space than a space.
+BLANKS = r"(?U)\s{2,}+|[^\S ]"
 #: Before a capitalised word that follows a word or a comma, not the end of a sentence.
 NAMED = r"(?<=[\p{L}\p{N},;:] )(?=\p{Lu}\p{Ll})"
 
 
 def tokens(text: Column) -> Column:
     """Words and numbers of a text; names start with ``@``."""
-    bare = F.translate(F.coalesce(text, F.lit("")), "@", " ")
+    bare = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "@", " "), BLANKS, " ")
     return F.regexp_extract_all(F.regexp_replace(bare, NAMED, NAME), F.lit(TOKEN), F.lit(0))
 
 
@@ -68,9 +71,9 @@ def template(raw: Column) -> Column:
 
 
 def windows(rows: DataFrame, text: str, item: bool = False, lengths: Sequence[int] = ()) -> DataFrame:
-    """``rows`` without ``text`` but with ``at``, ``hash``, ``slots`` and ``length`` of every window; slots hold null for words.
+    """``rows`` without ``text`` but with ``at``, ``hash``, ``slots``, ``length`` and ``typed`` of every window; slots hold null for words.
 
-    Of an ``item`` the windows with enough words, or the whole if there is none (then ``whole``). Of a document all windows, and
+    A window with slots comes twice, typed and in plain words, without slots then; ``typed`` is the hash of its template both times. Of an ``item`` the windows with enough words, or the whole if there is none (then ``whole``). Of a document all windows, and
     those of the ``lengths`` that whole items have.
     """
     is_slot = lambda x: x.isin(NUMBER, NAME, UNIT)
@@ -86,14 +89,16 @@ def windows(rows: DataFrame, text: str, item: bool = False, lengths: Sequence[in
         return F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
 
     def bare(n: Column) -> Callable[[Column], Column]:
-        return lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit("whole"), F.slice("_plain", i, n)).alias("hash"), F.lit(None).cast("array<string>").alias("slots"), n.alias("length"), F.lit(True).alias("whole"))
+        return lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit("whole"), F.slice("_plain", i, n)).alias("hash"), F.lit(None).cast("array<string>").alias("slots"), n.alias("length"), F.lit(True).alias("whole"), F.xxhash64(F.lit("whole"), F.slice("_plain", i, n)).alias("typed"))
 
     at = starts(WINDOW)
     if item:
         at = F.filter(at, lambda i: F.size(F.filter(own(i), lambda x: ~is_slot(x))) >= LEAST_WORDS)
-    made = F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(own(i)).alias("hash"), values(i).alias("slots"), F.lit(WINDOW).alias("length"), F.lit(False).alias("whole")))
-    if item or lengths:
-        slotted = slotted.withColumn("_plain", F.transform("_raw", lambda x: F.lower(F.ltrim(x, F.lit(NAME)))))
+    made = F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(own(i)).alias("hash"), values(i).alias("slots"), F.lit(WINDOW).alias("length"), F.lit(False).alias("whole"), F.xxhash64(own(i)).alias("typed")))
+    slotted = slotted.withColumn("_plain", F.when(F.col("_slots").isNotNull() | F.lit(item or bool(lengths)), F.transform("_raw", lambda x: F.lower(F.ltrim(x, F.lit(NAME))))))
+    with_slots = F.filter(at, lambda i: F.exists(F.slice("_slots", i, WINDOW), lambda x: x.isNotNull()))
+    plain = F.transform(with_slots, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("_plain", i, WINDOW)).alias("hash"), F.lit(None).cast("array<string>").alias("slots"), F.lit(WINDOW).alias("length"), F.lit(False).alias("whole"), F.xxhash64(own(i)).alias("typed")))
+    made = F.when(F.col("_slots").isNotNull(), F.concat(made, plain)).otherwise(made)
     if item:
         made = F.when((F.size(made) == 0) & (F.size("_raw") > 0), F.array(bare(F.size("_raw"))(F.lit(1)))).otherwise(made)
     for n in lengths:
@@ -112,7 +117,7 @@ def occurrences(diff: Column, span: Column) -> Column:
 
 def tested(met: DataFrame, total: DataFrame, by: list[str], cover: float) -> DataFrame:
     """The ``by`` groups of ``met`` that cover enough of their item: coverage, slots, verbatim, and whether they are consistent."""
-    covered = met.groupBy(*by).agg(F.count_distinct("hash").alias("met")).join(total, "item_id").withColumn("coverage", F.col("met") / F.col("total")).filter(F.col("coverage") >= cover)
+    covered = met.groupBy(*by).agg(F.count_distinct("typed").alias("met")).join(total, "item_id").withColumn("coverage", F.col("met") / F.col("total")).filter(F.col("coverage") >= cover)
     both = F.filter(F.arrays_zip(F.col("_theirs").alias("theirs"), F.col("_ours").alias("ours")), lambda x: x["theirs"].isNotNull() & x["ours"].isNotNull())
     pairs = met.filter("_ours is not null and _theirs is not null").select(*by, F.explode(both).alias("pair")).select(*by, "pair.theirs", "pair.ours").distinct()
     slots = pairs.groupBy(*by, "theirs").agg(F.count(F.lit(1)).alias("values"), F.bool_and(F.col("ours") == F.col("theirs")).alias("same"))
@@ -136,12 +141,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", cover: fl
     """
     items = materialize(windows(benchmark.select("item_id", F.col("text").alias("_item")), "_item", item=True), "items")
     lengths = sorted(r[0] for r in items.filter("whole").select("length").distinct().collect())
-    total = items.groupBy("item_id").agg(F.count_distinct("hash").alias("total"), F.max("at").alias("span"))
-    side = items.select("item_id", "hash", F.col("at").alias("_at"), F.col("slots").alias("_theirs"))
+    total = items.groupBy("item_id").agg(F.count_distinct("typed").alias("total"), F.max("at").alias("span"))
+    side = items.select("item_id", "hash", "typed", F.col("at").alias("_at"), F.col("slots").alias("_theirs"))
     length = F.aggregate("_theirs", F.lit(0), lambda n, x: n + 16 + F.coalesce(F.octet_length(x), F.lit(0)))
     side = bounded(side, 16 + F.coalesce(F.octet_length(F.col("item_id").cast("string")), F.lit(0)) + F.coalesce(length, F.lit(0)))
     diff = (F.col("at") - F.col("_at")).alias("diff")
-    met = materialize(windows(docs, text, lengths=lengths).join(side, "hash").select("_id", "_mark", "item_id", "hash", diff, F.col("slots").alias("_ours"), "_theirs"), "met")
+    met = materialize(windows(docs, text, lengths=lengths).drop("typed").join(side, "hash").select("_id", "_mark", "item_id", "typed", diff, F.col("slots").alias("_ours"), "_theirs"), "met")
     pair = ["_id", "_mark", "item_id"]
     whole = materialize(tested(met, total, pair, cover), "whole")
     torn = whole.filter("not consistent").select(*[F.col(x).alias(f"_{x}") for x in pair], "span")

@@ -12,8 +12,8 @@ carried from size to size and the rest of a source soaked up by its best fitting
 documents of the cell by hash, in chunks of ``CHUNK`` rows: a cell with a third of all rows is no single task.
 
 Defined cases: a null or blank text has size 0 and is taken 0 words; null sources form one source, ranked last; repeated
-rows are documents of their own; an empty table gives an empty result; base rates that are null or not above 0 count
-as 0 (never taken); columns of the input other than those named are ignored. Sources are compared by code point, and ordered in
+rows are documents of their own; an empty table gives an empty result; base rates that are null, no number or not above 0 count
+as 0: such documents are never taken and their words count neither for sizes nor for targets; columns of the input other than those named are ignored. Sources are compared by code point, and ordered in
 one task, a row a source.
 """
 
@@ -126,15 +126,18 @@ def entropy_balance(
     source is a cell, and a window holds the cells of one source, so base rates should be grades rather than measurements.
     """
     box = Box(docs.select("*", (F.lit(1.0) if base_rate is None else base_rate).cast("double")), [])
-    base = F.coalesce(F.greatest(F.col(f"c{len(docs.columns)}"), F.lit(0.0)), F.lit(0.0))
+    given = F.col(f"c{len(docs.columns)}")
+    base = F.when((given > 0) & ~F.isnan(given), given).otherwise(0.0)
     own = box[source].cast("string")
     key = F.when(own.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), own))
     sized = materialize(box.docs.select(box[doc_id].alias("doc_id"), own.alias("source"), key.alias("skey"), word_count(box[text].cast("string")).alias("size"), base.alias("base")), "sized")
     cells = materialize(sized.groupBy("skey", "size", "base").agg(F.count(F.lit(1)).alias("n")), "cells")
-    targets = materialize(source_targets(cells, weights, cap), "targets")
+    targets = materialize(source_targets(cells.filter("base > 0"), weights, cap), "targets")
     tilts, _ = solve_tilts(cells, targets, cap)
-    rate = F.least(F.lit(float(cap)), F.col("base") * F.exp(F.coalesce("lam", F.lit(0.0)) * F.col("size")))
-    rated = cells.join(targets, "skey").join(tilts, "skey", "left").withColumn("rate", rate)
+    # Base 0 first: 0 times a tilt beyond all doubles is no number.
+    rate = F.when(F.col("base") > 0, F.least(F.lit(float(cap)), F.col("base") * F.exp(F.coalesce("lam", F.lit(0.0)) * F.col("size")))).otherwise(0.0)
+    sums = {"source_size": F.coalesce("source_size", F.lit(0).cast("bigint")), "target": F.coalesce("target", F.lit(0.0))}
+    rated = cells.join(targets, "skey", "left").withColumns(sums).join(tilts, "skey", "left").withColumn("rate", rate)
     rounded = round_cells(rated, cap).select("skey", "size", "base", "n", "rate", "copies", "source_size", "target")
     chunks = F.greatest(F.ceil(F.col("n") / CHUNK), F.lit(1))
     mark = F.xxhash64(F.col("doc_id").cast("string"), F.lit(9))

@@ -104,7 +104,9 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     """
     box = Box(docs, keep, ["base_spans", "all_spans", "cuts"])
     whole = box[text].cast("string")
-    key = F.md5(F.concat_ws("|", F.coalesce(box[doc_id].cast("string"), F.lit("-")), F.coalesce(whole, F.lit(""))).cast("binary"))
+    own = box[doc_id].cast("string")
+    # The length of the id tells where it ends, whatever it holds.
+    key = F.md5(F.concat_ws("|", F.coalesce(F.length(own), F.lit(-1)), own, F.coalesce(whole, F.lit(""))).cast("binary"))
     spans = scan(box.docs.select(key.alias("key"), whole.alias("text")))
     linked = link(spans, scope)
     span = F.struct(*FIELDS)

@@ -104,3 +104,13 @@ def test_pipeline_of_nothing(spark, documents, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.count() == 0
+
+
+def test_verbatim_copies_in_other_lines_and_letters(spark, documents):
+    item = "The quick river runs in the old town of Springfield as of 1990 and nobody in Boston knows why it went there in 1985"
+    rows = [
+        (1, item.replace(" ", "\n")), (2, item.upper()), (3, item.lower()), (4, item.replace(" ", " \t ").replace("town", "town\r\n")), (5, item.replace(" ", " ")),
+        (6, item.upper().replace("1990", "1970").replace("TOWN", "CITY").replace("WENT", "CAME")), (7, item.replace("Springfield", "Shelbyville")), (8, item.replace("as of ", "as\nof ").replace("of Springfield", "of\nSpringfield")),
+    ]
+    got = {r["doc_id"]: (r["contaminated"], r["reparameterised"]) for r in dc.mark(documents(rows), bench(spark, [(1, item)])).collect()}
+    assert got == {i: (i != 6, i == 7) for i in range(1, 9)}

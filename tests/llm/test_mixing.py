@@ -104,3 +104,14 @@ def test_newton_takes_steps(spark):
     lam = {r["skey"]: r["lam"] for r in tilts.collect()}
     assert 2 < steps < 20 and solved([1, 10, 100, 400] * 5, 4000, 3, [1] * 20)[2] == pytest.approx(min(3, 2.718281828459045 ** (lam["a"] * 100)), rel=1e-6)
     assert lam["b"] == pytest.approx(1.0986122886681098 / 3)
+
+
+def test_documents_of_base_rate_0_are_never_taken(documents):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "w " * 900, "en", "a"), (2, "w " * 1200, "en", "a"), (3, "w " * 2, "en", "a"), (4, "w " * 3, "en", "a"), (5, "w " * 5000, "en", "b"), (6, "w " * 40, "en", "c")]
+    base = F.when(F.col("doc_id").isin(1, 5), 0.0).when(F.col("doc_id") == 2, F.lit(float("nan"))).otherwise(1.0)
+    found = {r["doc_id"]: r for r in mixing.entropy_balance(documents(rows), base_rate=base).collect()}
+    assert {i: (found[i]["rate"], found[i]["taken"]) for i in (1, 2, 5)} == {1: (0, 0), 2: (0, 0), 5: (0, 0)}
+    # Sizes and targets know the words that may be taken only; a source without any has the target 0.
+    assert [found[i]["source_size"] for i in (1, 5, 6)] == [5, 0, 40] and found[5]["target"] == 0 and found[1]["target"] == 15 and found[3]["taken"] + found[4]["taken"] == 15

@@ -83,3 +83,9 @@ def test_many_spans_and_long_secrets(documents):
     got = spans(found)
     assert got[1][0] == base(many)
     assert [x.split(":")[0] for x in got[2][1].split(",")] == ["assign", "id"] and [x.split(":")[0] for x in got[3][1].split(",")] == ["assign"]
+
+
+def test_ids_with_bars_keep_their_own_spans(spark):
+    docs = spark.createDataFrame([("a|b", "token=abcdefgh12"), ("a", "b|token=abcdefgh12"), (None, "token=abcdefgh12"), ("-", "x token=abcdefgh12"), ("", "|token=abcdefgh12")], "doc_id string, text string")
+    got = {(r["doc_id"], r["text"]): [(s["start"], s["end"]) for s in r["base_spans"]] for r in secrets.find_secrets(docs).collect()}
+    assert got == {("a|b", "token=abcdefgh12"): [(0, 16)], ("a", "b|token=abcdefgh12"): [(2, 18)], (None, "token=abcdefgh12"): [(0, 16)], ("-", "x token=abcdefgh12"): [(2, 18)], ("", "|token=abcdefgh12"): [(1, 17)]}
