@@ -47,15 +47,19 @@ END = 0
 #: Pieces of text that a worker remembers with their ids, in each of two generations, and characters that are encoded at once.
 REMEMBERED, AT_ONCE = 500_000, 2_000_000
 
+#: Before a piece that follows no space: a mark or line break, or the first word of a line.
+SIGNS = "\x00\x01"
 #: A piece that may stand between two single spaces: neither end is white space in any version of Unicode.
 _PIECE = re.compile(r"[!-~¡-ɏ](?:.*[!-~¡-ɏ])?", re.S)
+#: A mark that is a token of its own: after a letter or digit, before a space or line break.
+_MARK = re.compile(r"[.,](?=[ \n])(?<=[A-Za-z0-9].)")
 
 
 class Encoder:
     """Ids of texts, as bytes. Texts are cut where the tokenizer cuts them for certain, and each distinct piece is encoded once.
 
-    Byte-level tokenizers of the usual pattern begin a token at each single space, and between a letter and a full stop or comma. Others, and texts with
-    rarer white space, are encoded whole.
+    Byte-level tokenizers of the usual pattern begin a token at each single space, at a full stop or comma after a letter, and on both sides of a single
+    line break. With other tokenizers, and if white space is rarer, texts are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -68,7 +72,6 @@ class Encoder:
         names = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(names.values(), default=0) + 1, bool)
         self.opens[[i for name, i in names.items() if name.startswith("Ġ")]] = True
-        self.marks: dict[str, bytes] = {}
         self.new: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
 
@@ -86,51 +89,42 @@ class Encoder:
         return out
 
     def _learn(self, pieces: set[str]) -> None:
-        """Ids of ``pieces`` as they are after a space; None for those that tell nothing without what is around them."""
+        """Ids of ``pieces`` as they are after a space, or after what their sign says; None for those that tell nothing without what is around them."""
         if len(self.new) > REMEMBERED:
             self.new, self.old = {}, self.new
         new, old = self.new, self.old
         missing = pieces - new.keys()
         again = missing & old.keys()
         new.update({p: old[p] for p in again})
-        missing -= again
-        # A word at the end of a clause has the word's own ids and those of the mark.
-        ended, ask = [], set()
-        for piece in missing:
-            word = piece.rstrip(".,")
-            if 0 < len(piece) - len(word) < 4 and word[-1:].isascii() and word[-1:].isalpha() and _PIECE.match(word):
-                ended.append((piece, word, piece[len(word) :]))
-                if word not in new:
-                    ask.add(word)
+        spaced, bare = [], []
+        for piece in missing - again:
+            if piece[:1] in SIGNS:
+                if _PIECE.fullmatch(piece, 1) or piece == SIGNS[0] + "\n":
+                    bare.append(piece)
+                else:
+                    new[piece] = None
             elif _PIECE.fullmatch(piece):
-                ask.add(piece)
+                spaced.append(piece)
             else:
                 new[piece] = None
-        again = ask & old.keys()
-        new.update({p: old[p] for p in again})
-        asked = list(ask - again)
-        new.update(zip(asked, self._pieces(asked), strict=True))
-        marks = {mark for _, _, mark in ended} - self.marks.keys()
-        self.marks |= zip(marks, self.whole(list(marks)), strict=True)
-        for piece, word, mark in ended:
-            new[piece] = new[word] + self.marks[mark]
+        new.update(zip(spaced, self._pieces(spaced), strict=True))
+        new.update(zip(bare, self.whole([p[1:] for p in bare]), strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return self.whole(texts)
-        cut = [x.split(" ") for x in texts]
+        cut = [_cut(x) for x in texts]
         pieces: set[str] = set()
         for own in cut:
-            pieces.update(own[1:])
+            pieces.update(own)
+        pieces.discard(SIGNS[1])
         self._learn(pieces)
-        first = self.whole([own[0] for own in cut])
+        self.new[SIGNS[1]] = b""  # an empty text
         known, out = self.new.__getitem__, []
         odd: list[int] = []
         for i, own in enumerate(cut):
             try:
-                if len(own) > 1 and not _PIECE.fullmatch(own[0]):
-                    raise TypeError
-                out.append(first[i] + b"".join(map(known, own[1:])))
+                out.append(b"".join(map(known, own)))
             except TypeError:  # None: white space at an end of a piece, so the text may be cut wrongly
                 odd.append(i)
                 out.append(b"")
@@ -139,6 +133,16 @@ class Encoder:
         return out
 
 
+def _cut(text: str) -> list[str]:
+    """A text in pieces: those without a sign stand after a space, others don't."""
+    if SIGNS[0] in text or SIGNS[1] in text:
+        return [""]
+    made = SIGNS[1] + _MARK.sub(f" {SIGNS[0]}\\g<0>", text)
+    if "\n" in text and not any(x in text for x in ("\n\n", " \n", "\n ")) and text[0] != "\n" != text[-1]:
+        made = made.replace("\n", f" {SIGNS[0]}\n {SIGNS[1]}")
+    return made.split(" ")
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
