@@ -52,15 +52,16 @@ class Catalog:
         """Models outside of the excluded paths."""
         return self.models.filter(~is_excluded(F.col("file_path"), self.excluded))
 
-    def code(self) -> DataFrame:
-        """Kept models with ``sql``: their own code, else that of the file at their path; those without are left out."""
+    def code(self, all_models: bool = False) -> DataFrame:
+        """Kept models with ``sql``: their own code, else that of the file at their path; those without are left out, or have null."""
         rows = self.kept_models()
         own = F.nullif(F.col("raw_code"), F.lit(""))
         if self.sql_files is not None:
             files = self.sql_files.select("project_id", F.col("path").alias("file_path"), "content")
             rows = rows.join(files, ["project_id", "file_path"], "left")
             own = F.coalesce(own, F.nullif(F.col("content"), F.lit("")))
-        return rows.withColumn("sql", own).filter("sql is not null")
+        rows = rows.withColumn("sql", own)
+        return rows if all_models else rows.filter("sql is not null")
 
     def written(self, excluded: list[str] | None = None) -> Catalog:
         """A catalog of its own whose tables are written to the shared folder, so rules read them instead of making them again."""

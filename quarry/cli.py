@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from pathlib import Path
 
 from . import config as configs
+from . import session
 from .registry import RULES, rule_counts
 
 VERSION = "2"
@@ -24,29 +26,52 @@ def _config(args: argparse.Namespace) -> configs.Config:
     return configs.load(args.config, getattr(args, "project_dir", "."), set(RULES))
 
 
-def _catalog(args: argparse.Namespace):
-    from .sources import manifest
+def _place(own: configs.Config, args: argparse.Namespace) -> tuple[str, int]:
+    """Address and environment of the metadata service: of the arguments, else of the configuration."""
+    url = args.service_url or own.service.get("discovery_api_url") or own.service.get("url")
+    environment = args.environment or own.service.get("environment_id")
+    if not url or not environment:
+        raise OSError("service mode needs an address and an environment: --service-url and --environment, or the configuration")
+    return url, int(environment)
+
+
+def _catalog(args: argparse.Namespace, own: configs.Config):
+    from .sources import manifest, service_pages
+    from .sources.service import TOKEN
 
     spark = _session()
     if args.pages:
         catalog = manifest.parse_pages(spark.read.text(args.pages, wholetext=True), args.project)
+    elif args.service or (own.service.get("enabled") and not args.manifest and not args.local):
+        url, environment = _place(own, args)
+        if not os.environ.get(TOKEN):
+            raise OSError(f"set {TOKEN} to a token of the service")
+        store = args.store or session.written_to(spark, "pages")
+        catalog = manifest.with_files(service_pages.read_service(spark, url, {environment: args.project}, store, os.environ[TOKEN]), spark, args.project_dir, args.project)
     else:
         found = args.manifest or str(Path(args.project_dir) / "target" / "manifest.json")
         if not Path(found).exists():
             raise FileNotFoundError(found)
         catalog = manifest.read_project(spark, args.project_dir, found)
-    if args.changed_only:
+    if args.changed_only or own.changed_files_only:
         first = catalog.models.select("project_id").first()
         catalog.changed = manifest.changed_files(spark, args.project_dir, first[0] if first else args.project)
     return catalog
 
 
 def scan(args: argparse.Namespace) -> int:
+    from .operators import providers
     from .plans import scan as plans
     from .sources import sinks
 
     own = _config(args)
-    result = plans.scan(_catalog(args), own, [x.strip() for x in args.rules.split(",")] if args.rules else None, args.changed_only)
+    provider = None
+    if args.with_ai or own.ai.get("enabled"):
+        if not args.provider:
+            raise OSError("a review needs --provider module:function, which answers prompts")
+        provider = providers.reviewer(own.ai, args.provider)
+    caller = sinks.check_caller(os.environ) if args.annotate else None
+    result = plans.scan(_catalog(args, own), own, [x.strip() for x in args.rules.split(",")] if args.rules else None, args.changed_only or None, provider, args.answers)
     score = result.overall.first()
     kind = args.output or {".json": "json", ".sarif": "sarif"}.get(Path(args.output_file or "").suffix, "text")
     said = {"json": sinks.json_text, "sarif": sinks.sarif}[kind](result.findings) if kind != "text" else sinks.text(result.findings, score["score"] if score else 100.0)
@@ -54,6 +79,8 @@ def scan(args: argparse.Namespace) -> int:
         Path(args.output_file).write_text(said, encoding="utf-8")
     else:
         print(said)
+    if caller:
+        print(f"check run: {sinks.check_run(result.findings, 'quarry', *caller)}", file=sys.stderr)
     return plans.exit_code(result, own.fail_on, args.fail_under)
 
 
@@ -106,10 +133,10 @@ def generate(args: argparse.Namespace) -> int:
     if args.what == "reuse":
         from .plans import scan as plans
 
-        said = plans.reuse_text(_catalog(args), own)
+        said = plans.reuse_text(_catalog(args, own), own)
     else:
-        said = {"review": context.review, "context": context.project, "assistant": context.short}[args.what](own)
-    at = Path(args.file or {"review": "REVIEW.md", "context": "CONTEXT.md", "assistant": ".github/review-instructions.md", "reuse": "REUSE.md"}[args.what])
+        said = {"review": context.review, "context": context.project, "assistant": context.short, "terminal": context.terminal}[args.what](own)
+    at = Path(args.file or {"review": "REVIEW.md", "context": "CONTEXT.md", "assistant": ".github/review-instructions.md", "terminal": "ASSISTANT.md", "reuse": "REUSE.md"}[args.what])
     at.parent.mkdir(parents=True, exist_ok=True)
     at.write_text(said, encoding="utf-8")
     print(f"{at} written")
@@ -129,6 +156,11 @@ def parser() -> argparse.ArgumentParser:
             own.add_argument("--manifest", "-m")
             own.add_argument("--pages", help="folder of stored pages of a metadata service, instead of a manifest")
             own.add_argument("--project", default="project")
+            own.add_argument("--service", action="store_true", help="read the deployed environment from the metadata service")
+            own.add_argument("--local", action="store_true", help="read a manifest even if the configuration enables the service")
+            own.add_argument("--service-url")
+            own.add_argument("--environment", type=int)
+            own.add_argument("--store", help="folder that keeps pages of the service, to go on with after a failure")
             own.add_argument("--changed-only", action="store_true")
         return own
 
@@ -136,6 +168,10 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--rules", "-r", help="categories, comma-separated")
     one.add_argument("--output", "-o", choices=["json", "sarif", "text"])
     one.add_argument("--output-file")
+    one.add_argument("--with-ai", action="store_true", help="review models after the rules")
+    one.add_argument("--provider", help="module:function that answers a reviewer's instructions and a prompt")
+    one.add_argument("--answers", help="folder that keeps answers, so nothing is asked twice")
+    one.add_argument("--annotate", "--github-annotate", action="store_true", help="publish findings as a check run of the build's revision")
     one.add_argument("--fail-under", type=float)
     one = part("init", init)
     one.add_argument("path", nargs="?")
@@ -147,7 +183,7 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--url", required=True)
     one.add_argument("--account", type=int, required=True)
     one = part("generate", generate, True)
-    one.add_argument("what", choices=["review", "context", "assistant", "reuse"])
+    one.add_argument("what", choices=["review", "context", "assistant", "terminal", "reuse"])
     one.add_argument("--file")
     part("version", lambda _: print(VERSION) or 0)
     return top
@@ -159,7 +195,7 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
         return args.run(args)
-    except (FileNotFoundError, OSError) as e:
+    except (OSError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
 

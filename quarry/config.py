@@ -29,6 +29,8 @@ class Config:
 
     severity_default: str = "warning"
     fail_on: str = "error"
+    #: Report findings at changed files only, unless a scan says otherwise.
+    changed_files_only: bool = False
     exclude_paths: list[str] = field(default_factory=lambda: ["dbt_packages/", "target/"])
     rules: dict[str, dict[str, Any]] = field(default_factory=dict)
     #: Behave like the tool whose files are read where this engine knows better: governance rules off, stars as derivations.
@@ -53,13 +55,22 @@ class Config:
         return own.get(name, own.get("params", {}).get(name, default) if isinstance(own.get("params"), dict) else default)
 
 
+def _declared(raw: dict[str, Any]) -> dict[str, Any]:
+    """A declared rule under this engine's names, whichever of the two sets its author has used."""
+    names = {"name": "id", "file_glob": "glob", "key_path": "key", "description": "message"}
+    out = {names[k]: v for k, v in raw.items() if k in names} | {k: v for k, v in raw.items() if k not in names}
+    if not out.get("id") or not (out.get("key") if out.get("type") == "yaml_key_exists" else out.get("pattern")):
+        raise ValueError(f"a custom rule needs an id and a pattern, or a key if it is a yaml_key_exists: {raw}")
+    return {k: v for k, v in out.items() if v is not None}
+
+
 def from_dict(raw: dict[str, Any], known: set[str] | None = None) -> Config:
     """A config from a parsed YAML tree: categories of rules by short name. Unknown rules are warned of, not kept silent."""
     top = raw.get("global", {}) or {}
     out = Config(
         severity_default=top.get("severity_default", "warning"), fail_on=top.get("fail_on", "error"),
-        exclude_paths=top.get("exclude_paths", ["dbt_packages/", "target/"]), compat_mode=bool(raw.get("compat_mode", False)),
-        ai=raw.get("ai_review", raw.get("ai", {})) or {}, custom_rules=raw.get("custom_rules", []) or [],
+        changed_files_only=bool(top.get("changed_files_only", False)), exclude_paths=top.get("exclude_paths", ["dbt_packages/", "target/"]), compat_mode=bool(raw.get("compat_mode", False)),
+        ai=raw.get("ai_review", raw.get("ai", {})) or {}, custom_rules=[_declared(x) for x in raw.get("custom_rules", []) or []],
         project=raw.get("project", {}) or {}, service=next((raw[k] for k in raw if k == "service" or k.endswith("_cloud")), {}) or {},
     )
     for category, body in raw.items():

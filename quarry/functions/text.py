@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as Unicode has it, for patterns that are to treat a no-break space as a space.
@@ -20,16 +20,15 @@ def numbered(body: Column) -> Column:
     return F.transform(body, lambda x, i: F.struct((i + 1).alias("line_number"), x.alias("line")))
 
 
-def first_line(rows: DataFrame, hit: Callable[[Column], Column], sql: str = "sql") -> DataFrame:
-    """Rows with a line that ``hit`` holds for, with ``line_number`` and ``line`` of the first."""
-    found = rows.withColumn("_hit", F.get(F.filter(numbered(lines(F.col(sql))), lambda x: hit(x["line"])), F.lit(0)))
-    return found.filter("_hit is not null").select("*", "_hit.line_number", "_hit.line").drop("_hit")
+def first(body: Column, hit: Callable[[Column], Column]) -> Column:
+    """(line_number, line) of the first of ``numbered`` lines that ``hit`` holds for, or null."""
+    return F.get(F.filter(body, lambda x: hit(x["line"])), F.lit(0))
 
 
 def trimmed_lines(sql: Column) -> Column:
     return lines(F.regexp_replace(sql, r"^\s+|\s+\z", ""))
 
 
-def last_line(body: Column, hit: Callable[[Column], Column]) -> Column:
-    """(line_number, line) of the last line that ``hit`` holds for, or null."""
+def last(body: Column, hit: Callable[[Column], Column]) -> Column:
+    """(line_number, line) of the last of the lines that ``hit`` holds for, or null."""
     return F.try_element_at(F.filter(numbered(body), lambda x: hit(x["line"])), F.lit(-1))

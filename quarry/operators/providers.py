@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import os
 from collections.abc import Mapping
 from dataclasses import dataclass
@@ -72,8 +73,26 @@ def system_prompt(more: str = "") -> str:
     """What a reviewer is told before each model's prompt, with a team's own instructions at the end."""
     lines = [
         "You review SQL models of a data transformation project and report what makes them hard to trust or to maintain.",
-        "Answer with JSON only: a list of objects with rule_id, severity (error, warning or info), message, suggestion and line_number; [] if nothing is wrong.",
+        'Answer with JSON only: {"violations": [...]}, each with rule_id, severity (error, warning or info), message, suggestion and line_number; an empty list if nothing is wrong.',
         "Rule ids:", *[f"- {k}: {v}" for k, v in FOUND.items()],
         "Use error for what is wrong or misleading, warning for what should be mended, info for what could be better. Quote the SQL you mean. Report nothing that is not there.",
     ]
     return "\n".join(lines) + (f"\n\nOf this team:\n{more.strip()}\n" if more and more.strip() else "\n")
+
+
+@dataclass(frozen=True)
+class Named:
+    """A provider that executors find by name, ``module:function``; the function gets what the reviewer is told and the model's prompt."""
+
+    path: str
+    told: str = ""
+
+    def __call__(self, prompt: str):
+        module, _, name = self.path.partition(":")
+        return getattr(importlib.import_module(module), name)(self.told, prompt)
+
+
+def reviewer(ai: Mapping[str, Any], path: str, environ: Mapping[str, str] = os.environ) -> Named:
+    """The provider of a scan: keys of all enabled providers must be set."""
+    required_keys(ai, environ)
+    return Named(path, system_prompt(ai.get("additional_instructions", "")))

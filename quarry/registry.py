@@ -1,9 +1,10 @@
-"""The register of rules: each is a function of a catalog and its settings that returns a plan."""
+"""The register of rules: each is a function of a catalog and its settings that returns a check of rows, or a plan of its own."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -28,30 +29,85 @@ class Settings:
 
 
 
+#: A column, or one made of an element of an array.
+Part = Column | Callable[[Column], Column]
+
+
+@dataclass(frozen=True)
+class Check:
+    """A rule as a test of each row of a base table, from which a plan of its own or one projection for many rules is made (see ``operators.fused``).
+
+    ``hit`` tells the rows that fail. With ``each``, an array, every element is a finding and the other parts may be functions of it. ``needs`` names side tables
+    (see ``side``); ``probe`` gives a source and a table, in lower case, that make a finding only if the project does not define them.
+    """
+
+    hit: Column
+    message: Part
+    suggestion: Part | str = ""
+    base: str = "models"
+    needs: tuple[str, ...] = ()
+    line: Part | None = None
+    each: Column | None = None
+    probe: Callable[[Column], tuple[Column, Column]] | None = None
+
+
+@dataclass(frozen=True)
+class Side:
+    """A table with at most a row for each row of a base table, joined to it on ``keys``."""
+
+    base: str
+    keys: tuple[str, ...]
+    build: Callable[[Catalog], DataFrame]
+
+
+SIDES: dict[str, Side] = {}
+
+
+def side(name: str, base: str = "models", keys: tuple[str, ...] = ("project_id", "model_id")) -> Callable:
+    def keep(build: Callable[[Catalog], DataFrame]) -> Callable:
+        SIDES[name] = Side(base, keys, build)
+        return build
+
+    return keep
+
+
 @dataclass(frozen=True)
 class Rule:
     rule_id: str
     category: str
     description: str
     default_severity: str
-    build: Callable[[Catalog, Settings], DataFrame]
+    build: Callable[[Catalog, Settings], Check | DataFrame]
 
     def evaluate(self, catalog: Catalog, config: Config) -> DataFrame:
         """Findings of this rule, with the severity that the configuration gives it."""
-        rows = self.build(catalog, Settings(config, self.rule_id))
-        made = {"rule_id": F.lit(self.rule_id), "severity": F.lit(config.severity(self.rule_id))}
-        if "line_number" not in rows.columns:
-            made["line_number"] = F.lit(None).cast("int")
-        if "suggestion" not in rows.columns:
-            made["suggestion"] = F.lit(None).cast("string")
-        return rows.withColumns(made).select(*FINDINGS)
+        return evaluate(catalog, config, [self])
+
+
+def evaluate(catalog: Catalog, config: Config, rules: list[Rule], more: dict[str, Check | DataFrame] | None = None) -> DataFrame:
+    """Findings of ``rules``, and of ``more`` by rule id: those that are checks share one projection of each base table, the others are plans of their own."""
+    from .operators import fused
+
+    made = {r.rule_id: r.build(catalog, Settings(config, r.rule_id)) for r in rules} | (more or {})
+    checks = {k: v for k, v in made.items() if isinstance(v, Check)}
+    plans = fused.findings(catalog, checks, config) if checks else []
+    return reduce(DataFrame.unionByName, plans + [_plain(k, v, config) for k, v in made.items() if k not in checks])
+
+
+def _plain(rule_id: str, rows: DataFrame, config: Config) -> DataFrame:
+    own = {"rule_id": F.lit(rule_id), "severity": F.lit(config.severity(rule_id))}
+    if "line_number" not in rows.columns:
+        own["line_number"] = F.lit(None).cast("int")
+    if "suggestion" not in rows.columns:
+        own["suggestion"] = F.lit(None).cast("string")
+    return rows.withColumns(own).select(*FINDINGS)
 
 
 RULES: dict[str, Rule] = {}
 
 
 def rule(rule_id: str, description: str, severity: str = "warning") -> Callable:
-    def keep(build: Callable[[Catalog, Settings], DataFrame]) -> Callable:
+    def keep(build: Callable[[Catalog, Settings], Check | DataFrame]) -> Callable:
         RULES[rule_id] = Rule(rule_id, rule_id.split(".")[0], description, severity, build)
         return build
 

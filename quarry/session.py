@@ -46,6 +46,27 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     return made
 
 
+class appended:  # noqa: N801
+    """A table that grows by rows appended to one folder, so all of it is one scan however many rounds there were."""
+
+    def __init__(self, first: DataFrame, name: str) -> None:
+        self.path, self.schema, self.parts = written_to(first.sparkSession, name), first.schema, 0
+        self.spark = first.sparkSession
+        self.add(first)
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Writes ``rows`` and gives them back as they are read."""
+        rows.write.parquet(f"{self.path}/part={self.parts}")
+        self.parts += 1
+        return self.last()
+
+    def last(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/part={self.parts - 1}")
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/part={i}" for i in range(self.parts)])
+
+
 #: Folders of the tables that ``materialize`` has returned and that are still in use.
 _WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 

@@ -55,3 +55,9 @@ def short(config: Config) -> str:
     """The checklist within LONGEST characters, for readers that take in no more."""
     whole = "\n".join([f"# {_title(config)}: how changes are reviewed", "", "Errors block a change; warnings are comments.", "", *_checks(config), *_scope(config)])
     return whole if len(whole) <= LONGEST else whole[:CUT].rsplit("\n", 1)[0] + "\n\n(Cut to 4,000 characters; the review checklist has all.)\n"
+
+
+def terminal(config: Config) -> str:
+    """For assistants that work in a terminal: the project, and how to check a change before it is handed over."""
+    how = ["", "## Before a change is handed over", "", "- Run `python -m quarry.cli scan --changed-only` and mend its errors; say which warnings stay, and why.", "- Do not switch a rule off to pass.", ""]
+    return project(config) + "\n".join(how)

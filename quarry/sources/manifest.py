@@ -84,11 +84,8 @@ def overlay(models: DataFrame, files: DataFrame) -> DataFrame:
     return models.join(side, ["project_id", "file_path"], "left").withColumn("raw_code", code).drop("content")
 
 
-def read_project(spark: SparkSession, root: str, manifest: str) -> Catalog:
-    """A checked-out project: its manifest, with SQL and YAML files from disk."""
-    out = read_manifests(spark, manifest)
-    name = out.models.select("project_id").first()
-    project = name[0] if name else ""
+def with_files(out: Catalog, spark: SparkSession, root: str, project: str) -> Catalog:
+    """``out`` with the SQL and YAML files of a checkout, if there is one; SQL files take the place of stored code."""
     if (Path(root) / "models").is_dir():
         out.sql_files = read_files(spark, root, project)
         out.yaml_files = read_files(spark, root, project, (".yml", ".yaml")).filter(F.col("content").rlike(r"(?m)^(?!\s*(?:#|---\s*$))\s*\S")).select("project_id", "path", "content")
@@ -96,6 +93,13 @@ def read_project(spark: SparkSession, root: str, manifest: str) -> Catalog:
     return out
 
 
+def read_project(spark: SparkSession, root: str, manifest: str) -> Catalog:
+    """A checked-out project: its manifest, with SQL and YAML files from disk."""
+    out = read_manifests(spark, manifest)
+    name = out.models.select("project_id").first()
+    return with_files(out, spark, root, name[0] if name else "")
+
+
 #: Variables in which a build says what a change is to be merged into; the first is this engine's own.
 BASE_VARIABLES = ["QUARRY_BASE_REF", "GITHUB_BASE_REF", "CI_MERGE_REQUEST_TARGET_BRANCH_NAME"]
 
@@ -132,16 +136,17 @@ PAGE = """STRUCT<environment: STRUCT<applied: STRUCT<
  lineage: ARRAY<STRUCT<uniqueId: STRING, parentIds: ARRAY<STRING>>>>>>"""
 
 
-def parse_pages(raw: DataFrame, project_id: str, text: str = "value") -> Catalog:
-    """A catalog from stored pages of a metadata service, one JSON page a row. Config is never part of a page.
+def parse_pages(raw: DataFrame, project_id: str | Column, text: str = "value") -> Catalog:
+    """A catalog from stored pages of a metadata service, one JSON page a row; ``project_id`` may be a column of ``raw``. Config is never part of a page.
 
     Dependencies are the direct parents that the lineage gives, not ancestors.
     """
-    pages = raw.select(F.monotonically_increasing_id().alias("page"), F.from_json(text, F.lit(PAGE))["environment"]["applied"].alias("p"))
-    project = F.lit(project_id).alias("project_id")
+    own_project = project_id if isinstance(project_id, Column) else F.lit(project_id)
+    pages = raw.select(own_project.alias("project_id"), F.monotonically_increasing_id().alias("page"), F.from_json(text, F.lit(PAGE))["environment"]["applied"].alias("p"))
+    project = F.col("project_id")
 
     def nodes(field: str) -> DataFrame:
-        return pages.select("page", F.posexplode(f"p.{field}.edges").alias("at", "e")).select((F.col("page") * 100_000 + F.col("at")).alias("idx"), F.col("e.node").alias("v"))
+        return pages.select("project_id", "page", F.posexplode(f"p.{field}.edges").alias("at", "e")).select("project_id", (F.col("page") * 100_000 + F.col("at")).alias("idx"), F.col("e.node").alias("v"))
 
     own = nodes("models")
     path = F.coalesce("v.filePath", F.lit(""))
@@ -151,7 +156,7 @@ def parse_pages(raw: DataFrame, project_id: str, text: str = "value") -> Catalog
         F.coalesce("v.contractEnforced", F.lit(False)).alias("contract_enforced"), F.col("v.access").alias("access"), F.col("v.group").alias("grp"), F.coalesce("v.tags", F.array().cast("array<string>")).alias("tags"), "v.meta", none.alias("config"), F.coalesce("v.rawCode", F.lit("")).alias("raw_code"), F.col("v.compiledCode").alias("compiled_code"))
     columns = own.select(project, F.col("v.uniqueId").alias("model_id"), F.posexplode("v.catalog.columns").alias("pos", "c")).select("project_id", "model_id", F.col("pos").cast("long").alias("pos"), "c.name", F.coalesce("c.description", F.lit("")).alias("description"), F.col("c.type").alias("data_type"))
     tests = own.select(project, F.col("v.uniqueId").alias("model_id"), F.explode("v.tests").alias("t")).select("project_id", "model_id", F.concat(F.lit("test."), "t.name").alias("test_id"), "t.name", F.col("t.columnName").alias("column_name"), F.lit(None).cast("string").alias("test_type"))
-    lineage = pages.select(F.explode("p.lineage").alias("l")).select(F.col("l.uniqueId").alias("child_id"), F.posexplode("l.parentIds").alias("pos", "parent_id")).dropDuplicates(["child_id", "parent_id"])
+    lineage = pages.select("project_id", F.explode("p.lineage").alias("l")).select("project_id", F.col("l.uniqueId").alias("child_id"), F.posexplode("l.parentIds").alias("pos", "parent_id")).dropDuplicates(["project_id", "child_id", "parent_id"])
     edges = lineage.filter("child_id like 'model.%' and (parent_id like 'model.%' or parent_id like 'source.%')").select(project, "child_id", "parent_id", F.col("pos").cast("long").alias("pos"), F.substring_index("parent_id", ".", 1).alias("parent_kind"))
     sources = nodes("sources").select(
         project, F.col("v.uniqueId").alias("source_id"), "idx", F.col("v.sourceName").alias("source_name"), F.col("v.name").alias("name"), F.coalesce("v.description", F.lit("")).alias("description"), F.coalesce("v.schema", F.lit("")).alias("schema_name"), F.col("v.database").alias("database"),

@@ -1,7 +1,6 @@
 """Clients of a metadata service: pages of a GraphQL api, and the plain api of its administration.
 
-The transport is a function, so tests and other libraries can take its place. Pages are kept as JSON text and become a catalog by
-``manifest.parse_pages``; what arrives is as large as a project's metadata, and a page is in memory at a time.
+The transport is a function, so tests and other libraries can take its place. ``service_pages`` reads pages on the executors.
 """
 
 from __future__ import annotations
@@ -14,12 +13,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import Catalog
-from .manifest import parse_pages
-
 #: Status and body of an answer to (method, url, headers, body).
 Transport = Callable[[str, str, dict[str, str], bytes | None], tuple[int, bytes]]
 TRIES, SECONDS, PAGE_SIZE = 3, 30.0, 500
@@ -79,26 +75,18 @@ class Service:
             raise ServiceError(f"errors: {found['errors']}")
         return found.get("data") or {}
 
-    def pages(self, url: str, environment: int, resource: str) -> Iterator[dict]:
-        """Pages of a resource, following the cursor."""
+    def pages(self, url: str, environment: int, resource: str, after: str | None = None) -> Iterator[tuple[dict, str | None]]:
+        """Pages of a resource, following the cursor from ``after`` on, each with the cursor of the next; None says that it was the last."""
         query = f"query ($environmentId: BigInt!, $first: Int!, $after: String) {{ environment(id: $environmentId) {{ applied {{ {resource}(first: $first, after: $after) {{ edges {{ node {{ {FIELDS[resource]} }} }} pageInfo {{ hasNextPage endCursor }} }} }} }} }}"
-        after = None
         while True:
             page = self.graphql(url, query, {"environmentId": environment, "first": PAGE_SIZE} | ({"after": after} if after else {}))
-            yield page
             info = (((page.get("environment") or {}).get("applied") or {}).get(resource) or {}).get("pageInfo") or {}
-            after = info.get("endCursor")
-            if not info.get("hasNextPage") or not after:
+            after = info.get("endCursor") if info.get("hasNextPage") else None
+            yield page, after or None
+            if not after:
                 return
 
 
-def read_service(spark: SparkSession, service: Service, url: str, environment: int, project_id: str) -> Catalog:
-    """The catalog of a deployed environment."""
-    pages = [json.dumps(p) for resource in FIELDS for p in service.pages(url, environment, resource)]
-    pages.append(json.dumps(service.graphql(url, LINEAGE, {"environmentId": environment})))
-    return parse_pages(spark.createDataFrame([(p,) for p in pages], "value string"), project_id)
-
-
 @dataclass
 class Admin:
     """Projects, environments, jobs, runs and their artifacts."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.ranks import numbered
 from ..registry import RULES
 from ..session import materialize
+from .service import Service, Transport, plain_transport
 
 BATCH, LONGEST = 50, 65_000
 
@@ -125,6 +126,16 @@ def check_run(findings: DataFrame, name: str, revision: str, call: Callable[[str
     return made.get("html_url")
 
 
+def check_caller(environ: Mapping[str, str], transport: Transport = plain_transport) -> tuple[str, Callable[[str, str, dict], dict]]:
+    """Revision and ``call`` of ``check_run`` as a build's environment tells them; an error names what is not set."""
+    missing = [v for v in ("GITHUB_TOKEN", "GITHUB_REPOSITORY", "GITHUB_SHA") if not environ.get(v)]
+    if missing:
+        raise OSError(f"set {', '.join(missing)} to publish a check run")
+    base = f"{environ.get('GITHUB_API_URL', 'https://api.github.com').rstrip('/')}/repos/{repository(environ['GITHUB_REPOSITORY'])}"
+    service = Service(environ["GITHUB_TOKEN"], transport)
+    return environ["GITHUB_SHA"], lambda method, path, body: service.ask(method, f"{base}/{path}", body)
+
+
 def band(score: float) -> str:
     return "excellent" if score >= 90 else "good" if score >= 75 else "fair" if score >= 60 else "poor"
 
