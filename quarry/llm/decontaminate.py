@@ -52,15 +52,15 @@ NUMBER, NAME, UNIT = "0", "@", "%"
 ALONE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
 #: Possessive, as a group that can give back recurses once for each turn in the matcher of the JVM.
 TOKEN = rf"@?[a-zA-Z[[\p{{L}}\p{{M}}]&&[^{ALONE}]]]++|[[{ALONE}]&&[\p{{L}}]]\p{{M}}*+|[0-9]++(?:[.,:/][0-9]++)*+"
-#: Runs of white space, and other white space than a space.
-BLANKS = r"(?U)\s{2,}+|[^\S ]"
+#: White space other than a space.
+BLANKS = "\t\n\x0b\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Before a capitalised word that follows a word or a comma, not the end of a sentence.
-NAMED = r"(?<=[\p{L}\p{N},;:] )(?=\p{Lu}\p{Ll})"
+NAMED = r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;:] )"
 
 
 def tokens(text: Column) -> Column:
     """Words and numbers of a text; names start with ``@``."""
-    bare = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "@", " "), BLANKS, " ")
+    bare = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "@" + BLANKS, " " * (len(BLANKS) + 1)), "  ++", " ")
     return F.regexp_extract_all(F.regexp_replace(bare, NAMED, NAME), F.lit(TOKEN), F.lit(0))
 
 
@@ -96,7 +96,12 @@ def windows(rows: DataFrame, text: str, item: bool = False, lengths: Sequence[in
         at = F.filter(at, lambda i: F.size(F.filter(own(i), lambda x: ~is_slot(x))) >= LEAST_WORDS)
     made = F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(own(i)).alias("hash"), values(i).alias("slots"), F.lit(WINDOW).alias("length"), F.lit(False).alias("whole"), F.xxhash64(own(i)).alias("typed")))
     slotted = slotted.withColumn("_plain", F.when(F.col("_slots").isNotNull() | F.lit(item or bool(lengths)), F.transform("_raw", lambda x: F.lower(F.ltrim(x, F.lit(NAME))))))
-    with_slots = F.filter(at, lambda i: F.exists(F.slice("_slots", i, WINDOW), lambda x: x.isNotNull()))
+    # Windows around the slots only, as most have none.
+    last = F.size("_typed") - WINDOW + 1
+    around = lambda i: F.sequence(F.greatest(i - WINDOW + 1, F.lit(1)), F.least(i, last))
+    slots = F.filter(F.sequence(F.lit(1), F.size("_slots")), lambda i: F.get("_slots", i - 1).isNotNull())
+    with_slots = F.when(last > 0, F.array_distinct(F.flatten(F.transform(slots, around)))).otherwise(F.array().cast("array<int>"))
+    with_slots = F.array_intersect(with_slots, at) if item else with_slots
     plain = F.transform(with_slots, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("_plain", i, WINDOW)).alias("hash"), F.lit(None).cast("array<string>").alias("slots"), F.lit(WINDOW).alias("length"), F.lit(False).alias("whole"), F.xxhash64(own(i)).alias("typed")))
     made = F.when(F.col("_slots").isNotNull(), F.concat(made, plain)).otherwise(made)
     if item:
