@@ -79,6 +79,7 @@ def test_checks_share_one_projection(spark):
     scans = [x for x in together._jdf.queryExecution().sparkPlan().toString().splitlines() if "FileScan" in x]
     assert sum("raw_code" in x for x in scans) == 1  # one scan carries SQL, the others a few columns for side tables
     assert len(scans) < 30 < len(rules)
+    together = together.cache()
     some = [r for r in rules if r.rule_id in ("structure.no_cross_layer_skipping", "migration.missing_source_definition", "testing.column_test_coverage", "testing.staging_freshness_required", "style.cte_pattern")]
     for r in some:
         alone = r.evaluate(catalog, own)
