@@ -4,10 +4,12 @@
 2. Per host, paths become templates: segments that are variable by form (numbers, dates, long hex) turn into ``*``, then, level by
    level, the children of a node turn into ``*`` if they are many for the distinct paths below it; repeats of a url change nothing.
 3. Branches of a host with the same shape merge if their shares of blocked labels do not differ from the pooled share by
-   more than ``Z`` standard errors. A branch without labels joins the merged ones of its shape if the mean length of its paths
-   does not differ from theirs by more than ``Z`` standard errors; else it takes the labels below its nearest node that has any.
-4. A template is rejected if its smoothed purity, (blocked + prior * M) / (labelled + M), reaches ``PURITY`` and what it has
-   merged with, or takes, has at least ``LEAST`` labels. Labels are those given, by default the urls that a rule decides.
+   more than ``Z`` standard errors. A branch without labels joins the merged ones of its shape if they are ``AGREE`` or more and the mean length of its paths
+   does not differ from theirs by more than ``Z`` standard errors.
+4. Purity is smoothed level by level: a node's is (blocked + M * that of its parent) / (labelled + M), the root's parent has the share of all labels. A template's own labels,
+   or those it has joined, are smoothed by its parent node in the same way. It is rejected if its purity reaches ``PURITY`` and these labels are ``LEAST`` or more.
+5. A template that has no labels and has joined none has the purity of the nearest node with any. That alone rejects it only if ``AGREE`` templates or more below that node have labels, all of them pure:
+   one bad branch says nothing of its neighbours. Labels are those given, by default the urls that a rule decides.
 
 Counts are grouped sums of (host, template); no task reads the rows of a host together, and at most AT_ONCE distinct paths of a node.
 
@@ -43,6 +45,8 @@ MANY, VARIED = 20, 0.2
 #: Distinct paths below a node that one task generalises to the end; nodes with more go down a level a round.
 AT_ONCE = 50_000
 M, PURITY, LEAST, Z = 5.0, 0.8, 5, 1.96
+#: Labelled templates that must agree before they speak for one without labels.
+AGREE = 3
 #: Forms of segments that vary from page to page. Possessive, as other groups recurse in the matcher of the JVM.
 VARIABLE = r"^(?:[0-9]+|[0-9]{4}-[0-9]{2}(?:-[0-9]{2})?|[0-9a-fA-F]{12,}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4,12}+)++|[A-Za-z_-]*[0-9]{3,}[A-Za-z0-9_-]*)(?:\.[A-Za-z0-9]{1,5})?$"
 
@@ -148,24 +152,11 @@ def prefixes(templates: DataFrame) -> DataFrame:
     return templates.select("host", "tid", "made").mapInArrow(work, "host string, tid string, depth int, node bigint")
 
 
-def inherited(rows: DataFrame, sums: DataFrame) -> DataFrame:
-    """(host, tid, b, l) of templates without labels: labels of the like branches, else those below the nearest node with any."""
-    bare = rows.filter("labelled = 0")
-    squares = F.col("squares") - F.col("chars") * F.col("chars") / F.col("n") + F.col("_squares") - F.col("_chars") * F.col("_chars") / F.col("_n")
-    error = F.sqrt(F.greatest(squares, F.lit(0.0)) / F.greatest(F.col("n") + F.col("_n") - 2, F.lit(1)) * (1 / F.col("n") + 1 / F.col("_n")))
-    alike = F.abs(F.col("chars") / F.col("n") - F.col("_chars") / F.col("_n")) <= Z * error + 1e-9
-    near = materialize(bare.join(sums.filter("branch = 'merged'"), ["host", "shape"]).filter(alike).select("host", "tid", "b", "l"), "near")
-    nodes = materialize(prefixes(rows.select("host", "tid", "made")), "prefixes").join(rows.select("host", "tid", "blocked", "labelled"), ["host", "tid"])
-    below = nodes.filter("labelled > 0").groupBy("host", "node").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
-    left = nodes.filter("labelled = 0").select("host", "tid", "depth", "node").join(near, ["host", "tid"], "left_anti").join(below, ["host", "node"])
-    backed = left.groupBy("host", "tid").agg(F.max(F.struct("depth", "b", "l")).alias("taken"))
-    return near.unionByName(backed.select("host", "tid", "taken.b", "taken.l"))
-
-
 def judge(templates: DataFrame) -> DataFrame:
     """host, tid, labels, purity and reject of ``templates`` (host, tid, made, n, chars, squares, blocked, allowed), after like branches have merged.
 
-    ``chars`` and ``squares`` are sums of path lengths and of their squares; ``tid`` tells the templates of a host apart.
+    ``chars`` and ``squares`` are sums of path lengths and of their squares; ``tid`` tells the templates of a host apart. What is joined by host is written first, so that Spark can
+    split hosts of many templates.
     """
     shape = F.md5(F.array_join(F.transform("made", lambda x: F.when(x == "*", x).otherwise(F.lit("w"))), "/").cast("binary"))
     rows = materialize(templates.withColumn("shape", shape).withColumn("labelled", F.col("blocked") + F.col("allowed")), "templates")
@@ -174,12 +165,34 @@ def judge(templates: DataFrame) -> DataFrame:
     error = F.sqrt(F.col("share") * (1 - F.col("share")) / F.col("labelled"))
     tested = labelled.join(pooled, ["host", "shape"]).withColumn("alike", F.abs(F.col("blocked") / F.col("labelled") - F.col("share")) <= Z * error + 1e-12)
     merged = tested.withColumn("branch", F.when(F.col("alike"), F.lit("merged")).otherwise(F.col("tid")))
-    prior = rows.agg((F.coalesce(F.sum("blocked") / F.nullif(F.sum("labelled"), F.lit(0)), F.lit(0.0))).alias("prior"))
-    sums = merged.groupBy("host", "shape", "branch").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"), *[F.sum(c).alias(f"_{c}") for c in ("n", "chars", "squares")])
+    sums = merged.groupBy("host", "shape", "branch").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"), F.count(F.lit(1)).alias("branches"), *[F.sum(c).alias(f"_{c}") for c in ("n", "chars", "squares")])
+    sums = materialize(sums, "branches")
     own = merged.join(sums, ["host", "shape", "branch"]).select("host", "tid", "b", "l")
-    scored = own.unionByName(inherited(rows, sums)).join(F.broadcast(prior), how="cross")  # one row
-    purity = (F.col("b") + F.col("prior") * M) / (F.col("l") + M)
-    return scored.select("host", "tid", F.col("l").alias("labels"), purity.alias("purity"), ((purity >= PURITY) & (F.col("l") >= LEAST)).alias("reject"))
+    own = materialize(own.unionByName(joined(rows, sums)), "labels")
+    prior = rows.agg((F.coalesce(F.sum("blocked") / F.nullif(F.sum("labelled"), F.lit(0)), F.lit(0.0))).alias("prior"))
+
+    nodes = prefixes(rows.select("host", "tid", "made")).join(rows.select("host", "tid", F.size("made").alias("depth_of"), "blocked", "labelled"), ["host", "tid"])
+    nodes = materialize(nodes.join(own, ["host", "tid"], "left"), "nodes")
+    pure = (F.col("b") >= PURITY * F.col("l")).cast("int")
+    below = nodes.filter("labelled > 0").groupBy("host", "node").agg(F.sum("blocked").alias("nb"), F.sum("labelled").alias("nl"), F.count(F.lit(1)).alias("templates"), F.sum(pure).alias("pure"))
+    below = materialize(below, "below")
+    way = nodes.join(below, ["host", "node"]).groupBy("host", "tid", "depth_of", "b", "l").agg(F.array_sort(F.collect_list(F.struct("depth", "nb", "nl", "templates", "pure"))).alias("way"))
+    way = way.join(F.broadcast(prior), how="cross")  # one row
+    smoothed = lambda x, until: F.aggregate(F.filter(x, lambda v: v["depth"] < until), F.col("prior"), lambda p, v: (v["nb"] + p * M) / (v["nl"] + M))
+    last = F.element_at("way", -1)
+    agreed = F.when((last["templates"] >= AGREE) & (last["pure"] == last["templates"]), last["nl"]).otherwise(F.lit(0))
+    purity = F.when(F.col("l").isNull(), smoothed("way", F.col("depth_of") + 1)).otherwise((F.col("b") + smoothed("way", F.col("depth_of")) * M) / (F.col("l") + M))
+    found = way.select("host", "tid", F.coalesce("l", agreed).alias("labels"), purity.alias("purity"))
+    return found.withColumn("reject", (F.col("purity") >= PURITY) & (F.col("labels") >= LEAST))
+
+
+def joined(rows: DataFrame, sums: DataFrame) -> DataFrame:
+    """(host, tid, b, l) of templates without labels that are like the merged branches of their shape."""
+    bare = rows.filter("labelled = 0")
+    squares = F.col("squares") - F.col("chars") * F.col("chars") / F.col("n") + F.col("_squares") - F.col("_chars") * F.col("_chars") / F.col("_n")
+    error = F.sqrt(F.greatest(squares, F.lit(0.0)) / F.greatest(F.col("n") + F.col("_n") - 2, F.lit(1)) * (1 / F.col("n") + 1 / F.col("_n")))
+    alike = F.abs(F.col("chars") / F.col("n") - F.col("_chars") / F.col("_n")) <= Z * error + 1e-9
+    return bare.join(sums.filter((F.col("branch") == "merged") & (F.col("branches") >= AGREE)), ["host", "shape"]).filter(alike).select("host", "tid", "b", "l")
 
 
 def filter_urls(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, label: str | None = None) -> DataFrame:

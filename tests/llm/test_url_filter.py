@@ -34,12 +34,13 @@ def test_branches_without_labels_take_those_of_like_branches(spark):
     from pyspark.sql import functions as F
 
     urls, want = [], []
+    three = ("/en/{}", "/de/{}", "/es/{}")
     for host, known, new, verdict in (
-        ("bad.xyz", "/en/{}", "/fr/{}", "block"), ("bad.xyz", "/en/{}", "/fr/a-much-longer-name-{}/x/y", "block"), ("good.xyz", "/en/{}", "/fr/{}", "allow"), ("none.xyz", None, "/fr/{}", "allow"),
+        ("bad.xyz", three, "/fr/{}", "block"), ("bad.xyz", three, "/fr/a-much-longer-name-{}/x/y", "block"), ("good.xyz", three, "/fr/{}", "allow"), ("none.xyz", (), "/fr/{}", "allow"), ("lone.xyz", three[:1], "/fr/{}", "allow"),
     ):
-        for of, label in ((known, "allow" if host == "good.xyz" else "block"), (new, None)):
-            urls += [(f"http://{host}{of.format(1000 + i)}", label) for i in range(20) if of]
-            want += [label or verdict for _ in range(20) if of]
+        for of, label in [*((k, "allow" if host == "good.xyz" else "block") for k in known), (new, None)]:
+            urls += [(f"http://{host}{of.format(1000 + i)}", label) for i in range(20)]
+            want += [label or verdict for _ in range(20)]
     # Half of the labels below the host's root say otherwise, so a branch of another shape is not rejected.
     urls += [(f"http://mixed.xyz/{a}/{i}", b) for a, b in (("en", "block"), ("de", "allow")) for i in range(1000, 1020)] + [("http://mixed.xyz/fr/x/y/1000", None)]
     want += ["block"] * 20 + ["allow"] * 21
@@ -79,7 +80,7 @@ def tree(paths, depth=0):
 
 
 def verdicts(templates, counts):
-    """Purity of each template, in plain loops. counts: template -> [lengths], blocked, allowed."""
+    """Purity of each template and whether it is rejected, in plain loops. counts: template -> [lengths], blocked, allowed."""
     shape = lambda t: tuple(x if x == "*" else "w" for x in t)
     all_b, all_l = sum(b for _, b, _ in counts.values()), sum(b + a for _, b, a in counts.values())
     prior = all_b / all_l if all_l else 0.0
@@ -98,23 +99,34 @@ def verdicts(templates, counts):
         for t in merged.get(s, []):
             own[t] = (sum(counts[x][1] for x in merged[s]), sum(counts[x][1] + counts[x][2] for x in merged[s]))
     for t in templates:
-        if t in own:
-            continue
         s, mine = shape(t), counts[t][0]
-        if s in merged:
+        if t not in own and len(merged.get(s, [])) >= uf.AGREE:
             theirs = [x for m in merged[s] for x in counts[m][0]]
             mean = lambda x: sum(x) / len(x)
             spread = sum((x - mean(mine)) ** 2 for x in mine) + sum((x - mean(theirs)) ** 2 for x in theirs)
             error = (spread / max(len(mine) + len(theirs) - 2, 1) * (1 / len(mine) + 1 / len(theirs))) ** 0.5
             if abs(mean(mine) - mean(theirs)) <= uf.Z * error + 1e-6:
                 own[t] = (sum(counts[x][1] for x in merged[s]), sum(counts[x][1] + counts[x][2] for x in merged[s]))
-                continue
-        for k in range(len(t), -1, -1):
-            near = [x for x in templates if x[:k] == t[:k] and counts[x][1] + counts[x][2]]
+    below = lambda way: [x for x in templates if x[: len(way)] == way and counts[x][1] + counts[x][2]]
+
+    def smoothed(way, levels):
+        p = prior
+        for k in range(levels):
+            near = below(way[:k])
             if near:
-                own[t] = (sum(counts[x][1] for x in near), sum(counts[x][1] + counts[x][2] for x in near))
-                break
-    return {t: (b + prior * uf.M) / (n + uf.M) for t, (b, n) in own.items()}
+                p = (sum(counts[x][1] for x in near) + p * uf.M) / (sum(counts[x][1] + counts[x][2] for x in near) + uf.M)
+        return p
+
+    out = {}
+    for t in templates:
+        if t in own:
+            b, n = own[t]
+            out[t] = ((b + smoothed(t, len(t)) * uf.M) / (n + uf.M), n)
+            continue
+        near = next((x for x in (below(t[:k]) for k in range(len(t), -1, -1)) if x), [])
+        sure = len(near) >= uf.AGREE and all(own[x][0] >= uf.PURITY * own[x][1] for x in near)
+        out[t] = (smoothed(t, len(t) + 1), sum(counts[x][1] + counts[x][2] for x in near) if sure else 0)
+    return {t: (p, p >= uf.PURITY and n >= uf.LEAST) for t, (p, n) in out.items()}
 
 
 def test_tree_and_purity_agree_with_recursion(spark, monkeypatch):
@@ -151,7 +163,7 @@ def test_tree_and_purity_agree_with_recursion(spark, monkeypatch):
         for i, u, _ in rows:
             t = made[cut(u)]
             assert got[i]["template"] == "/" + "/".join(t), u
-            assert abs(got[i]["purity"] - want[t]) < 1e-9, u
+            assert abs(got[i]["purity"] - want[t][0]) < 1e-9 and (got[i]["verdict"] == "block") == want[t][1], u
     assert len({r["verdict"] for r in got.values()}) == 2
 
 
@@ -160,3 +172,16 @@ def test_repeats_change_no_template(spark):
     once = {r["url"]: r["template"] for r in uf.filter_urls(pages(spark, urls)).collect()}
     often = {r["url"]: r["template"] for r in uf.filter_urls(pages(spark, urls * 7)).collect()}
     assert once == often and set(once.values()) == {f"/user/*/{c}" for c in "xyz"}
+
+
+def test_one_bad_branch_says_nothing_of_its_neighbours(spark):
+    lone = [(f"http://a.shop.com/en/{i}", "block") for i in range(6)] + [(u, None) for u in ("http://a.shop.com/", "http://a.shop.com/fr/about", "http://a.shop.com/docs/x/y", "http://a.shop.com/fr/77")]
+    many = [(f"http://b.shop.com/{x}/{i}", "block") for x in ("en", "fr", "de") for i in range(6)] + [(u, None) for u in ("http://b.shop.com/es/1", "http://b.shop.com/es/2", "http://b.shop.com/")]
+    split = [(f"http://c.shop.com/{x}/{i}", "block" if x == "bad" else "allow") for x in ("bad", "good", "fine") for i in range(9)] + [("http://c.shop.com/bad/x/y", None), ("http://c.shop.com/bad/new", None), ("http://c.shop.com/good/new", None)]
+    rows = [(i, u, x) for i, (u, x) in enumerate(lone + many + split)]
+    got = {r["url"]: r for r in uf.filter_urls(spark.createDataFrame(rows, "page_id long, url string, mine string"), rules=[], label="mine").collect()}
+    assert {got[u]["verdict"] for u, x in lone if x is None} == {"allow"} and {got[u]["verdict"] for u, x in lone if x} == {"block"}
+    assert {got[u]["verdict"] for u, _ in many} == {"block"}
+    # Two verdicts on one host, by branch; labels of one branch do not reach another one.
+    assert {(u.split("/")[3], got[u]["verdict"]) for u, x in split if x} == {("bad", "block"), ("good", "allow"), ("fine", "allow")}
+    assert {got[u]["verdict"] for u, x in split if x is None} == {"allow"} and got["http://c.shop.com/bad/x/y"]["purity"] > got["http://c.shop.com/good/new"]["purity"]
