@@ -26,9 +26,13 @@ def _config(args: argparse.Namespace) -> configs.Config:
     return configs.load(args.config, getattr(args, "project_dir", "."), set(RULES))
 
 
+def _address(own: configs.Config, args: argparse.Namespace) -> str | None:
+    return args.service_url or own.service.get("discovery_api_url") or own.service.get("url")
+
+
 def _place(own: configs.Config, args: argparse.Namespace) -> tuple[str, int]:
-    """Address and environment of the metadata service: of the arguments, else of the configuration."""
-    url = args.service_url or own.service.get("discovery_api_url") or own.service.get("url")
+    """Address and environment of the metadata service: of the arguments, else of the configuration, which counts as switched on only with an address."""
+    url = _address(own, args)
     environment = args.environment or own.service.get("environment_id")
     if not url or not environment:
         raise OSError("service mode needs an address and an environment: --service-url and --environment, or the configuration")
@@ -42,7 +46,7 @@ def _catalog(args: argparse.Namespace, own: configs.Config):
     spark = _session()
     if args.pages:
         catalog = manifest.parse_pages(spark.read.text(args.pages, wholetext=True), args.project)
-    elif args.service or (own.service.get("enabled") and not args.manifest and not args.local):
+    elif args.service or (own.service.get("enabled") and _address(own, args) and not args.manifest and not args.local):
         url, environment = _place(own, args)
         if not os.environ.get(TOKEN):
             raise OSError(f"set {TOKEN} to a token of the service")
