@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,18 @@ _DEPTH = "paths AS (SELECT DISTINCT parent_id AS node_id, 0 AS depth FROM edges
 _DIAMONDS = "dia AS (SELECT a.child_id AS node_id, a.parent_id AS left_id, b.parent_id AS right_id FROM edges a JOIN edges b ON a.child_id = b.child_id AND a.pos < b.pos WHERE EXISTS (SELECT 1 FROM up u JOIN up v ON u.ancestor_id = v.ancestor_id WHERE u.node_id = a.parent_id AND v.node_id = b.parent_id))"
 
 
+_CIRCLES = """circular AS (SELECT child_id AS c, parent_id AS p FROM edges UNION SELECT parent_id, child_id FROM edges WHERE child_id LIKE 'model.c%' AND parent_id LIKE 'model.n%' AND CAST(substr(child_id, 8) AS BIGINT) % 40 = 0),
+back AS (SELECT c, p FROM circular WHERE c IN (SELECT p FROM circular)), above AS (SELECT c AS a, p AS b FROM back UNION SELECT r.a, e.p FROM above r JOIN back e ON e.c = r.b),
+nodes AS (SELECT c AS node_id FROM circular UNION SELECT p FROM circular), mutual AS (SELECT u.a, max(u.b) AS m, bool_or(u.b = u.a) AS looped FROM above u JOIN above v ON v.a = u.b AND v.b = u.a GROUP BY u.a),
+component AS (SELECT node_id, greatest(node_id, coalesce(m, node_id)) AS component, coalesce(looped, false) AS looped FROM nodes LEFT JOIN mutual ON a = node_id)"""
+_MERGED = """merged AS (SELECT DISTINCT x.component AS c, y.component AS p FROM circular JOIN component x ON x.node_id = c JOIN component y ON y.node_id = p WHERE x.component <> y.component),
+longest AS (SELECT DISTINCT p AS node, CAST(0 AS BIGINT) AS d FROM merged WHERE p NOT IN (SELECT c FROM merged) UNION SELECT m.c, l.d + 1 FROM longest l JOIN merged m ON m.p = l.node)"""
+_SEVERAL = """projects AS (SELECT 'p' || (idx % 7) AS project_id, count(*) AS models FROM all_models GROUP BY 1),
+several AS (SELECT 'p' || (idx % 7) AS project_id, name, t.category, t.severity FROM models, (VALUES (1, 'naming', 'warning'), (2, 'documentation', 'info'), (3, 'materialization', 'warning'), (4, 'testing', 'warning'), (5, 'governance', 'warning')) t(rule, category, severity)
+ WHERE CASE rule WHEN 1 THEN layer = 'marts' AND left(name, 4) NOT IN ('fct_', 'dim_') WHEN 2 THEN layer IN ('marts', 'intermediate') AND trim(description) = '' WHEN 3 THEN layer IN ('marts', 'intermediate') AND materialization = 'view'
+ WHEN 4 THEN layer = 'marts' AND NOT contract_enforced ELSE access = 'public' AND NOT contract_enforced END)"""
+
+
 def _inc(key: str, more: str = "") -> str:
     return _q(f"'Incremental model ''' || name || ''' sets no {key}'", f"materialization = 'incremental' AND {key} IN ('', '[]', '{{}}', 'false', 'null', '0') {more}")
 
@@ -133,6 +146,40 @@ def dag_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.fanout(testdata.catalog(spark, sf_dir).edges).select("node_id", "children")
 
 
+def _circular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lineage, in which nations also read some of their customers: what is read in a circle is one component."""
+    edges = testdata.catalog(spark, sf_dir).edges
+    key = F.substring("child_id", 8, 20).cast("long")
+    back = edges.filter(F.col("child_id").startswith("model.c") & F.col("parent_id").startswith("model.n") & (key % 40 == 0))
+    return edges.unionByName(back.select("project_id", F.col("parent_id").alias("child_id"), F.col("child_id").alias("parent_id"), "pos", "parent_kind"))
+
+
+def dag_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cycles(_circular(spark, sf_dir)).select("node_id", "component")
+
+
+def dag_depth_with_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.depth(_circular(spark, sf_dir)).select("node_id", F.col("depth").cast("long").alias("depth"))
+
+
+#: Rules of the roll-up over several projects, and by which remainder of the key a model belongs to which.
+SEVERAL, PROJECTS = ["naming.marts_prefix", "documentation.model_description_required", "materialization.marts_not_view", "testing.marts_have_contract", "governance.public_models_need_contract"], 7
+
+
+def _several(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    own = testdata.catalog(spark, sf_dir)
+    models = own.models.withColumn("project_id", F.concat(F.lit("p"), F.col("idx") % PROJECTS))
+    return findings(replace(own, models=models), SETTINGS, SEVERAL), models
+
+
+def project_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.category_scores(*_several(spark, sf_dir)).select("project_id", "category", "models", "failing", "violations", "passing", "score")
+
+
+def project_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.severities_of(score.rolled_up(*_several(spark, sf_dir)))
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     profiles = testdata.profiles(spark, sf_dir)
     return profiles, similarity.similar_pairs(profiles)
@@ -222,7 +269,7 @@ _COMPONENTS = ", both_ways AS (SELECT left_id AS a, right_id AS b FROM pairs UNI
 QUERIES: dict[str, Query] = {f"rule_{r.split('.')[1]}": rule_query(r) for r in CHECKS} | {
     f.__name__: f
     for f in (
-        dag_ancestors, dag_descendants, dag_depth, dag_diamonds, dag_fanout, sim_edges, sim_clusters, rule_model_similarity_clusters, rule_model_similarity_candidates,
+        dag_ancestors, dag_descendants, dag_depth, dag_diamonds, dag_fanout, dag_cycles, dag_depth_with_cycles, project_scores, project_severities, sim_edges, sim_clusters, rule_model_similarity_clusters, rule_model_similarity_candidates,
         rule_identical_select_columns, reuse_report, findings_by_rule, violations_by_severity, category_scores, overall_score, changed_file_findings,
     )
 } | demo.QUERIES | reports.QUERIES
@@ -236,6 +283,10 @@ def _sql() -> dict[str, str]:
         "dag_descendants": f"{head}, {_UP} SELECT ancestor_id AS node_id, count(*) AS descendants FROM up GROUP BY 1",
         "dag_depth": f"{head}, {_DEPTH} SELECT node_id, CAST(depth AS BIGINT) AS depth FROM depths",
         "dag_diamonds": f"{head}, {_UP}, {_DIAMONDS} SELECT node_id, left_id, right_id FROM dia",
+        "dag_cycles": f"{head}, {_CIRCLES} SELECT node_id, component FROM component WHERE looped",
+        "dag_depth_with_cycles": f"{head}, {_CIRCLES}, {_MERGED} SELECT node_id, coalesce(d, 0) AS depth FROM component LEFT JOIN (SELECT node AS component, max(d) AS d FROM longest GROUP BY node) l USING (component)",
+        "project_scores": f"{head}, {_SEVERAL}, cats(category) AS (VALUES {', '.join(f"('{c}')" for c in WEIGHTS)}), failed AS (SELECT project_id, category, count(DISTINCT name) AS failing, count(*) AS violations FROM several GROUP BY ALL) SELECT project_id, category, models, coalesce(failing, 0) AS failing, coalesce(violations, 0) AS violations, greatest(0, models - coalesce(failing, 0)) AS passing, round_even(CAST(100 * greatest(0, models - coalesce(failing, 0)) AS DOUBLE) / models, 1) AS score FROM projects CROSS JOIN cats LEFT JOIN failed USING (project_id, category)",
+        "project_severities": f"{head}, {_SEVERAL} SELECT project_id, severity, count(*) AS findings FROM several GROUP BY ALL",
         "dag_fanout": f"{head} SELECT parent_id AS node_id, count(DISTINCT child_id) AS children FROM edges GROUP BY 1",
         "sim_edges": f"{head}{_PAIRS} SELECT left_id, right_id, CAST(shared_inputs AS BIGINT) AS shared_inputs, CAST(shared_columns AS BIGINT) AS shared_columns, round(score, 6) AS score FROM pairs",
         "sim_clusters": f"{head}{_PAIRS}{_COMPONENTS} SELECT model_id, cluster_id FROM placed",
