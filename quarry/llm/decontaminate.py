@@ -71,17 +71,17 @@ def template(raw: Column) -> Column:
 
 
 def windows(rows: DataFrame, text: str, item: bool = False, lengths: Sequence[int] = ()) -> DataFrame:
-    """``rows`` without ``text`` but with ``at``, ``hash``, ``slots``, ``length`` and ``typed`` of every window; slots hold null for words.
+    """``rows`` without ``text`` but with ``at``, ``hash``, ``slots`` and ``length`` of every window; slots hold null for words.
 
-    A window with slots comes twice, typed and in plain words, without slots then; ``typed`` is the hash of its template both times. Of an ``item`` the windows with enough words, or the whole if there is none (then ``whole``). Of a document all windows, and
+    A window with slots comes twice, typed and in plain words, without slots then; an item's windows have ``typed``, the hash of the template, both times. Of an ``item`` the windows with enough words, or the whole if there is none (then ``whole``). Of a document all windows, and
     those of the ``lengths`` that whole items have.
     """
     is_slot = lambda x: x.isin(NUMBER, NAME, UNIT)
     keep = [c for c in rows.columns if c != text]
     raw = rows.select(*keep, tokens(F.col(text)).alias("_raw"))
-    typed = raw.withColumn("_typed", template(F.col("_raw")))
-    slotted = typed.withColumn("_slots", F.when(F.exists("_typed", is_slot), F.zip_with("_raw", "_typed", lambda r, t: F.when(is_slot(t), r))))
+    slotted = raw.withColumn("_typed", template(F.col("_raw"))).withColumn("_slots", F.when(F.exists("_typed", is_slot), F.zip_with("_raw", "_typed", lambda r, t: F.when(is_slot(t), r))))
     own = lambda i: F.slice("_typed", i, WINDOW)
+    typed = lambda x: [x.alias("typed")] if item else []
     values = lambda i: F.when(F.exists(F.slice("_slots", i, WINDOW), lambda x: x.isNotNull()), F.slice("_slots", i, WINDOW))
 
     def starts(n: Column | int) -> Column:
@@ -89,12 +89,12 @@ def windows(rows: DataFrame, text: str, item: bool = False, lengths: Sequence[in
         return F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
 
     def bare(n: Column) -> Callable[[Column], Column]:
-        return lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit("whole"), F.slice("_plain", i, n)).alias("hash"), F.lit(None).cast("array<string>").alias("slots"), n.alias("length"), F.lit(True).alias("whole"), F.xxhash64(F.lit("whole"), F.slice("_plain", i, n)).alias("typed"))
+        return lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit("whole"), F.slice("_plain", i, n)).alias("hash"), F.lit(None).cast("array<string>").alias("slots"), n.alias("length"), F.lit(True).alias("whole"), *typed(F.xxhash64(F.lit("whole"), F.slice("_plain", i, n))))
 
     at = starts(WINDOW)
     if item:
         at = F.filter(at, lambda i: F.size(F.filter(own(i), lambda x: ~is_slot(x))) >= LEAST_WORDS)
-    made = F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(own(i)).alias("hash"), values(i).alias("slots"), F.lit(WINDOW).alias("length"), F.lit(False).alias("whole"), F.xxhash64(own(i)).alias("typed")))
+    made = F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(own(i)).alias("hash"), values(i).alias("slots"), F.lit(WINDOW).alias("length"), F.lit(False).alias("whole"), *typed(F.xxhash64(own(i)))))
     slotted = slotted.withColumn("_plain", F.when(F.col("_slots").isNotNull() | F.lit(item or bool(lengths)), F.transform("_raw", lambda x: F.lower(F.ltrim(x, F.lit(NAME))))))
     # Windows around the slots only, as most have none.
     last = F.size("_typed") - WINDOW + 1
@@ -102,7 +102,7 @@ def windows(rows: DataFrame, text: str, item: bool = False, lengths: Sequence[in
     slots = F.filter(F.sequence(F.lit(1), F.size("_slots")), lambda i: F.get("_slots", i - 1).isNotNull())
     with_slots = F.when(last > 0, F.array_distinct(F.flatten(F.transform(slots, around)))).otherwise(F.array().cast("array<int>"))
     with_slots = F.array_intersect(with_slots, at) if item else with_slots
-    plain = F.transform(with_slots, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("_plain", i, WINDOW)).alias("hash"), F.lit(None).cast("array<string>").alias("slots"), F.lit(WINDOW).alias("length"), F.lit(False).alias("whole"), F.xxhash64(own(i)).alias("typed")))
+    plain = F.transform(with_slots, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("_plain", i, WINDOW)).alias("hash"), F.lit(None).cast("array<string>").alias("slots"), F.lit(WINDOW).alias("length"), F.lit(False).alias("whole"), *typed(F.xxhash64(own(i)))))
     made = F.when(F.col("_slots").isNotNull(), F.concat(made, plain)).otherwise(made)
     if item:
         made = F.when((F.size(made) == 0) & (F.size("_raw") > 0), F.array(bare(F.size("_raw"))(F.lit(1)))).otherwise(made)
@@ -151,7 +151,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", cover: fl
     length = F.aggregate("_theirs", F.lit(0), lambda n, x: n + 16 + F.coalesce(F.octet_length(x), F.lit(0)))
     side = bounded(side, 16 + F.coalesce(F.octet_length(F.col("item_id").cast("string")), F.lit(0)) + F.coalesce(length, F.lit(0)))
     diff = (F.col("at") - F.col("_at")).alias("diff")
-    met = materialize(windows(docs, text, lengths=lengths).drop("typed").join(side, "hash").select("_id", "_mark", "item_id", "typed", diff, F.col("slots").alias("_ours"), "_theirs"), "met")
+    met = materialize(windows(docs, text, lengths=lengths).join(side, "hash").select("_id", "_mark", "item_id", "typed", diff, F.col("slots").alias("_ours"), "_theirs"), "met")
     pair = ["_id", "_mark", "item_id"]
     whole = materialize(tested(met, total, pair, cover), "whole")
     torn = whole.filter("not consistent").select(*[F.col(x).alias(f"_{x}") for x in pair], "span")
