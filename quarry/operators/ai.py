@@ -52,6 +52,8 @@ class Reply:
 
 #: Prompts that are asked before what came back is kept, those that a task asks at once, tries of each, and seconds before the second try, doubled each time.
 ROUND, AT_ONCE, TRIES, PAUSE = 2000, 4, 3, 0.5
+#: Rounds at most, which are longer than ROUND where there are more prompts than that.
+MOST_ROUNDS = 20
 KEPT = "prompt_id string, model string, answer string, input_tokens bigint, output_tokens bigint"
 
 
@@ -81,18 +83,23 @@ def asked(rows: DataFrame, provider: Provider, store: str, model: str = "") -> D
     """What ``provider`` has said to the prompts of ``rows`` (prompt_id, prompt): ``KEPT`` with ``failed``, a row a distinct prompt.
 
     Answers are kept in the folder ``store`` by prompt and model. Prompts that it knows are not asked again, nor is a prompt that several models share. What a round of ``ROUND``
-    prompts brings is appended before the next begins, so a run that ends halfway costs a round; failures are not kept and are asked again in another run.
+    prompts, or of a ``MOST_ROUNDS``-th of them if that is more, brings is appended before the next begins, so a run that ends halfway costs a round; failures are not kept and are asked
+    again in another run. A round reads its own prompts only.
     """
     spark = rows.sparkSession
     importable(spark)
     wanted = materialize(rows.groupBy("prompt_id").agg(F.first("prompt").alias("prompt")), "prompts")
     spark.createDataFrame([], KEPT).write.mode("append").parquet(store)
     known = spark.read.schema(KEPT).parquet(store).filter(F.col("model") == model).dropDuplicates(["prompt_id"])
-    new = materialize(wanted.join(known, "prompt_id", "left_anti"), "prompts")
-    rounds = -(-new.count() // ROUND)
-    failures = []
+    new = wanted.join(known.select("prompt_id"), "prompt_id", "left_anti")
+    rounds = min(-(-new.count() // ROUND), MOST_ROUNDS)
+    path, failures = written_to(spark, "rounds"), []
+    if rounds:
+        # Dealt by prompt within a round, so all tasks of a round have some to ask.
+        new.withColumn("round", F.pmod(F.xxhash64("prompt_id"), F.lit(rounds))).write.partitionBy("round").parquet(path)
+    made = spark.read.schema("prompt_id string, prompt string, round bigint").parquet(path) if rounds else None
     for k in range(rounds):
-        part = new.filter(F.pmod(F.xxhash64("prompt_id"), F.lit(rounds)) == k)
+        part = made.filter(F.col("round") == k).drop("round").repartition("prompt_id")
         told = materialize(part.mapInPandas(_ask(provider, model), KEPT + ", failed string"), "told")
         told.filter("failed is null").drop("failed").write.mode("append").parquet(store)
         failures.append(told.filter("failed is not null"))
@@ -115,7 +122,8 @@ def answered(c: Catalog, provider: Provider = silent, store: str | None = None,
     rows = prompts(c)
     if changed_only and c.changed is not None:
         rows = rows.join(c.changed.select("project_id", F.col("path").alias("file_path")).distinct(), ["project_id", "file_path"], "left_semi")
-    rows = rows.withColumn("prompt_id", F.sha2("prompt", 256))
+    # Prompts are long to make and read twice.
+    rows = materialize(rows.withColumn("prompt_id", F.sha2("prompt", 256)), "asked")
     return rows.drop("prompt").join(asked(rows.select("prompt_id", "prompt"), provider, store or written_to(rows.sparkSession, "answers"), model), "prompt_id")
 
 

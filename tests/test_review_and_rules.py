@@ -126,3 +126,16 @@ def test_check_runs_and_reviews_need_their_settings(tmp_path, capsys):
 def test_bases_of_checks(spark):
     catalog = testdata.catalog(spark, SF)
     assert {"sql", "_lines", "_trimmed"} <= set(fused.base(catalog, "models", {"sql"}).columns) and "_name" in fused.base(catalog, "sources", set()).columns
+
+
+def test_rounds_are_bounded(spark, tmp_path, monkeypatch):
+    # With many prompts rounds grow longer and not more, and each reads its own prompts.
+    monkeypatch.setattr(ai, "ROUND", 2)
+    monkeypatch.setattr(ai, "MOST_ROUNDS", 3)
+    names = []
+    keep = ai.materialize
+    monkeypatch.setattr(ai, "materialize", lambda df, name="cut": names.append(name) or keep(df, name))
+    rows = spark.createDataFrame([(str(i), f"prompt {i}") for i in range(40)], "prompt_id string, prompt string")
+    got = ai.asked(rows, lambda p: ai.Reply(f"said {p}", 1, 1), str(tmp_path / "answers"), "one").collect()
+    assert {r["prompt_id"]: r["answer"] for r in got} == {str(i): f"said prompt {i}" for i in range(40)} and len(got) == 40
+    assert names.count("told") == 3
