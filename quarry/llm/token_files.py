@@ -20,6 +20,7 @@ Columns other than doc_id and text don't matter.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
@@ -29,6 +30,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,22 +46,73 @@ SHARD = 1 << 18
 LEAST, TOP, GAIN = 8, 4096, 0.03
 #: Id that ends each document.
 END = 0
-#: Pieces of text that a worker remembers with their ids, in each of two generations, and characters that are encoded at once.
-REMEMBERED, AT_ONCE = 500_000, 2_000_000
+#: From so many distinct pieces on a worker remembers those of its last texts only, and none of more bytes than this; bytes of text that are encoded at once.
+REMEMBERED, LONGEST, AT_ONCE = 1_000_000, 64, 16_000_000
+#: Distinct pieces in a text that is given to the library, such texts in a call, and pieces whose ids are copied at once.
+JOINED, CALLED, SOME = 1000, 32, 1 << 16
 
-#: Before a piece that follows no space: a mark or line break, or the first word of a line.
-SIGNS = "\x00\x01"
-#: A piece that may stand between two single spaces: neither end is white space in any version of Unicode.
-_PIECE = re.compile(r"[!-~¡-ɏ](?:.*[!-~¡-ɏ])?", re.S)
-#: A mark that is a token of its own: after a letter or digit, before a space or line break.
-_MARK = re.compile(r"[.,](?=[ \n])(?<=[A-Za-z0-9].)")
+
+def _bytes(*ranges: tuple[int, int]) -> np.ndarray:
+    """Whether a byte lies in one of the ranges, both ends included."""
+    return np.array([any(a <= x <= b for a, b in ranges) for x in range(256)])
+
+
+#: Bytes that are a letter or digit, or a printable ASCII character other than the space.
+_WORD, _PRINTED = _bytes((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A)), _bytes((0x21, 0x7E))
+#: First bytes of two and three, of characters that are white space in no version of Unicode.
+_TWO, _THREE = _bytes((0xC3, 0xDF)), _bytes((0xE0, 0xE0), (0xE4, 0xED))
+_FIRST = _PRINTED | _TWO | _THREE
+
+
+def _closed(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each place is certainly no white space."""
+    last, two, three = (data[np.maximum(at - k, 0)] for k in (1, 2, 3))
+    return _PRINTED[last] | (last >= 0x80) & (_TWO[two] | _THREE[three])
+
+
+def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces begin in the UTF-8 of texts, one after another, that begin and end at ``offsets``.
+
+    With tokenizers of the usual pattern a token begins there whatever is around: at white space that follows other characters, after a line break
+    between such characters, and at a full stop or comma that follows a letter or digit. Pieces give the same ids alone as in their text.
+    """
+    begins = np.zeros(len(data) + 1, bool)
+    begins[offsets] = True
+    white = np.flatnonzero((data == 0x20) | (data == 0x0A))
+    white = white[_closed(data, white)]
+    begins[white] = True
+    lines = white[data[white] == 0x0A]
+    lines = lines[_FIRST[data[np.minimum(lines + 1, len(data) - 1)]]]
+    begins[lines + 1] = True
+    marks = np.flatnonzero((data == 0x2E) | (data == 0x2C))
+    begins[marks[_WORD[data[marks - 1]]]] = True
+    return np.flatnonzero(begins[:-1])
+
+
+def _parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of texts in a row, and where each begins and the last ends."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
+    data = texts.buffers()[2]
+    whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+    return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _strung(flat: np.ndarray, at: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Stretches of ``flat`` in a row: the numbers in ``which`` say which, ``at`` and ``size`` where they lie. Some at a time, so that little memory is held."""
+    out, done = np.empty(int(size[which].sum()), flat.dtype), 0
+    for some in (which[i : i + SOME] for i in range(0, len(which), SOME)):
+        own = size[some]
+        ends = np.cumsum(own)
+        n = int(ends[-1])
+        out[done : done + n] = flat[np.repeat(at[some] - ends + own, own) + np.arange(n)]
+        done += n
+    return out
 
 
 class Encoder:
-    """Ids of texts, as bytes. Texts are cut where the tokenizer cuts them for certain, and each distinct piece is encoded once.
+    """Ids of texts. Texts are cut where the tokenizer cuts them for certain, and of many at once each distinct piece is encoded once; those of the last are remembered.
 
-    Byte-level tokenizers of the usual pattern begin a token at each single space, at a full stop or comma after a letter, and on both sides of a single
-    line break. With other tokenizers, and if white space is rarer, texts are encoded whole.
+    Tokenizers that are not byte-level ones of the usual pattern encode texts whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -67,80 +120,98 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         known = json.loads(self.tokenizer.to_str())
-        how = known.get("pre_tokenizer") or {}
+        how, added = known.get("pre_tokenizer") or {}, known.get("added_tokens") or []
         self.cuts = how.get("type") == "ByteLevel" and how.get("use_regex", True) and not how.get("add_prefix_space") and not known.get("normalizer")
+        # An added token must not go across a cut.
+        self.cuts = self.cuts and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or re.search(r"[\s.,]", x["content"]) for x in added)
         names = self.tokenizer.get_vocab()
-        self.opens = np.zeros(max(names.values(), default=0) + 1, bool)
-        self.opens[[i for name, i in names.items() if name.startswith("Ġ")]] = True
-        self.new: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+        #: Bytes of each token: a byte is a character of its name.
+        self.bytes = np.zeros(max(names.values(), default=0) + 1, np.int64)
+        self.bytes[list(names.values())] = [len(x) for x in names]
+        for x in added:
+            self.bytes[x["id"]] = len(x["content"].encode())
+        self.pieces = pa.array([], pa.binary())
+        self.flat, self.size = np.empty(0, "<u4"), np.empty(0, np.int64)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces, each after a space: many in one call, as each begins with a token that begins with a space, and has no other."""
-        out: list[bytes] = []
-        parts = [pieces[i : i + 1000] for i in range(0, len(pieces), 1000)]
-        for part, found in zip(parts, self.tokenizer.encode_batch_fast([" " + " ".join(x) for x in parts], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
-            raw, at = ids.tobytes(), [*(np.flatnonzero(self.opens[ids]) * 4).tolist(), 4 * len(ids)]
-            out += [raw[a:b] for a, b in pairwise(at)] if len(at) == len(part) + 1 else self.whole([" " + x for x in part])
-        return out
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Ids of ``pieces`` as they are after a space, or after what their sign says; None for those that tell nothing without what is around them."""
-        if len(self.new) > REMEMBERED:
-            self.new, self.old = {}, self.new
-        new, old = self.new, self.old
-        missing = pieces - new.keys()
-        again = missing & old.keys()
-        new.update({p: old[p] for p in again})
-        spaced, bare = [], []
-        for piece in missing - again:
-            if piece[:1] in SIGNS:
-                if _PIECE.fullmatch(piece, 1) or piece == SIGNS[0] + "\n":
-                    bare.append(piece)
-                else:
-                    new[piece] = None
-            elif _PIECE.fullmatch(piece):
-                spaced.append(piece)
-            else:
-                new[piece] = None
-        new.update(zip(spaced, self._pieces(spaced), strict=True))
-        new.update(zip(bare, self.whole([p[1:] for p in bare]), strict=True))
+    def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.whole(pieces)
+        return np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+
+    def _joined(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces in a row and how many each has: many in one call, as a token begins where white space follows the piece before.
+
+        The bytes that tokens stand for tell where pieces begin in the ids.
+        """
+        data, offsets = _parts(pieces)
+        cut = [*offsets[:-1:JOINED].tolist(), len(data)]
+        found = [np.empty(0, "<u4")]
+        for some in (cut[i : i + CALLED + 1] for i in range(0, len(cut) - 1, CALLED)):
+            texts = [data[a:b].tobytes().decode() for a, b in pairwise(some)]
+            found += [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate(found)
+        ends = np.append(0, np.cumsum(self.bytes[flat]))
+        at = np.searchsorted(ends, offsets)
+        if ends[-1] != len(data) or (ends[at] != offsets).any():
+            return self._each([x.decode() for x in pieces.to_pylist()])
+        return flat, np.diff(at)
+
+    def _learned(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces in a row and how many each has."""
+        data, offsets = _parts(pieces)
+        first, closed = data[offsets[:-1]], _closed(data, offsets[1:])
+        spaced, bare = closed & (first == 0x20), closed & _FIRST[first]
+        # After a line break, which is a token of its own, stand the pieces that follow no space.
+        lined = pc.binary_join_element_wise(pa.scalar(b"\n"), pieces.filter(pa.array(bare)), pa.scalar(b"", pa.binary()))
+        with_break, size = self._joined(lined)
+        breaks = np.zeros(len(with_break), bool)
+        breaks[np.cumsum(size) - size] = True
+        rest = [x.decode() for x in pieces.filter(pa.array(~spaced & ~bare)).to_pylist()]
+        made = [self._joined(pieces.filter(pa.array(spaced))), (with_break[~breaks], size - 1), self._each(rest)]
+        order = np.argsort(np.concatenate([np.flatnonzero(x) for x in (spaced, bare, ~spaced & ~bare)]))
+        flat, size = (np.concatenate(x) for x in zip(*made, strict=True))
+        return _strung(flat, np.cumsum(size) - size, size, order), size[order]
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in a row, ``END`` after each, and how many each has with it."""
+        if not self.cuts:
+            found = self.whole(texts.to_pylist())
+            end = np.array([END], "<u4").tobytes()
+            return np.frombuffer(b"".join(x + end for x in found), "<u4"), np.array([len(x) // 4 + 1 for x in found], np.int64)
+        data, offsets = _parts(texts)
+        starts = _cuts(data, offsets)
+        places = pa.py_buffer(np.append(starts, len(data)).astype(np.int32))
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, places, pa.py_buffer(data)])
+        # What is remembered has the first numbers, what is new the others.
+        old = len(self.pieces)
+        numbered = pa.concat_arrays([self.pieces, pieces]).dictionary_encode()
+        codes, self.pieces = numbered.indices.to_numpy()[old:], numbered.dictionary
+        flat, size = self._learned(self.pieces.slice(old))
+        self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+        at = np.cumsum(self.size) - self.size
+        # The end id is one more piece.
+        flat, at, size = np.append(self.flat, np.uint32(END)), np.append(at, len(self.flat)), np.append(self.size, 1)
+        last = np.searchsorted(starts, offsets[1:])
+        codes = np.insert(codes, last, len(self.pieces))
+        ends = np.append(0, np.cumsum(size[codes]))[last + np.arange(1, len(last) + 1)]
+        out = _strung(flat, at, size, codes)
+        stay = np.diff(_parts(self.pieces)[1]) <= LONGEST
+        if len(stay) > REMEMBERED:
+            used = np.zeros(len(size), bool)
+            used[codes] = True
+            stay &= used[:-1]
+        if not stay.all():
+            kept = np.flatnonzero(stay)
+            self.pieces, self.flat, self.size = self.pieces.take(pa.array(kept)), _strung(flat, at, size, kept), size[kept]
+        return out, np.diff(ends, prepend=0)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if not self.cuts:
-            return self.whole(texts)
-        cut = [_cut(x) for x in texts]
-        pieces: set[str] = set()
-        for own in cut:
-            pieces.update(own)
-        pieces.discard(SIGNS[1])
-        self._learn(pieces)
-        self.new[SIGNS[1]] = b""  # an empty text
-        known, out = self.new.__getitem__, []
-        odd: list[int] = []
-        for i, own in enumerate(cut):
-            try:
-                out.append(b"".join(map(known, own)))
-            except TypeError:  # None: white space at an end of a piece, so the text may be cut wrongly
-                odd.append(i)
-                out.append(b"")
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        return out
-
-
-def _cut(text: str) -> list[str]:
-    """A text in pieces: those without a sign stand after a space, others don't."""
-    if SIGNS[0] in text or SIGNS[1] in text:
-        return [""]
-    made = SIGNS[1] + _MARK.sub(f" {SIGNS[0]}\\g<0>", text)
-    if "\n" in text and not any(x in text for x in ("\n\n", " \n", "\n ")) and text[0] != "\n" != text[-1]:
-        made = made.replace("\n", f" {SIGNS[0]}\n {SIGNS[1]}")
-    return made.split(" ")
+        """Ids of each text, without the end id."""
+        flat, size = self.encoded(pa.array(texts, pa.string()))
+        ends = np.cumsum(size).tolist()
+        return [flat[b - n : b - 1].tobytes() for b, n in zip(ends, size.tolist(), strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -149,6 +220,7 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """The encoder of this worker: what it has learned serves its next tasks."""
     if path not in _ENCODERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
@@ -265,8 +337,8 @@ class Grammar:
 
 
 def _shards(path: str, kind: pa.DataType, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    learned, part, end = encoder(path), TaskContext.get().partitionId(), np.array([END], "<u4").tobytes()
-    held: list[bytes] = []
+    learned, part = encoder(path), TaskContext.get().partitionId()
+    held: list[np.ndarray] = []
     docs: list[tuple] = []
     size = shard = number = 0
     fields = pa.struct([("d", pa.int64()), ("doc_id", kind), ("n", pa.int64()), ("first", pa.bool_()), ("last", pa.bool_())])
@@ -275,40 +347,46 @@ def _shards(path: str, kind: pa.DataType, batches: Iterator[pa.RecordBatch]) ->
         nonlocal size, shard
         if size:
             listed = [dict(zip(("d", "doc_id", "n", "first", "last"), x, strict=True)) for x in docs]
-            row = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([size], pa.int64()), pa.array([listed], pa.list_(fields)), pa.array([compress(np.frombuffer(b"".join(held), "<u4"))], pa.binary())]
+            row = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([size], pa.int64()), pa.array([listed], pa.list_(fields)), pa.array([compress(np.concatenate(held))], pa.binary())]
             yield pa.RecordBatch.from_arrays(row, ["part", "shard", "n", "docs", "grammar"])
             shard += 1
         held.clear()
         docs.clear()
         size = 0
 
-    def some() -> Iterator[tuple[list, list[str]]]:
-        ids, texts, chars = [], [], 0
+    def some() -> Iterator[tuple[list, pa.Array]]:
+        ids, texts, length = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                ids.append(doc_id.as_py())
-                texts.append(text.as_py() or "")
-                chars += len(texts[-1])
-                if chars >= AT_ONCE:
-                    yield ids, texts
-                    ids, texts, chars = [], [], 0
-        yield ids, texts
+            every = batch.column("text").cast(pa.string()).fill_null("")
+            ends, at = np.cumsum(pc.binary_length(every).to_numpy().astype(np.int64)), 0
+            while at < len(every):
+                begun = int(ends[at - 1]) if at else 0
+                to = min(len(every), int(np.searchsorted(ends, begun + AT_ONCE - length)) + 1)
+                ids += batch.column("doc_id").slice(at, to - at).to_pylist()
+                texts.append(every.slice(at, to - at))
+                length, at = length + int(ends[to - 1]) - begun, to
+                if length >= AT_ONCE:
+                    yield ids, pa.concat_arrays(texts)
+                    ids, texts, length = [], [], 0
+        if texts:
+            yield ids, pa.concat_arrays(texts)
 
     for ids, texts in some():
-        for doc_id, found in zip(ids, learned.ids(texts), strict=True):
-            found += end
-            n = len(found) // 4
+        found, sizes = learned.encoded(texts)
+        ends = np.cumsum(sizes).tolist()
+        for doc_id, begun, n in zip(ids, [0, *ends], sizes.tolist(), strict=False):
             if size + n > SHARD:
                 yield from flush()
             for at in range(0, n, SHARD):
-                piece = found[4 * at : 4 * (at + SHARD)]
+                piece = found[begun + at : begun + min(n, at + SHARD)]
                 held.append(piece)
-                docs.append((number, doc_id, len(piece) // 4, at == 0, at + SHARD >= n))
-                size += len(piece) // 4
+                docs.append((number, doc_id, len(piece), at == 0, at + SHARD >= n))
+                size += len(piece)
                 if at + SHARD < n:
                     yield from flush()
             number += 1
     yield from flush()
+    pa.default_memory_pool().release_unused()  # the worker waits for its next task
 
 
 def write(docs: DataFrame, path: str, tokenizer: str) -> None:

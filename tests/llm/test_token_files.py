@@ -1,9 +1,12 @@
 """Token files: exact ids, round trips of grammars, places and checksums, random access, odd rows."""
 
 import random
+import sys
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.llm import token_files
@@ -29,6 +32,70 @@ def test_other_tokenizers_encode_whole_texts():
     assert not made.cuts and made.ids(["a b", ""]) == made.whole(["a b", ""])
 
 
+def test_bookkeeping_of_pieces_takes_no_calls_of_python():
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(50)) for _ in range(100)]
+    made, calls = token_files.Encoder(PATH), []
+    sys.setprofile(lambda frame, event, arg: calls.append(event))
+    try:
+        got = made.ids(texts)
+    finally:
+        sys.setprofile(None)
+    assert got == made.whole(texts) and len(calls) < 2500  # of 5,000 words
+
+
+class _Watched:
+    """A tokenizer, and the characters it was given."""
+
+    def __init__(self, own):
+        self.own, self.chars = own, 0
+
+    def encode_batch_fast(self, texts, **more):
+        self.chars += sum(map(len, texts))
+        return self.own.encode_batch_fast(texts, **more)
+
+
+def test_texts_with_paragraphs_are_encoded_by_pieces_too():
+    texts = ["one stone  river.\n\nA mill,  नमस्ते \n stone\n" * 3] * 200
+    made = token_files.Encoder(PATH)
+    whole = made.whole(texts)
+    made.tokenizer = watched = _Watched(made.tokenizer)
+    assert made.ids(texts) == whole and watched.chars < 200
+    assert made.ids(texts) == whole and watched.chars < 200
+
+
+def test_short_texts():
+    for text in ["a", "é", "", ".", "\n", " ", "語", "\xa0", "a\n", "\na", "a.", "é.\n"]:
+        made = token_files.Encoder(PATH)
+        assert made.ids([]) == [] and made.ids([text]) == made.whole([text]) and made.ids([text, "", text]) == made.whole([text, "", text])
+
+
+def test_long_pieces_are_not_remembered():
+    made = token_files.Encoder(PATH)
+    texts = [f"a stone {str(i) * 2000} " + "日本語" * 500 + str(i) for i in range(20)]
+    assert [made.ids([x])[0] for x in texts] == made.whole(texts) and made.pieces.nbytes < 2000
+
+
+def test_added_tokens_that_go_across_cuts(tmp_path):
+    made = token_files.Encoder(PATH)
+    made.tokenizer.add_tokens(["New York"])
+    made.tokenizer.save(str(tmp_path / "more.json"))
+    more = token_files.Encoder(str(tmp_path / "more.json"))
+    assert more.ids(["in New York, now"]) == more.whole(["in New York, now"])
+
+
+def test_texts_are_encoded_some_at_a_time(monkeypatch):
+    monkeypatch.setattr(token_files, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    texts = ["one two three", None, "", "four" * 30, "é.\nfive", None]
+    batches = [pa.record_batch({"doc_id": pa.array(range(lo, lo + 3)), "text": pa.array(texts[lo : lo + 3], pa.string())}) for lo in (0, 3)]
+    found = []
+    for at_once in (1, 14, 130, 1 << 20):
+        monkeypatch.setattr(token_files, "AT_ONCE", at_once)
+        found.append([row for x in token_files._shards(PATH, pa.int64(), iter(batches)) for row in x.to_pylist()])
+    assert found[1:] == found[:-1] and [x["doc_id"] for x in found[0][0]["docs"]] == list(range(6))
+    assert found[0][0]["n"] == sum(len(x) // 4 + 1 for x in token_files.Encoder(PATH).whole([x or "" for x in texts]))
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 17, 1000, 40_000])
 @pytest.mark.parametrize("kinds", [1, 2, 7, 400])
 def test_grammars_give_ids_back(n, kinds):
