@@ -44,7 +44,7 @@ def model_similarity_candidates(c: Catalog, p: Settings) -> DataFrame:
 @rule("reuse.model_similarity_clusters", "Groups of similar models share a model", "warning")
 def model_similarity_clusters(c: Catalog, p: Settings) -> DataFrame:
     own = parsed(c).profiles
-    groups = similarity.clusters(own, similarity.similar_pairs(own, bounds(p.of(PAIR_RULE))[0]), int(p("min_cluster_size", 3)))
+    groups = similarity.clusters_of(similarity.groups_of(similarity.similar_kinds(own, bounds(p.of(PAIR_RULE))[0])), int(p("min_cluster_size", 3)))
     message = say("{} models form a reuse cluster: {} (average {}); shared inputs: {}; shared columns: {}", "size", "members", F.format_number("average_score", 2), "shared_inputs", "shared_columns")
     file = similarity.suggested_name("int_", F.filter(F.split("shared_inputs", ", "), lambda x: x != ""), F.array_join(F.slice(F.split("members", ", "), 1, 2), "_"))
     return found(groups, message, say("Move the shared logic to a model such as {}", file), name="anchor", path="anchor_path")
