@@ -151,3 +151,15 @@ def test_exit_codes_follow_severity(spark, project):
     own = config.Config(rules={"naming.staging_prefix": {"severity": "info"}})
     result = scan.scan(manifest.read_project(spark, str(project), str(project / "target" / "manifest.json")), own, ["naming"])
     assert scan.exit_code(result, "error") == 0 and scan.exit_code(result, "warning") == 1 and scan.exit_code(result, "info") == 0
+
+
+def test_roll_ups_make_no_texts(spark, monkeypatch):
+    from quarry.catalog import COUNTED
+    from quarry.plans import queries as own
+    from quarry.sources import testdata
+
+    rules = ["naming.marts_prefix", "migration.missing_source_definition", "naming.source_schema_required", "style.no_hardcoded_schema"]
+    c = testdata.catalog(spark, "/root/testdata/sf0.001")
+    lean, whole = own.findings(c, own.SETTINGS, rules, texts=False), own.findings(c, own.SETTINGS, rules)
+    assert lean.columns == COUNTED and sorted(map(str, lean.collect())) == sorted(map(str, whole.select(*COUNTED).collect()))
+    assert "does not" not in lean._jdf.queryExecution().optimizedPlan().toString() and "names database" not in lean._jdf.queryExecution().optimizedPlan().toString()
